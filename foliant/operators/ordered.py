@@ -145,3 +145,33 @@ def sessions(df: DataFrame, keys: Sequence[str], micros: str, tie: str, gap_micr
     opens = F.col("__prev").isNull() | (F.col(micros) - F.col("__prev") > gap_micros)
     return carry(with_prev, keys, order, slot,
                  {"session_start": F.when(opens, F.col(micros))}).drop("__prev")
+
+
+def previous_window(df: DataFrame, keys: Sequence[str], order: Sequence[str], slot: Column,
+                    value: str, n: int, name: str) -> DataFrame:
+    """Array of the last ``n`` values strictly before each row, oldest first."""
+    keys = list(keys)
+    base = df.withColumn(SLOT, slot)
+    near = Window.partitionBy(*keys, SLOT).orderBy(*order).rowsBetween(-n, -1)
+    tail = recent_n(base.select(*keys, SLOT, *order, value), [*keys, SLOT],
+                    [F.col(c).desc() for c in order], n, "__age")
+    tails = tail.groupBy(*keys, SLOT).agg(F.transform(
+        F.array_sort(F.collect_list(F.struct(-F.col("__age"), F.col(value).alias("v")))),
+        lambda s: s["v"]).alias("__tail"))
+    # Every slot listed holds a value, so the n slots before it hold the n values needed.
+    far = Window.partitionBy(*keys).orderBy(SLOT).rowsBetween(-n, -1)
+    before = tails.select(*keys, SLOT, F.flatten(F.collect_list("__tail").over(far)).alias("__far"))
+    local = base.withColumn("__near", F.collect_list(value).over(near))
+    joined = local.join(before, [*keys, SLOT], "left")
+    both = F.concat(F.coalesce("__far", F.array().cast("array<string>")), F.col("__near"))
+    size = F.size(both)
+    return joined.withColumn(
+        name, F.slice(both, F.greatest(size - n + 1, F.lit(1)), F.lit(n))
+    ).drop(SLOT, "__far", "__near")
+
+
+def take_budget(df: DataFrame, keys: Sequence[str], order: Sequence[str], slot: Column,
+                size: Column, budget: int) -> DataFrame:
+    """Leading rows of each key whose running size stays in the budget; the first always."""
+    totals = running_sum(df, keys, order, slot, {"running": size, "__n": F.lit(1)})
+    return totals.filter((F.col("running") <= budget) | (F.col("__n") == 1)).drop("__n")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Accented letters and their plain forms, position by position.
@@ -22,6 +22,17 @@ def chain(text: Column, rules: Sequence[tuple[str, str]]) -> Column:
     return reduce(lambda c, r: F.regexp_replace(c, F.lit(r[0]), F.lit(r[1])), rules, text)
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add or replace a column that is computed exactly once per row.
+
+    Catalyst inlines a projected expression into whatever uses it and pushes filters
+    through projections, so a chain of stages that each read their input several times
+    would be re-evaluated exponentially often.  A one-element explode is a barrier to both.
+    """
+    others = [c for c in df.columns if c != name]
+    return df.select(*others, F.explode(F.array(value)).alias(name))
+
+
 def strip(text: Column) -> Column:
     """Trim every kind of white space at both ends."""
     return F.regexp_replace(text, r"^\s+|\s+$", "")

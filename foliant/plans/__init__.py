@@ -1,8 +1,10 @@
 """Registered queries; importing the package registers all of them."""
 
 from foliant.plans import (  # noqa: F401
+    clean,
     ordered,
     reports,
+    sync,
 )
 from foliant.plans.registry import CHECK_SQL, QUERIES
 

@@ -18,6 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Share a small input out over all cores ahead of CPU-heavy stages.
+
+    Large inputs already have more splits than cores and pass through untouched, so no
+    shuffle is added where it would cost anything.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def page_title(text: Column) -> Column:
     """Opening words of the first line stand in for the page title."""
     first = F.split_part(text, F.lit("\n"), F.lit(1))
@@ -86,7 +96,7 @@ def wikitext(text: Column) -> Column:
 
 
 def wiki_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select(
         F.col("doc_id").alias("page_id"),
         page_title(F.col("text")).alias("page_title"),
@@ -113,7 +123,7 @@ def structured_markdown(text: Column) -> Column:
 
 
 def sectioned_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return docs.select(
         F.col("doc_id").alias("page_id"),
         F.col("source").alias("bucket_id"),

@@ -1,6 +1,7 @@
 """Registered queries; importing the package registers all of them."""
 
 from foliant.plans import (  # noqa: F401
+    chunk,
     clean,
     ordered,
     reports,

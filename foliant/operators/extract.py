@@ -155,7 +155,7 @@ def record_rows(pages: DataFrame) -> DataFrame:
 
 
 # Sentences that name a quest and its release.
-QUEST_SENTENCE = r"\*\*([^*\n]*(?:\*[^*\n]+)*)\*\*\s+is\s+([^.,;]+?)\s+[Qq]uest\b"
+QUEST_SENTENCE = r"\*\*(.*?)\*\*\s+is\s+([^.,;]+?)\s+[Qq]uest\b"
 RELEASE_NOTE = (r"released in\s+((?:[A-Za-z]+\s+\d+|\d+)(?:\.\d+)*(?:\s*\(\d{4}-\d{2}-\d{2}\))?)")
 
 

@@ -3,6 +3,8 @@
 from foliant.plans import (  # noqa: F401
     chunk,
     clean,
+    directory,
+    extract,
     ordered,
     reports,
     sync,

@@ -112,7 +112,7 @@ def chat_text(text):
             F.when(k == 0, F.concat(F.lit("> **{If "), w0, F.lit("} "), w0, F.lit(":** "), line))
             .when(k == 1, F.concat(F.lit("> **{Continues as above from "), w0, F.lit(" "), line))
             .when(k == 2, F.concat(F.lit("> "), w0, F.lit(": "), line, F.lit(" {Same as below}")))
-            .when(k == 3, F.concat(F.lit("> > "), line, F.lit(" {P"), i.cast("string"), F.lit("}")))
+            .when(k == 3, F.concat(F.lit("> > "), line, F.lit(" {P"), i.cast("string"), F.lit("}\n[Convo. ends]")))
             .when(k == 4, F.concat(F.lit("> **"), w0, F.lit(":** "), line,
                                    F.lit(" {Convo. ends. Jump}")))
             .otherwise(F.concat(F.lit("## Chapter "), w0, F.lit("\n"), line)))

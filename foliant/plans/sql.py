@@ -54,3 +54,15 @@ LINES = """lines AS (
 
 EV = """ev AS (
   SELECT event_id, user_id, event_type, value, props, epoch_us(ts) AS us FROM events)"""
+
+CHAT = f"""chat AS (
+  SELECT doc_id AS page_id, {TITLE} AS page_title,
+    array_to_string(list_transform(string_split(text, chr(10)), lambda line, n:
+      CASE (n - 1) % 6
+      WHEN 0 THEN '> **{{If ' || {_W0} || '}} ' || {_W0} || ':** ' || line
+      WHEN 1 THEN '> **{{Continues as above from ' || {_W0} || ' ' || line
+      WHEN 2 THEN '> ' || {_W0} || ': ' || line || ' {{Same as below}}'
+      WHEN 3 THEN '> > ' || line || ' {{P' || (n - 1) || '}}' || chr(10) || '[Convo. ends]'
+      WHEN 4 THEN '> **' || {_W0} || ':** ' || line || ' {{Convo. ends. Jump}}'
+      ELSE '## Chapter ' || {_W0} || chr(10) || line END), chr(10)) AS content_markdown
+  FROM documents)"""

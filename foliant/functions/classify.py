@@ -28,7 +28,8 @@ def bounded(pattern: str) -> str:
 
 def any_pattern(text: Column, patterns: Sequence[str]) -> Column:
     """Whether any pattern is found; kept as separate tests so a hit stops the rest."""
-    return reduce(lambda a, b: a | b, [F.rlike(text, F.lit(bounded(p))) for p in patterns])
+    low = F.lower(text)
+    return reduce(lambda a, b: a | b, [F.rlike(low, F.lit(bounded(p))) for p in patterns])
 
 
 def any_word(text: Column, words: Sequence[str]) -> Column:

@@ -2,11 +2,13 @@
 
 from foliant.plans import (  # noqa: F401
     chunk,
+    classify,
     clean,
     directory,
     extract,
     ordered,
     reports,
+    retrieval,
     sync,
 )
 from foliant.plans.registry import CHECK_SQL, QUERIES

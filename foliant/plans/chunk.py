@@ -191,11 +191,13 @@ VOCAB = """vocab AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-
   FROM documents)"""
 
 
-def vocabulary_table(spark, sf):
+def vocabulary_table(spark, sf, lang=None):
     """Distinct lower-case words of the archive; folded map-side before the shuffle."""
     words = F.regexp_extract_all(F.lower("text"), F.lit("([a-zà-öø-ÿ]+)"), F.lit(1))
-    return staging.table(spark, sf, "documents").select(
-        F.explode(F.array_distinct(words)).alias("word")).distinct()
+    docs = staging.table(spark, sf, "documents")
+    if lang:
+        docs = docs.filter(F.col("lang") == lang)
+    return docs.select(F.explode(F.array_distinct(words)).alias("word")).distinct()
 
 
 @query("vocabulary", f"WITH {VOCAB} SELECT word FROM vocab")

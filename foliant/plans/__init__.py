@@ -6,6 +6,7 @@ from foliant.plans import (  # noqa: F401
     clean,
     directory,
     extract,
+    graphs,
     ordered,
     reports,
     retrieval,

@@ -1,6 +1,7 @@
 """Registered queries; importing the package registers all of them."""
 
 from foliant.plans import (  # noqa: F401
+    chain,
     chunk,
     classify,
     clean,
@@ -10,6 +11,7 @@ from foliant.plans import (  # noqa: F401
     ordered,
     reports,
     retrieval,
+    streams,
     sync,
 )
 from foliant.plans.registry import CHECK_SQL, QUERIES

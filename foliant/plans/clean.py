@@ -233,10 +233,14 @@ def infobox_fields(spark, sf):
 @query("page_view")
 def page_view(spark, sf):
     """Display form of a page: flat headings, no footer, version notes split off."""
-    pages = staging.wiki_pages(spark, sf).select(
-        "page_id", X.cut_footer(X.reflow_headings(F.col("wikitext"))).alias("content_markdown"))
-    return pages.select("page_id", F.col("content_markdown"),
-                        F.size(T.clean_lines(F.col("content_markdown"))).alias("line_count"))
+    from foliant.operators.extract import version_notes, without_version_notes
+    pages = staging.wiki_pages(spark, sf).select("page_id", F.concat(
+        "wikitext", F.lit("\n== Patch History ==\nUpdate 1.2\n* Fixed.\n")).alias("content_markdown"))
+    flat = T.once(pages, "content_markdown", X.reflow_headings(F.col("content_markdown")))
+    notes = version_notes(flat).groupBy("page_id").agg(F.count("*").alias("versions"))
+    body = X.cut_footer(without_version_notes(F.col("content_markdown")))
+    return flat.select("page_id", body.alias("body")).join(notes, "page_id", "left").select(
+        "page_id", "body", F.coalesce("versions", F.lit(0)).alias("versions"))
 
 
 # --- scalars over messages and titles ---

@@ -1,7 +1,9 @@
 """Message and question classifiers as flag columns.
 
-All patterns are plain data.  ``\\b`` in them stands for a word boundary that knows
-accented letters; :func:`bounded` spells it out so every engine reads it the same way.
+All classifiers read lower-cased text (lower it once, not per rule); only
+:func:`lookup_entity` needs the original case.  All patterns are plain data.  ``\\b`` in
+them stands for a word boundary that knows accented letters; :func:`bounded` spells it out
+so every engine reads it the same way.
 """
 
 from __future__ import annotations
@@ -16,34 +18,49 @@ from pyspark.sql import functions as F
 from foliant.functions import text as T
 from foliant.operators import dialogue, ordered
 
-_LEFT = "(?:^|[^0-9A-Za-z_À-ÿ])"
-_RIGHT = "(?:[^0-9A-Za-z_À-ÿ]|$)"
+_WORD = "0-9A-Za-z_À-ÿ"
+
+
+def _spell(pattern: str, left: str, right: str) -> str:
+    out = re.sub(r"(^|\||\(\?:|\()\\b", lambda m: m.group(1) + left, pattern)
+    return out.replace(r"\b", right)
 
 
 def bounded(pattern: str) -> str:
-    """Spell out the word boundaries of a pattern, ignoring case."""
-    out = re.sub(r"(^|\||\(\?:|\()\\b", lambda m: m.group(1) + _LEFT, pattern)
-    return "(?i)" + out.replace(r"\b", _RIGHT)
+    """Word boundaries spelled out without look-around."""
+    return _spell(pattern, f"(?:^|[^{_WORD}])", f"(?:[^{_WORD}]|$)")
+
+
+def edged(pattern: str) -> str:
+    """Word boundaries as look-around: several times faster in the JVM."""
+    return _spell(pattern, f"(?<![{_WORD}])", f"(?![{_WORD}])")
 
 
 def any_pattern(text: Column, patterns: Sequence[str]) -> Column:
-    """Whether any pattern is found; kept as separate tests so a hit stops the rest."""
-    low = F.lower(text)
-    return reduce(lambda a, b: a | b, [F.rlike(low, F.lit(bounded(p))) for p in patterns])
+    """Whether any pattern is found.
+
+    Patterns that open at a word boundary are joined, so the boundary is tested once per
+    position and only word starts reach the alternatives; the others keep their literal
+    openings and are tested one by one.
+    """
+    opening = [p[2:] for p in patterns if p.startswith(r"\b")]
+    tests = [edged(p) for p in patterns if not p.startswith(r"\b")]
+    if opening:
+        tests.insert(0, f"(?<![{_WORD}])(?:{'|'.join(edged(p) for p in opening)})")
+    return reduce(lambda a, b: a | b, [F.rlike(text, F.lit(t)) for t in tests])
 
 
 def any_word(text: Column, words: Sequence[str]) -> Column:
-    """Whether any of the (lower-case) words is contained in the lower-cased text."""
-    low = F.lower(text)
-    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words])
+    """Whether any of the words is contained in the text."""
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
 
 
 # Hostile probes (database keywords, rights, mentions).
 PROBES = (
     r"\b(select|insert|update|delete|drop|truncate|alter|create|union|exec|x[ps]_|"
     r"information_schema|pg_sleep|sleep|benchmark)\b",
-    r"\b(or)\s+[\"']?1[\"']?\s*[=:]?\s*[\"']?1[\"']?",
-    r";(\s*--|\s*#)|'\s*--|\bset\s+[a-z_]+\s*=?",
+    r"\b(or)\s+[\"']?1[\"']?\s*[=:]?\s*[\"']?1[\"']?", r";(\s*--|\s*#)", r"'\s*--",
+    r"\bset\s+[a-z_]+\s*=?",
     r"\b(is_admin|manage_server|manage_users|can_manage_|discord_id|permissions|"
     r"autorisations?)\b",
     r"(privilege\s+escalat|elevation[s]?\s+of\s+privileg)",
@@ -53,26 +70,25 @@ PROBES = (
 
 # Questions about the assistant itself or about who the speaker is to it.
 SELF_REFLECTION = (
-    r"qui\s+es[- ]tu\b", r"\bes[- ]tu qui\b|\bt['’]es qui\b", r"qu['’]est[- ]ce que tu es\b",
-    r"c['’]est quoi (toi|que tu es|tu es)\b", r"\btu es quoi\b",
-    r"parle[- ]moi de toi\b|raconte[- ]toi\b", r"dis[- ]moi qui tu es\b",
+    r"qui\s+es[- ]tu\b", r"\bes[- ]tu qui\b", r"\bt['’]es qui\b", r"qu['’]est[- ]ce que tu es\b",
+    r"c['’]est quoi (toi|que tu es|tu es)\b", r"\btu es quoi\b", r"parle[- ]moi de toi\b",
+    r"raconte[- ]toi\b", r"dis[- ]moi qui tu es\b",
     r"es[- ]tu (réel|réelle|une ia|un bot|un algorithme|sentient)\b",
-    r"tu es (réel|réelle|une ia|un bot|sentient)\b", r"\b(ton|votre) (créateur|createur|ma[iî]tre)\b",
-    r"qui t['’]a (créé|cree|créée|fait|construit)\b",
-    r"qui suis[- ]je\b|que suis[- ]je\b|\bje suis qui\b", r"\btu me connais\b|me connais[- ]tu\b",
-    r"\btu sais qui je suis\b", r"te souviens[- ]tu de moi\b|tu te souviens de moi\b",
-    r"who are you\b|who('|’)?re you\b|what are you\b",
-    r"\bwho am i\b|\bdo you know me\b|\byou know who i am\b",
-    r"\bwho is your creator\b|\bwho created you\b|\byour creator\b",
-    r"\bare you (real|sentient|an ai|a bot)\b",
+    r"tu es (réel|réelle|une ia|un bot|sentient)\b",
+    r"\b(ton|votre) (créateur|createur|ma[iî]tre)\b",
+    r"qui t['’]a (créé|cree|créée|fait|construit)\b", r"qui suis[- ]je\b", r"que suis[- ]je\b",
+    r"\bje suis qui\b", r"\btu me connais\b", r"me connais[- ]tu\b", r"\btu sais qui je suis\b",
+    r"te souviens[- ]tu de moi\b", r"tu te souviens de moi\b", r"who are you\b",
+    r"who('|’)?re you\b", r"what are you\b", r"\bwho am i\b", r"\bdo you know me\b",
+    r"\byou know who i am\b", r"\bwho is your creator\b", r"\bwho created you\b",
+    r"\byour creator\b", r"\bare you (real|sentient|an ai|a bot)\b",
 )
 
 # Questions about the speaker's own identity or rank.
 IDENTITY = (
-    r"qui suis[- ]je\b|\bqui je suis\b|\bje suis qui\b",
-    r"que suis[- ]je\b|qu['’]est[- ]ce que je suis\b",
-    r"qui suis[- ]je pour toi\b|\bje suis qui pour toi\b", r"\b(m[eo]n|m[eo]s)\s+r[ôo]les?\b",
-    r"\bmon(s)? (rang|grade|statut|position)\b",
+    r"qui suis[- ]je\b", r"\bqui je suis\b", r"\bje suis qui\b", r"que suis[- ]je\b",
+    r"qu['’]est[- ]ce que je suis\b", r"qui suis[- ]je pour toi\b", r"\bje suis qui pour toi\b",
+    r"\b(m[eo]n|m[eo]s)\s+r[ôo]les?\b", r"\bmon(s)? (rang|grade|statut|position)\b",
     r"(quelle est ma place|o[uù] est ma place|ma place dans la hi['é]rarchie)\b",
 )
 QUESTION_START = (r"^(qui|que|quel|quelle|quels|quelles|o[uù]|comment|pourquoi|est[- ]ce|"
@@ -81,10 +97,10 @@ POSSESSIVE_START = r"^(mes?|ma|mon)\s"
 IDENTITY_MAX_CHARS = 60
 
 # Openings and markers of a question that leans on the one before it.
-_ANAPHORIC_OPENING = (
+ANAPHORIC_OPENING = (
     r"^(et\s+|d'ailleurs\s+)?(cette\b|cet\b|cette histoire\b|cette chose\b|ce sujet\b|"
     r"celui[- ]ci|celui[- ]là|celles?[- ]ci|celles?[- ]là|il\b|elle\b|ils\b|elles\b|ça\b|cela\b)")
-ANAPHORIC_START = bounded(_ANAPHORIC_OPENING)
+ANAPHORIC_START = bounded(ANAPHORIC_OPENING)
 ANAPHORIC_MARKERS = (
     "juste avant", "cette histoire", "cette chose", "ce sujet", "parlé de", "dit juste",
     "comme je disais", "comme tu disais",
@@ -100,22 +116,21 @@ INSULTS = (
     r"cringe|canc[eé]reux?)\b",
     r"\btu (es|serais|restes) (une? )?(nul(le)?|c[oô]n(ne)?|idiot(e)?|d[ée]bile|merde|rat[ée]|"
     r"pitoyable|bon(ne)? à rien)\b",
-    r"\btu (ne sers?( à)? |ne serviras( à)? |es bon(ne)? à )?rien\b",
-    r"\btu (nous)? fais chier\b|\btu (nous )?(saoules|so[ûu]les)\b",
-    r"\btu (me |nous )?(fais|fait) chier\b|\b(fais|fait)(-moi| moi)? chier\b|"
-    r"\b(fais|fait) chi[éée]\b",
-    r"\bt[' ]es (chiant|chiante)\b|\btu (me )?(saoules?|so[ûu]les?)\b",
+    r"\btu (ne sers?( à)? |ne serviras( à)? |es bon(ne)? à )?rien\b", r"\btu (nous)? fais chier\b",
+    r"\btu (nous )?(saoules|so[ûu]les)\b", r"\btu (me |nous )?(fais|fait) chier\b",
+    r"\b(fais|fait)(-moi| moi)? chier\b", r"\b(fais|fait) chi[éée]\b",
+    r"\bt[' ]es (chiant|chiante)\b", r"\btu (me )?(saoules?|so[ûu]les?)\b",
     r"esp[èe]ce de (c[oô]n|connard|cr[eé]tin|d[ée]bile|abruti|imb[cé]cile|idiot|rat[ée])\b",
     r"\b(connard|connasse|encul[ée]|trou[ -]du[ -]cul|branleur|abruti|gros(se)? c[oô]n(ne)?|"
     r"pauvre (c[oô]n|type|merde)|grosse merde|rabat[- ]joie)\b",
     r"sale ({bot}|machine|tas de ferraille|merde)\b",
     r"\b({bot}) (est |semble |para[îi]t )?(de merde|[ée]claté(e)?|inutile|naze|pourri(e)?|"
     r"[àa] chier|claqué(e)? au sol)\b",
-    r"\b(mauvais|pire) ({bot})\b",
-    r"\b(tg|ftg|ntm|fdp|kys|gtfo)\b", r"\b(shut up|shut the (fuck |hell )?up|stfu)\b",
-    r"\b(fuck you|screw you|piss off|get lost|buzz off|fuck off)\b",
-    r"\byou (suck|stink|blow)\b",
-    r"\byou[’' ]re (a )?(useless|pathetic|lame|dumb|stupid|a joke|trash|garbage|cringe|cancer)\b",
+    r"\b(mauvais|pire) ({bot})\b", r"\b(tg|ftg|ntm|fdp|kys|gtfo)\b",
+    r"\b(shut up|shut the (fuck |hell )?up|stfu)\b",
+    r"\b(fuck you|screw you|piss off|get lost|buzz off|fuck off)\b", r"\byou (suck|stink|blow)\b",
+    r"\byou[’' ]re (a )?(useless|pathetic|lame|dumb|stupid|a joke|trash|garbage|cringe|"
+    r"cancer)\b",
     r"\b(moron|dumbass|jackass)\b",
 )
 BOT_NAMES = ("bot", "ia", "algo", "robot", "programme")
@@ -231,9 +246,9 @@ def is_identity_question(text: Column) -> Column:
 
 
 def is_anaphoric(question: Column) -> Column:
-    low = T.strip(F.lower(question))
+    low = T.strip(question)
     return F.length(low).between(1, ANAPHORIC_MAX_CHARS) & (
-        any_word(low, ANAPHORIC_MARKERS) | F.rlike(low, F.lit(ANAPHORIC_START)))
+        any_word(low, ANAPHORIC_MARKERS) | F.rlike(low, F.lit(edged(ANAPHORIC_OPENING))))
 
 
 def is_insult(text: Column, bot_names: Sequence[str] = BOT_NAMES) -> Column:
@@ -265,24 +280,22 @@ def story_lens(text: Column, lenses: Mapping[str, Sequence[str]] = STORY_LENSES)
 
 
 def is_continuation(text: Column) -> Column:
-    words = T.squeeze(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_\s]", " "))
+    words = T.squeeze(F.regexp_replace(text, r"[^\p{L}\p{N}_\s]", " "))
     count = F.size(F.split(words, " "))
     return (words != "") & (count <= CONTINUATION_MAX_WORDS) & any_word(words, CONTINUATIONS)
 
 
 def first_mention(text: Column, registry: Sequence[tuple[str, str]]) -> Column:
     """First registry key contained in the text, as struct(key, value); null without one."""
-    low = F.lower(text)
     return F.coalesce(*[
-        F.when(F.contains(low, F.lit(key)),
+        F.when(F.contains(text, F.lit(key)),
                F.struct(F.lit(key).alias("key"), F.lit(value).alias("value")))
         for key, value in registry])
 
 
 def gallery_member(text: Column, names: Sequence[str]) -> Column:
     """Gallery name contained in the text; the alphabetically first when several are."""
-    low = F.lower(text)
-    return F.coalesce(*[F.when(F.contains(low, F.lit(n)), F.lit(n)) for n in sorted(names)])
+    return F.coalesce(*[F.when(F.contains(text, F.lit(n)), F.lit(n)) for n in sorted(names)])
 
 
 def story_mode(text: Column, eras: Sequence[tuple[str, str]], gallery: Sequence[str]) -> Column:
@@ -319,7 +332,7 @@ def lookup_entity(question: Column) -> Column:
 
 def _named(pattern: str, token: Column) -> Column:
     """Pattern column with the row's own name quoted into it."""
-    left, *rest = bounded(pattern).split("{t}")
+    left, *rest = edged(pattern).split("{t}")
     quoted = F.concat(F.lit(r"\Q"), F.lower(token), F.lit(r"\E"))
     out = F.lit(left)
     for part in rest:
@@ -328,14 +341,13 @@ def _named(pattern: str, token: Column) -> Column:
 
 
 def is_member_question(text: Column, token: Column) -> Column:
-    low = F.lower(text)
-    hits = [F.rlike(low, _named(p, token)) for p in MEMBER_SUBJECT]
+    hits = [F.rlike(text, _named(p, token)) for p in MEMBER_SUBJECT]
     return F.coalesce(F.length(token) > 0, F.lit(False)) & reduce(lambda a, b: a | b, hits)
 
 
 def roles_question(text: Column, token: Column) -> Column:
     """``last`` for a possessive, ``member`` when a name or a role verb is there, else null."""
-    low = F.lower(text)
+    low = text
     named = token.isNotNull() & (token != "")
     cites = F.rlike(low, _named(r"\b{t}\b", token))
     return F.when(any_pattern(low, (ROLES_WORD,)), F.when(
@@ -347,12 +359,13 @@ def is_self_report(text: Column) -> Column:
     return any_pattern(text, (SELF_INFO,))
 
 
-def routing_label(text: Column, hostile: Column, admitted: Column, member: Column) -> Column:
+def route_of_flags(flags: DataFrame) -> Column:
     """First rule that claims a message; the order of the rules is the behaviour."""
+    f = flags
     return (
-        F.when(is_probe(text), "probe").when(hostile, "hostile").when(is_insult(text), "insult")
-        .when(~admitted, "spam").when(member, "member").when(is_story_request(text), "story")
-        .when(wants_lore(text), "lore").otherwise("chat"))
+        F.when(f["probe"], "probe").when(f["hostile"], "hostile").when(f["insult"], "insult")
+        .when(~f["admitted"], "spam").when(f["member"], "member").when(f["story"], "story")
+        .when(f["lore"], "lore").otherwise("chat"))
 
 
 def turn_decision(probe: Column, context: Column, suggestion: Column, story: Column,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -34,8 +34,18 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 
 def strip(text: Column) -> Column:
-    """Trim every kind of white space at both ends."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    """Trim every kind of white space at both ends (no pattern: this runs per line)."""
+    return F.btrim(text, F.lit(" \t\n\r\f\x0b"))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Bind an expression that ``use`` reads several times, so it is computed once."""
+    return F.aggregate(F.array(F.lit(0)), value, lambda bound, _: use(bound))
+
+
+def chain_if(text: Column, marker: str, rules: Sequence[tuple[str, str]]) -> Column:
+    """Rules that can only match where the marker stands; other texts pass untouched."""
+    return let(text, lambda t: F.when(F.contains(t, F.lit(marker)), chain(t, rules)).otherwise(t))
 
 
 def squeeze(text: Column) -> Column:

@@ -45,14 +45,12 @@ BLOCK_RULES = (
     (r"(?is)<syntaxhighlight\b.*?</syntaxhighlight>|<source\b.*?</source>|<code\b.*?</code>", ""),
     (r"(?i)\{\{#(?:invoke|if|ifeq|ifexpr|expr|switch|titleparts|lst|lsth|lstx)[^{}]*\}\}", ""),
 )
-# HTML tags and what they become, in order.
+# HTML tags and what they become.
 TAG_RULES = (
-    (r"(?i)</?table[^>]*>", "\n"), (r"(?i)</?tr[^>]*>", "\n"), (r"(?i)</?td[^>]*>", " | "),
-    (r"(?i)</?th[^>]*>", " | "), (r"(?i)</?ul[^>]*>", "\n"), (r"(?i)</?ol[^>]*>", "\n"),
-    (r"(?i)</?li[^>]*>", "\n* "), (r"(?i)</?b>|</?strong>", "**"), (r"(?i)</?i>|</?em>", "_"),
-    (r"(?i)</?u>", ""), (r"(?i)</?br[^>]*>", "\n"), (r"(?i)</?p[^>]*>", "\n\n"),
-    (r"(?i)</?div[^>]*>", "\n"), (r"(?i)</?span[^>]*>", ""), (r"(?i)<ref[^>/]*/>", ""),
-    (r"(?is)<ref[^>]*>.*?</ref>", ""), (r"<[^>]+>", " "),
+    (r"(?i)</?(?:table|tr|ul|ol|br|div)[^>]*>", "\n"), (r"(?i)</?(?:td|th)[^>]*>", " | "),
+    (r"(?i)</?li[^>]*>", "\n* "), (r"(?i)</?(?:b|strong)>", "**"), (r"(?i)</?(?:i|em)>", "_"),
+    (r"(?i)</?p[^>]*>", "\n\n"), (r"(?i)</?u>|</?span[^>]*>", ""),
+    (r"(?i)<ref[^>/]*/>", ""), (r"(?is)<ref[^>]*>.*?</ref>", ""), (r"<[^>]+>", " "),
 )
 TRANSCLUSION_RULES = ((r"(?i)</?(?:noinclude|includeonly|onlyinclude)>", ""),)
 FILE_RULES = ((r"(?i)\[\[(?:File|Image)\s*:[^\]]*\]\]|\[\d+[^\]]*\]", ""),)
@@ -117,16 +115,17 @@ def has_canon(text: Column) -> Column:
 
 
 def strip_blocks(text: Column) -> Column:
-    return T.chain(text, BLOCK_RULES)
+    tags, braces = BLOCK_RULES[::2], BLOCK_RULES[1::2]
+    return T.chain_if(T.chain_if(text, "<", tags), "{", braces)
 
 
 def convert_tags(text: Column) -> Column:
-    return T.chain(text, TAG_RULES)
+    return T.chain_if(text, "<", TAG_RULES)
 
 
 def strip_references(text: Column) -> Column:
     """Transclusion tags, then file and image references."""
-    return T.chain(text, (*TRANSCLUSION_RULES, *FILE_RULES))
+    return T.chain_if(T.chain_if(text, "<", TRANSCLUSION_RULES), "[", FILE_RULES)
 
 
 _ARG = r"([^{}|]*)"
@@ -161,12 +160,12 @@ FLATTEN_RULES = ((r"\{\{[^{}|]*\|\s*([^{}]*?)\s*\}\}", "$1"),
 
 def render_narrative(text: Column) -> Column:
     """Quote, spoiler and reliability templates as block quotes."""
-    return T.chain(text, NARRATIVE_RULES)
+    return T.chain_if(text, "{{", NARRATIVE_RULES)
 
 
 def drop_noise(text: Column) -> Column:
     """Noise templates by name part or exact name, one level of nesting included."""
-    return T.chain(text, NOISE_RULES)
+    return T.chain_if(text, "{{", NOISE_RULES)
 
 
 def flatten_templates(text: Column) -> Column:
@@ -174,7 +173,9 @@ def flatten_templates(text: Column) -> Column:
 
     Nesting deeper than the pass count is left in place; :func:`template_residue` counts it.
     """
-    return T.chain(text, FLATTEN_RULES)
+    one_pass = FLATTEN_RULES[:2]
+    return F.aggregate(F.array_repeat(F.lit(0), TEMPLATE_DEPTH), text, lambda t, _: F.when(
+        F.contains(t, F.lit("{{")), T.chain(t, one_pass)).otherwise(t))
 
 
 def template_residue(text: Column) -> Column:
@@ -189,11 +190,11 @@ def protect_bullets(text: Column) -> Column:
 
 
 def emphasis(text: Column) -> Column:
-    return T.chain(text, EMPHASIS_RULES)
+    return T.chain_if(text, "''", EMPHASIS_RULES)
 
 
 def normalise_links(text: Column) -> Column:
-    return T.chain(text, LINK_RULES)
+    return T.chain_if(text, "[", LINK_RULES)
 
 
 def heading_title_key(title: Column) -> Column:
@@ -214,9 +215,12 @@ def drop_gameplay(df: DataFrame, column: str) -> DataFrame:
 
     def mark(line):
         key = heading_title_key(F.regexp_extract(line, HEADING_LINE, 2))
-        return F.struct(F.length(F.regexp_extract(line, HEADING_LINE, 1)).alias("level"),
-                        _mentions(key, LORE_SECTIONS).alias("lore"),
-                        _mentions(key, GAMEPLAY_SECTIONS).alias("game"))
+        level = F.length(F.regexp_extract(line, HEADING_LINE, 1))
+        plain = F.struct(F.lit(0).alias("level"), F.lit(False).alias("lore"),
+                         F.lit(False).alias("game"))
+        return F.when(F.startswith(line, F.lit("==")) | F.startswith(line, F.lit("#")), F.struct(
+            level.alias("level"), _mentions(key, LORE_SECTIONS).alias("lore"),
+            _mentions(key, GAMEPLAY_SECTIONS).alias("game"))).otherwise(plain)
 
     state = "array<struct<cut:int,shown:boolean>>"
 
@@ -246,7 +250,7 @@ def drop_gameplay(df: DataFrame, column: str) -> DataFrame:
 
 
 def reflow_headings(text: Column) -> Column:
-    return T.chain(text, HEADING_RULES)
+    return T.chain_if(T.chain_if(text, "==", HEADING_RULES[:-1]), "###", HEADING_RULES[-1:])
 
 
 def indentation(text: Column) -> Column:
@@ -294,22 +298,25 @@ def cut_footer(text: Column) -> Column:
 
 def strip_audio(text: Column) -> Column:
     """Sound file names, then lines reduced to a bare speaker or to markup."""
-    rows = F.transform(T.lines(T.chain(text, AUDIO_RULES)), lambda x: F.struct(
+    sounds = T.let(text, lambda t: F.when(F.rlike(t, F.lit(r"(?i)\.(?:ogg|mp3|wav)")), T.chain(
+        t, AUDIO_RULES)).otherwise(t))
+    rows = F.transform(T.lines(sounds), lambda x: F.struct(
         x.alias("line"), T.strip(F.regexp_replace(T.strip(x), r"^>", "")).alias("body")))
-    rows = F.transform(rows, lambda r: F.struct(r["line"].alias("line"), F.regexp_replace(
-        r["body"], r"^\*\*[^*]*\*\*\s*:?\s*$", "").alias("body")))
 
     def says_something(r):
+        body = r["body"]
+        name = F.startswith(body, F.lit("**")) & F.rlike(body, F.lit(r"^\*\*[^*]*\*\*\s*:?$"))
         # A bare label: words of letters parted by one blank or hyphen, then a colon.
-        label = F.rlike(r["body"], F.lit(r"^[A-Za-z][\w' -]*:\s*$")) & ~F.rlike(
-            r["body"], F.lit(r"[ -]+[^A-Za-z: ]|[ -][ -]+[A-Za-z]|-\s*:"))
-        return ~label & (T.strip(F.regexp_replace(r["body"], r"[>*_:.\"'–—-]", "")) != "")
+        label = F.endswith(body, F.lit(":")) & F.rlike(
+            body, F.lit(r"^[A-Za-z][\w' -]*:$")) & ~F.rlike(
+            body, F.lit(r"[ -]+[^A-Za-z: ]|[ -][ -]+[A-Za-z]|-\s*:"))
+        return ~name & ~label & F.rlike(body, F.lit(r"[^>*_:.\"'–—\s-]"))
 
     return F.array_join(F.transform(F.filter(rows, says_something), lambda r: r["line"]), "\n")
 
 
 def collapse_galleries(text: Column) -> Column:
-    return T.chain(text, GALLERY_RULES)
+    return T.chain_if(text, "<", GALLERY_RULES)
 
 
 def collapse_blank_lines(text: Column) -> Column:

@@ -189,7 +189,7 @@ def stems(text: Column, stopwords: Sequence[str]) -> Column:
     """Stems of a text in order, stop words left out: one pattern over the whole text."""
     words = F.filter(F.regexp_extract_all(F.lower(text), F.lit(WORDS), F.lit(1)),
                      lambda w: ~w.isin(*stopwords))
-    stemmed = F.regexp_replace(T.fold_accents(F.array_join(words, " ")), STEM + "(?![a-z])", "$1")
+    stemmed = F.regexp_replace(T.fold_accents(F.array_join(words, " ")), r"\b" + STEM + "(?![a-z])", "$1")
     return F.filter(F.split(stemmed, " "), lambda w: w != "")
 
 

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from foliant import staging
 from foliant.functions import classify as C
+from foliant.functions.text import once
 from foliant.operators import dialogue, ordered
 from foliant.plans.clean import lit_sql, strip_sql
 from foliant.plans.registry import query
+from foliant.session import materialize
 
 # Openings put before the message texts so that every rule meets its cases.
 OPENINGS = (
@@ -34,8 +36,9 @@ def messages(spark, sf):
     t = staging.table(spark, sf, "conversations")
     i = F.col("conv_id") * 7 + F.col("turn")
     short = (i % len(OPENINGS)).isin(13, 18)
-    return t.select("conv_id", "turn", "role", F.concat(opening(i), F.when(
-        short, F.lit("")).otherwise(F.col("text"))).alias("m"))
+    rows = staging.spread(t.select("conv_id", "turn", F.concat(opening(i), F.when(
+        short, F.lit("")).otherwise(F.col("text"))).alias("m")))
+    return once(rows, "low", F.lower("m"))
 
 
 def any_sql(patterns, col="lower(m)"):
@@ -64,7 +67,7 @@ WITH {MSG} SELECT conv_id, turn, {PROBE} AS probe, {SELF} AS self_reflection, {I
   {ANAPHORIC} AS anaphoric, {INSULT} AS insult, {APOLOGY} AS apology, {SINCERE} AS sincere,
   {LORE} AS lore, {STORY} AS story, {any_sql((C.SELF_INFO,))} AS self_report FROM msg""")
 def classify_messages(spark, sf):
-    m = F.col("m")
+    m = F.col("low")
     return messages(spark, sf).select(
         "conv_id", "turn", C.is_probe(m).alias("probe"), C.is_self_reflection(m).alias("self_reflection"),
         C.is_identity_question(m).alias("identity"), C.is_anaphoric(m).alias("anaphoric"),
@@ -91,7 +94,7 @@ SELECT conv_id, turn, story,
     AS gallery FROM e""")
 def story_modes(spark, sf):
     return messages(spark, sf).select("conv_id", "turn", C.story_mode(
-        F.col("m"), _ERAS, _GALLERY).alias("s")).select("conv_id", "turn", "s.*")
+        F.col("low"), _ERAS, _GALLERY).alias("s")).select("conv_id", "turn", "s.*")
 
 
 @query("continuations", f"""
@@ -99,7 +102,7 @@ WITH {MSG}, w AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(lower
   '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS t FROM msg)
 SELECT conv_id, turn, t <> '' AND len(string_split(t, ' ')) <= 5 AND {word_sql(C.CONTINUATIONS, 't')} AS continues FROM w""")
 def continuations(spark, sf):
-    return messages(spark, sf).select("conv_id", "turn", C.is_continuation(F.col("m")).alias("continues"))
+    return messages(spark, sf).select("conv_id", "turn", C.is_continuation(F.col("low")).alias("continues"))
 
 
 @query("lookup_entities")
@@ -111,7 +114,7 @@ def lookup_entities(spark, sf):
 @query("member_questions")
 def member_questions(spark, sf):
     """Questions about a member named in the row itself."""
-    m, token = F.col("m"), F.lit("Vasca")
+    m, token = F.col("low"), F.lit("Vasca")
     return messages(spark, sf).select(
         "conv_id", "turn", C.is_member_question(m, token).alias("member_question"),
         C.roles_question(m, token).alias("roles_question"))
@@ -124,13 +127,19 @@ h AS (SELECT *, last_value(CASE WHEN probe OR (insult AND insults >= 3) THEN 'op
   IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM n)"""
 
 
+def message_flags(spark, sf):
+    """Every flag of every message, once: narrow rows that the ordered steps then reuse."""
+    low = F.col("low")
+    return materialize(messages(spark, sf).select(
+        "conv_id", "turn", C.is_probe(low).alias("probe"), C.is_insult(low).alias("insult"),
+        C.is_sincere_apology(low).alias("sincere"), C.is_story_request(low).alias("story"),
+        C.wants_lore(low).alias("lore"), F.contains("m", F.lit("Vasca")).alias("member"),
+        (F.length("m") <= 1500).alias("admitted")))
+
+
 def hostile_marks(spark, sf):
-    m = F.col("m")
-    d = messages(spark, sf).select(
-        "conv_id", "turn", "m", C.is_probe(m).alias("probe"), C.is_insult(m).alias("insult"),
-        C.is_sincere_apology(m).alias("sincere"))
     slot = dialogue.line_slot("turn")
-    d = ordered.running_sum(d, ["conv_id"], ["turn"], slot,
+    d = ordered.running_sum(message_flags(spark, sf), ["conv_id"], ["turn"], slot,
                             {"insults": F.when(F.col("insult"), 1).otherwise(0)})
     mark = F.when(F.col("probe") | (F.col("insult") & (F.col("insults") >= 3)), "open").when(
         F.col("sincere"), "closed")
@@ -152,13 +161,10 @@ SELECT h.conv_id, h.turn, CASE WHEN probe THEN 'probe' WHEN coalesce(prior = 'op
   ({LORE} OR {STORY}) AND NOT contains(m, 'Vasca') AS use_rag
 FROM h JOIN msg USING (conv_id, turn)""")
 def routing_label(spark, sf):
-    m = F.col("m")
-    d = hostile_marks(spark, sf)
-    member = F.contains(m, F.lit("Vasca"))
-    hostile = F.coalesce(F.col("prior") == "open", F.lit(False))
-    return d.select("conv_id", "turn", C.routing_label(
-        m, hostile, F.length(m) <= 1500, member).alias("route"),
-        ((C.wants_lore(m) | C.is_story_request(m)) & ~member).alias("use_rag"))
+    d = hostile_marks(spark, sf).withColumn(
+        "hostile", F.coalesce(F.col("prior") == "open", F.lit(False)))
+    return d.select("conv_id", "turn", C.route_of_flags(d).alias("route"),
+                    ((F.col("lore") | F.col("story")) & ~F.col("member")).alias("use_rag"))
 
 
 @query("turn_decision", """

@@ -245,7 +245,7 @@ SELECT page_id, message_order, ana AS anaphoric,
   CASE WHEN ana AND prior IS NOT NULL THEN prior || ' ' || question ELSE question END AS search_text
 FROM b""")
 def anaphora_enrich(spark, sf):
-    q = questions(spark, sf).withColumn("anaphoric", C.is_anaphoric(F.col("question")))
+    q = questions(spark, sf).withColumn("anaphoric", C.is_anaphoric(F.lower("question")))
     return C.enrich_anaphora(q).select("page_id", "message_order", "anaphoric", "search_text")
 
 

@@ -521,7 +521,7 @@ def batch_retrieval(spark, sf):
     """The decision chain over a table of questions: one audit row per question."""
     from foliant.plans.directory import ALIASES
     q = question_table(spark, sf).withColumn("question", T.sanitize_query(F.col("question")))
-    q = q.withColumn("rejected", C.is_probe(F.col("question"))).withColumn(
+    q = q.withColumn("rejected", C.is_probe(F.lower("question"))).withColumn(
         "a", T.resolve_alias(F.col("question"), ALIASES))
     q = materialize(q.select("query_id", "question", "rejected", F.col("a.expanded").alias("search_text"),
                              F.col("a.note").alias("note"), F.col("a.canonical").alias("canonical")))

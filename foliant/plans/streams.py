@@ -114,8 +114,11 @@ WITH {_MARKS} SELECT conv_id, turn AS seq, insults::BIGINT AS insults, coalesce(
 def stream_hostile(spark, sf):
     from foliant.plans.classify import OPENINGS, opening
     i = F.col("conv_id") * 7 + F.col("turn")
-    m = F.concat(opening(i), F.when((i % len(OPENINGS)).isin(13, 18), F.lit("")).otherwise(F.col("text")))
+    said = F.concat(opening(i), F.when(
+        (i % len(OPENINGS)).isin(13, 18), F.lit("")).otherwise(F.col("text")))
+    m = F.col("m")
     turns = turn_stream(spark, sf).select(
+        "conv_id", "us", "seq", F.lower(said).alias("m")).select(
         "conv_id", "us", "seq", C.is_probe(m).alias("probe"), C.is_insult(m).alias("insult"),
         C.is_sincere_apology(m).alias("sincere"))
     out = _schema(conv_id=_LONG, seq=_LONG, insults=_LONG, hostile=_BOOL)

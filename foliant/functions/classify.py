@@ -22,17 +22,19 @@ _WORD = "0-9A-Za-z_À-ÿ"
 
 
 def _spell(pattern: str, left: str, right: str) -> str:
-    out = re.sub(r"(^|\||\(\?:|\()\\b", lambda m: m.group(1) + left, pattern)
-    return out.replace(r"\b", right)
+    """Replace each ``\\b`` by its opening or closing form, told by what comes after it."""
+    opening = re.sub(r"\\b(?=[(a-zà-ÿ{])", lambda _: left, pattern)
+    return opening.replace(r"\b", right)
 
 
 def bounded(pattern: str) -> str:
-    """Word boundaries spelled out without look-around."""
+    """Word boundaries spelled out without look-around; for patterns whose boundaries do not
+    face each other across a gap."""
     return _spell(pattern, f"(?:^|[^{_WORD}])", f"(?:[^{_WORD}]|$)")
 
 
 def edged(pattern: str) -> str:
-    """Word boundaries as look-around: several times faster in the JVM."""
+    """Word boundaries as look-around: exact everywhere and several times faster in the JVM."""
     return _spell(pattern, f"(?<![{_WORD}])", f"(?![{_WORD}])")
 
 

@@ -28,7 +28,8 @@ def activity_percentile(messages: DataFrame) -> DataFrame:
                    F.lit(0)).alias("behind"),
         F.sum("members").over(Window.partitionBy()).alias("total"))
     scored = counts.join(F.broadcast(ladder), "msg_count").withColumn(
-        "percentile", F.bround(100.0 * F.col("behind") / (F.col("total") - 1)).cast("long"))
+        "percentile", F.bround(
+            100.0 * F.col("behind") / F.nullif(F.col("total") - 1, F.lit(0))).cast("long"))
     label = F.when(F.col("total") == 1, "Modéré")
     for threshold, name in TIERS:
         label = label.when(F.col("percentile") >= threshold, name)

@@ -62,10 +62,16 @@ ANAPHORIC = f"""(length({strip_sql('m')}) BETWEEN 1 AND 120 AND ({word_sql(C.ANA
   regexp_matches({strip_sql('lower(m)')}, {lit_sql(C.ANAPHORIC_START)})))"""
 
 
+# A gap between two word boundaries opens and closes with a character that is no letter.
+_EDGE = "[^0-9A-Za-z_À-ÿ.!?]"
+SELF_REPORT = any_sql((C.SELF_INFO.replace(
+    r"\b[^.!?]{0,30}\b", f"(?:{_EDGE}|{_EDGE}[^.!?]{{0,28}}{_EDGE})"),))
+
+
 @query("classify_messages", f"""
 WITH {MSG} SELECT conv_id, turn, {PROBE} AS probe, {SELF} AS self_reflection, {IDENTITY} AS identity,
   {ANAPHORIC} AS anaphoric, {INSULT} AS insult, {APOLOGY} AS apology, {SINCERE} AS sincere,
-  {LORE} AS lore, {STORY} AS story, {any_sql((C.SELF_INFO,))} AS self_report FROM msg""")
+  {LORE} AS lore, {STORY} AS story, {SELF_REPORT} AS self_report FROM msg""")
 def classify_messages(spark, sf):
     m = F.col("low")
     return messages(spark, sf).select(

@@ -49,43 +49,76 @@ NODE_KINDS = {
 
 NODE = ("struct<Id:int,type:string,Content:string,LocTag:string,Speaker:string,"
         "ChemistryDelta:int,Outgoing:array<int>,TrueNodes:array<int>,FalseNodes:array<int>,"
-        "Outputs:array<struct<Expression:string,Outgoing:array<int>>>>")
+        "Outputs:array<struct<Expression:string,Outgoing:array<int>>>,"
+        "Script:struct<Script:string,Function:string>,CounterName:string,CompletionType:string,"
+        "OtherDialogueInfos:array<struct<Tag:string,Dialogue:string>>>")
 
 
 def node_kind(node_type: Column) -> Column:
-    name = F.substring_index(node_type, "/", -1)
-    return F.coalesce(*[F.when(name == t, F.lit(k)) for t, k in NODE_KINDS.items()],
+    """Role of a node; only the exact engine types have one, look-alikes are system nodes."""
+    return F.coalesce(*[F.when(node_type == ENGINE + t, F.lit(k)) for t, k in NODE_KINDS.items()],
                       F.lit("system"))
 
 
+def _system_text(n: Column, said: Column) -> Column:
+    content = F.coalesce(n["Content"], F.lit(""))
+
+    def at(name):
+        return n["type"] == ENGINE + name
+
+    def script(action):
+        return F.concat(F.lit(f"{action}: "), F.coalesce(n["Script"]["Script"], F.lit("")),
+                        F.lit(" :: "), F.coalesce(n["Script"]["Function"], F.lit("")))
+
+    def listed(title, rows):
+        return F.array_join(F.concat(F.array(title), F.coalesce(
+            rows, F.array().cast("array<string>"))), "\n")
+
+    expressions = F.transform(n["Outputs"], lambda o: F.coalesce(o["Expression"], F.lit("")))
+    step = F.regexp_extract(content, r"^(\S*) ([+-]?\d+)$", 2)
+    signed = F.when(F.rlike(step, F.lit("^[+-]")), step).otherwise(F.concat(F.lit("+"), step))
+    targets = F.transform(n["OtherDialogueInfos"], lambda i: F.when(
+        (F.length(i["Tag"]) > 0) & (F.length(i["Dialogue"]) > 0),
+        F.concat(i["Tag"], F.lit(" ("), i["Dialogue"], F.lit(")"))).otherwise(
+        F.coalesce(F.nullif(i["Tag"], F.lit("")), i["Dialogue"], F.lit(""))))
+    other = F.concat(F.lit("System action: "), F.coalesce(F.nullif(F.substring_index(
+        n["type"], "/", -1), F.lit("")), F.lit("Unknown type")))
+    return (
+        F.when(at("CheckBooleanDialogueNode"), F.concat(F.lit("Check boolean: "), content))
+        .when(at("CheckBooleanScriptDialogueNode"), script("Check script"))
+        .when(at("ScriptDialogueNode"), script("Run script"))
+        .when(at("CheckMultiBooleanDialogueNode"), listed(F.lit("Check booleans"), expressions))
+        .when(at("CheckCounterDialogueNode"), listed(F.concat(
+            F.lit("Check counter: "), F.coalesce(n["CounterName"], F.lit(""))), expressions))
+        .when(at("SetBooleanDialogueNode"), F.when(content != "", F.concat(
+            content, F.lit(" is now true"))).otherwise("Set boolean to true"))
+        .when(at("ResetBooleanDialogueNode"), F.when(content != "", F.concat(
+            content, F.lit(" is now false"))).otherwise("Reset boolean to false"))
+        .when(at("IncCounterDialogueNode"), F.concat(F.lit("Increment counter: "), F.when(
+            step != "", F.concat(F.substring_index(content, " ", 1), F.lit(" "), signed)
+        ).otherwise(content)))
+        .when(at("SpecialCompletionDialogueNode"), listed(F.concat(
+            F.lit("Special completion"), F.coalesce(F.concat(
+                F.lit(" (type "), n["CompletionType"], F.lit(")")), F.lit(""))), targets))
+        .otherwise(F.concat_ws("\n", other, F.nullif(said, F.lit("")))))
+
+
 def visible_text(n: Column, said: Column, kind: Column, name: str = "text") -> Column:
     """Text a reader sees for a node of each kind."""
     delta = n["ChemistryDelta"]
     signed = F.concat(F.when(delta >= 0, F.lit("+")).otherwise(F.lit("")), delta.cast("string"))
     content = F.coalesce(n["Content"], F.lit(""))
-    title = F.concat(F.lit("System action: "), F.substring_index(n["type"], "/", -1))
-    simple = F.substring_index(n["type"], "/", -1)
-    system = (
-        F.when(simple == "CheckBooleanDialogueNode", F.concat(F.lit("Check boolean: "), content))
-        .when(simple == "SetBooleanDialogueNode", F.when(content != "", F.concat(
-            content, F.lit(" is now true"))).otherwise("Set boolean to true"))
-        .when(simple == "ResetBooleanDialogueNode", F.when(content != "", F.concat(
-            content, F.lit(" is now false"))).otherwise("Reset boolean to false"))
-        .when(simple == "CheckMultiBooleanDialogueNode", F.array_join(F.concat(
-            F.array(F.lit("Check booleans")), F.coalesce(
-                F.transform(n["Outputs"], lambda o: o["Expression"]),
-                F.array().cast("array<string>"))), "\n"))
-        .otherwise(F.concat_ws("\n", title, F.nullif(said, F.lit("")))))
     return (
         F.when(kind == "start", content)
         .when(kind == "end", F.concat_ws("\n", F.lit("Chat finished"), F.when(
             content != "", F.concat(F.lit("Next conversation: "), content))))
         .when(kind == "chemistry", F.when(delta.isNotNull(), F.concat(
             signed, F.lit(" Chemistry"))).otherwise("Chemistry"))
-        .when(kind == "system", system).otherwise(said)).alias(name)
+        .when(kind == "system", _system_text(n, said)).otherwise(said)).alias(name)
 
 
-def file_nodes(files: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
+def file_nodes(files: DataFrame, dictionary: DataFrame | None = None,
+               sender: str = "") -> DataFrame:
     """Nodes of native files with their kind and visible text; nodes without id drop out."""
     n = F.col("n")
     rows = files.select("file", F.explode("nodes").alias("n")).filter("n.Id IS NOT NULL")
@@ -102,7 +135,8 @@ def file_nodes(files: DataFrame, dictionary: DataFrame | None = None) -> DataFra
     kind = node_kind(n["type"])
     return rows.select(
         "file", n["Id"].alias("node"), kind.alias("kind"),
-        F.when(kind == "choice", "You").otherwise(F.coalesce(n["Speaker"], F.lit("")))
+        F.when(kind == "choice", "You").otherwise(F.coalesce(
+            F.nullif(n["Speaker"], F.lit("")), F.when(kind == "npc", F.lit(sender)), F.lit("")))
         .alias("speaker"), visible_text(n, F.col("said"), kind))
 
 

@@ -241,7 +241,7 @@ def mention_names(spark, sf):
 SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'Rank ' || o_custkey END AS rank FROM orders""")
 def rank_labels(spark, sf):
     conv = F.when(F.col("o_orderkey") % 3 == 0, F.lit("Intro")).otherwise(
-        F.concat(F.lit("Arthurrank "), F.col("o_custkey").cast("string"), F.lit("Convo1")))
+        F.concat(F.lit("Personrank "), F.col("o_custkey").cast("string"), F.lit("Convo1")))
     return staging.table(spark, sf, "orders").select("o_orderkey", T.rank_label(conv).alias("rank"))
 
 

@@ -81,7 +81,12 @@ def native_nodes(text):
             F.when(k == 5, F.array(
                 F.struct(F.lit("a > 1").alias("Expression"), F.array(i + 1).alias("Outgoing")),
                 F.struct(F.lit("else").alias("Expression"), F.array(i + 3, i + 1).alias("Outgoing"))
-            )).alias("Outputs"))
+            )).alias("Outputs"),
+            F.lit(None).cast("struct<Script:string,Function:string>").alias("Script"),
+            F.lit(None).cast("string").alias("CounterName"),
+            F.lit(None).cast("string").alias("CompletionType"),
+            F.lit(None).cast("array<struct<Tag:string,Dialogue:string>>")
+            .alias("OtherDialogueInfos"))
 
     return F.transform(lines, node)
 

@@ -36,21 +36,17 @@ def page_title(text: Column) -> Column:
 
 def pages_md(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markdown pages: bucket, title, language, text and reliability status."""
-    docs = table(spark, sf_dir, "documents")
-    labels = table(spark, sf_dir, "labels")
+    # The title is cut before the join, so jobs that need no text shuffle none.
+    pages = pages_plain(spark, sf_dir)
+    labels = table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "page_id")
     status = (
         F.when(F.col("toxic") == 1, "community_theory")
         .when(F.col("quality") == 0, "speculation")
         .otherwise("canon")
     )
-    return docs.join(labels, "doc_id", "left").select(
-        F.col("doc_id").alias("page_id"),
-        F.col("source").alias("bucket_id"),
-        page_title(F.col("text")).alias("page_title"),
-        "lang",
-        F.col("text").alias("content_markdown"),
-        status.alias("canon_status"),
-    )
+    return pages.join(labels, "page_id", "left").select(
+        "page_id", "bucket_id", "page_title", "lang", "content_markdown",
+        status.alias("canon_status"))
 
 
 def pages_plain(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -109,14 +109,14 @@ def test_merge_and_ordered_dedup(spark):
 
 
 def test_dossier_pages_and_ban_list(spark):
-    rows = [(i, 1, "Ordis/Quotes", i, "a") for i in range(2)] + [
-        (10, 2, "ordis", 0, "b"), (11, 3, "About Ordis", 0, "c"), (12, 4, "Other", 0, "says ordis here"),
-        (13, 5, "Other", 0, "nothing"), (14, 6, "Ordis (fr)", 0, "d")]
+    rows = [(i, 1, "Brann/Quotes", i, "a") for i in range(2)] + [
+        (10, 2, "brann", 0, "b"), (11, 3, "About Brann", 0, "c"), (12, 4, "Other", 0, "says brann here"),
+        (13, 5, "Other", 0, "nothing"), (14, 6, "Brann (fr)", 0, "d")]
     df = spark.createDataFrame(rows, "chunk_id long, page_id long, page_title string, chunk_index int, content string")
-    first = R.dossier(df, ["ordis"], 3)
+    first = R.dossier(df, ["brann"], 3)
     page = first.orderBy("rn").collect()
     assert [r.chunk_id for r in page] == [10, 14, 0] and all(r.more for r in page)
-    second = R.dossier(df, ["ordis"], 3, consumed=first).orderBy("rn").collect()
+    second = R.dossier(df, ["brann"], 3, consumed=first).orderBy("rn").collect()
     assert [r.chunk_id for r in second] == [1, 11, 12] and not any(r.more for r in second)
 
 
@@ -129,16 +129,16 @@ def test_context_budget_keeps_the_first(spark):
 
 
 def test_patterns_and_suggestions(spark, monkeypatch):
-    titles = spark.createDataFrame([("Lettie",), ("Letters",), ("Albrecht Entrati",), ("The Hex",)], "page_title string")
-    pats = spark.createDataFrame([("let",), ("hex",), ("zz",)], "pattern string")
+    titles = spark.createDataFrame([("Pattie",), ("Patters",), ("Aldwin Entwood",), ("The Fox",)], "page_title string")
+    pats = spark.createDataFrame([("pat",), ("fox",), ("zz",)], "pattern string")
     for block in (100, 1):
         monkeypatch.setattr(R, "PATTERN_BLOCK", block)
         got = {(r.page_title, r.pattern) for r in R.contained_patterns(titles, "page_title", pats, ["page_title"]).collect()}
-        assert got == {("Lettie", "let"), ("Letters", "let"), ("The Hex", "hex")}
-    q = spark.createDataFrame([(1, "qui est lettie ?"), (2, "parle de lett"), (3, "albrecht et hex")],
+        assert got == {("Pattie", "pat"), ("Patters", "pat"), ("The Fox", "fox")}
+    q = spark.createDataFrame([(1, "qui est pattie ?"), (2, "parle de patt"), (3, "aldwin et fox")],
                               "query_id long, question string")
     assert {r.query_id: r.suggestion for r in R.suggest_titles(q, titles).collect()} == {
-        1: "Lettie", 3: "Albrecht Entrati"}
+        1: "Pattie", 3: "Aldwin Entwood"}
 
 
 def test_headline(spark):
@@ -149,7 +149,7 @@ def test_headline(spark):
 
 
 @pytest.mark.parametrize("answer, context, want", [
-    ("Le sage Albrecht parle.", "albrecht entrati", set()),
+    ("Le sage Aldwin parle.", "aldwin entwood", set()),
     ("Le sage Zorvax parle.", "rien", {"zorvax"}),
     ("Le Codex dit vrai.", "", set()),
     ("L'homme d'Orvane et orvane.", "", set()),
@@ -191,10 +191,10 @@ def test_lookup_join_salted_equals_broadcast(spark):
 
 
 def test_members_and_roles(spark):
-    msgs = spark.createDataFrame([(1, "bonjour le77ie"), (2, "salut dant"), (3, "avec qui"), (4, "rien ici")], "id long, text string")
-    names = spark.createDataFrame([("Lettie",), ("DantesDels",), ("avecina",)], "name string")
+    msgs = spark.createDataFrame([(1, "bonjour pa77ie"), (2, "salut marl"), (3, "avec qui"), (4, "rien ici")], "id long, text string")
+    names = spark.createDataFrame([("Pattie",), ("MarloDels",), ("avecina",)], "name string")
     got = {r.id: (r.token, r.exact) for r in D.resolve_members(msgs, names, C.STOPWORDS, "id").collect()}
-    assert got == {1: ("le77ie", True), 2: ("dant", False)}
+    assert got == {1: ("pa77ie", True), 2: ("marl", False)}
 
 
 @pytest.mark.parametrize("value, want", [
@@ -240,24 +240,24 @@ def test_export_manifest(spark):
 
 
 def test_chaptered_dialogue(spark):
-    md = "\n".join(["> **Amir:** before", "## One", "> **Amir:** hi {Convo. ends.}", "> > go on", "[Convo ends]",
-                    "> Update: 3 items", "> **Amir:** 40%", "## Two", "> Arthur : bye", "(convo. ends)"])
+    md = "\n".join(["> **Ivor:** before", "## One", "> **Ivor:** hi {Convo. ends.}", "> > go on", "[Convo ends]",
+                    "> Update: 3 items", "> **Ivor:** 40%", "## Two", "> Gaston : bye", "(convo. ends)"])
     df = spark.createDataFrame([(1, md)], "page_id long, content_markdown string")
     got = [(r.message_order, r.speaker, r.message_text, r.player_choice, r.chemistry_gain, r.chapter)
            for r in E.chaptered_rows(df, skip_intro=True).orderBy("message_order").collect()]
-    assert got == [(0, "Amir", "hi", False, True, "One"), (1, "", "go on", True, True, "One"),
-                   (2, "Arthur", "bye", False, True, "Two")]
+    assert got == [(0, "Ivor", "hi", False, True, "One"), (1, "", "go on", True, True, "One"),
+                   (2, "Gaston", "bye", False, True, "Two")]
     assert E.chaptered_rows(df, skip_intro=False).count() == 4
 
 
 def test_conversations_and_versions(spark):
     md = "\n".join(["## Rank 1 - Neutral", "### Conversation 2", "> a", "### Conversation 2", "> b",
                     "## Rank 2: Liked", "### Free talk", "> c"])
-    df = spark.createDataFrame([(1, "Chat/Amir B", md)], "page_id long, page_title string, content_markdown string")
+    df = spark.createDataFrame([(1, "Chat/Ivor B", md)], "page_id long, page_title string, content_markdown string")
     got = [(r.conversation_id, r.title, r.rank, r.body.split("\n")[-1]) for r in E.split_conversations(df).collect()]
-    assert sorted(got) == [("AmirBRank1Convo2", "Conversation 2", "Rank 1 - Neutral", "> a"),
-                           ("AmirBRank1Convo2-2", "Conversation 2", "Rank 1 - Neutral", "> b"),
-                           ("AmirBRank2Freetalk", "Free talk", "Rank 2 - Liked", "> c")]
+    assert sorted(got) == [("IvorBRank1Convo2", "Conversation 2", "Rank 1 - Neutral", "> a"),
+                           ("IvorBRank1Convo2-2", "Conversation 2", "Rank 1 - Neutral", "> b"),
+                           ("IvorBRank2Freetalk", "Free talk", "Rank 2 - Liked", "> c")]
     md = "text\n## Patch History\nnoise\n**Update 27.2**\n* Fixed {x} it\n- more\n[ref]\nHotfix 1.0\n# Next\nz"
     df = spark.createDataFrame([(1, md)], "page_id long, content_markdown string")
     notes = [(r.version, r.notes) for r in E.version_notes(df).collect()]
@@ -268,10 +268,16 @@ def test_conversations_and_versions(spark):
 
 def test_native_graph(spark):
     n = lambda i, t, **k: {"Id": i, "type": G.ENGINE + t, **k}
-    nodes = [n(5, "StartDialogueNode", Content="ArthurRank1", Outgoing=[1, 2]),
+    nodes = [n(5, "StartDialogueNode", Content="GastonRank1", Outgoing=[1, 2]),
              n(1, "DialogueNode", Content="hello", Outgoing=[3, 99]), n(2, "PlayerChoiceDialogueNode", Content="me", Outgoing=[1]),
              n(3, "EndDialogueNode", Outgoing=[4]), n(4, "DialogueNode", Content="after end", Outgoing=[1, 1]),
-             n(None, "DialogueNode", Content="no id"), n(8, "DialogueNode", Content="lost")]
+             n(None, "DialogueNode", Content="no id"), n(8, "DialogueNode", Content="lost"),
+             n(9, "IncCounterDialogueNode", Content="trust 2"),
+             n(10, "CheckCounterDialogueNode", CounterName="trust", Outputs=[{"Expression": "> 1"}]),
+             n(11, "ScriptDialogueNode", Script={"Script": "s", "Function": "f"}),
+             n(12, "SpecialCompletionDialogueNode", CompletionType="3",
+               OtherDialogueInfos=[{"Tag": "t", "Dialogue": "d"}, {"Dialogue": "e"}]),
+             {"Id": 13, "type": "/Other/DialogueNode", "Content": "alike"}]
     df = spark.createDataFrame([("f", nodes)], f"file string, nodes array<{G.NODE}>")
     w = G.conversation_walks(df).collect()[0]
     assert w.reached == [5, 1, 3, 4, 2] and w.listed == [1, 2]
@@ -279,6 +285,10 @@ def test_native_graph(spark):
     assert sorted(edges) == [(1, 3, 0), (2, 1, 0), (3, 4, 0), (4, 1, 0), (4, 1, 1), (5, 1, 0), (5, 2, 1)]
     texts = {r.node: r.text for r in G.file_nodes(df).collect()}
     assert texts[3] == "Chat finished" and texts[1] == "hello" and 8 in texts
+    assert texts[9] == "Increment counter: trust +2"
+    assert texts[10] == "Check counter: trust\n> 1" and texts[11] == "Run script: s :: f"
+    assert texts[12] == "Special completion (type 3)\nt (d)\ne"
+    assert texts[13] == "System action: DialogueNode\nalike"
 
 
 def test_reachable_cap_and_cycle(spark):

@@ -23,15 +23,15 @@ def one(spark, fn, *values):
     (T.sanitize_filename, "/Lotus/A b.png!00_x/y", "y"),
     (T.sanitize_filename, "/Lotus/A b.png!00_xy", "A_b.png__00_xy"),
     (T.sanitize_filename, "/Lotus/Plain.png", "Plain.png"),
-    (T.drop_suffix, "Ordis (fr)", "Ordis"),
-    (T.drop_suffix, "Ordis", "Ordis"),
+    (T.drop_suffix, "Brann (fr)", "Brann"),
+    (T.drop_suffix, "Brann", "Brann"),
     (T.strip_context_prefix, "Page: A | Section: B - C - text", "C - text"),
     (T.strip_context_prefix, "Page: A - text", "text"),
     (T.strip_padding, "mot**", "mot**"),
     (T.strip_padding, "mot *", "mot"),
     (T.strip_padding, "mot ---  ", "mot"),
-    (T.rank_label, "ArthurRank3Convo1", "Rank 3"),
-    (T.rank_label, "Arthur", ""),
+    (T.rank_label, "GastonRank3Convo1", "Rank 3"),
+    (T.rank_label, "Gaston", ""),
     (M.display_text, "Hi {If x}you {P2}there {Continues below}", "Hi you there"),
     (M.display_text, "End {Convo. Ends. Jump}", "End {Convo. Ends. Jump}"),
     (M.script_ref, "> Ah {P1} Well!?", "ah well"),
@@ -65,8 +65,8 @@ def test_name_citation(spark):
     def cited(text, name):
         return one(spark, lambda t, n: T.cites_name(t, T.name_variants(n)), text, name)
 
-    assert cited("hé dantes !", "DantesDels") and cited("DELS?", "DantesDels")
-    assert not cited("dantesque", "DantesDels")
+    assert cited("hé marlo !", "MarloDels") and cited("DELS?", "MarloDels")
+    assert not cited("marlonque", "MarloDels")
 
 
 def test_replace_first_and_mentions(spark):
@@ -100,14 +100,14 @@ def test_link_path(spark, href, want):
     assert one(spark, lambda c: H.link_path(c, F.lit("h.example"), prefix, ("forum",)), href) == want
 
 
-WIKI = """<!-- note -->{{Infobox|a=b}}{{Quote|Hear me|Teshin}}
+WIKI = """<!-- note -->{{Infobox|a=b}}{{Quote|Hear me|Teodor}}
 '''Bold''' and ''it'' with [[File:x.png|thumb]] [[Page#s|label]] [[Help:Target#x]] [https://e.org site]
 == Acquisition ==
 Buy it.
 === Deep ===
 hidden text
 == Lore ==
-* Ordis: "Operator?"
+* Brann: "Operator?"
 * Plain bullet
 After.
 {{Speculation|maybe}}
@@ -121,9 +121,9 @@ def test_cleaning_chain(spark):
     row = X.clean_pages(df).collect()[0]
     assert row.non_canon and not row.canon
     assert row.markdown.split("\n") == [
-        '> "Hear me"', "> — Teshin",
+        '> "Hear me"', "> — Teodor",
         "**Bold** and _it_ with  label Target site", "## Deep", "## Lore",
-        "> **Ordis:** Operator?", "> Plain bullet", "After.",
+        "> **Brann:** Operator?", "> Plain bullet", "After.",
         "> **[NON-CANON / SPECULATION JOUEUR]** maybe", "first|second"]
 
 
@@ -136,7 +136,7 @@ def test_gameplay_block_ends_at_lore_or_same_level(spark):
 
 @pytest.mark.parametrize("given, want", [
     ("a {Same as below} b", "a  b"), ("a {Convo ends. Same} b", "a {Convo ends. Same} b"),
-    ("> **{If shy} Arthur:** hi", "> **Arthur:** hi"), ("x {P12}\ny", "x\ny")])
+    ("> **{If shy} Gaston:** hi", "> **Gaston:** hi"), ("x {P12}\ny", "x\ny")])
 def test_instructions(spark, given, want):
     assert one(spark, X.strip_instructions, given) == want
 
@@ -191,8 +191,8 @@ def test_merged_sections(spark):
 
 
 @pytest.mark.parametrize("text, entity", [
-    ("Qui est Albrecht ?", "Albrecht"), ("qui est le Vieux Sage", "Vieux"), ("Qui est arthur ?", None),
-    ("parle-moi d'Entrati.", "Entrati"), ("Qui est l'Homme ?", "Homme"), ("bonjour", None)])
+    ("Qui est Aldwin ?", "Aldwin"), ("qui est le Vieux Sage", "Vieux"), ("Qui est gaston ?", None),
+    ("parle-moi d'Entwood.", "Entwood"), ("Qui est l'Homme ?", "Homme"), ("bonjour", None)])
 def test_lookup_entity(spark, text, entity):
     assert one(spark, C.lookup_entity, text) == entity
 

@@ -71,7 +71,7 @@ def native_nodes(text):
         nxt = F.array(i + 1, i + 1 + (F.length(line) % 4).cast("int"))
         return F.struct(
             F.when(i % 29 != 28, i).alias("Id"), F.get(kinds, k).alias("type"),
-            F.substring(line, 1, 12).alias("Content"),
+            line.alias("Content"),
             F.when(k == 1, F.concat(F.lit("tag"), F.length(line).cast("string"))).alias("LocTag"),
             F.when(k == 6, "Narrator").alias("Speaker"),
             F.when(k == 3, (F.length(line) % 11).cast("int") - 5).alias("ChemistryDelta"),
@@ -120,7 +120,7 @@ def native_edges(spark, sf):
 
 @query("native_nodes", f"""
 WITH {NATIVE}, d AS (SELECT DISTINCT 'tag' || length(line) AS key, 'Text ' || length(line) AS text FROM nl WHERE length(line) % 2 = 0),
-t AS (SELECT nn.*, substr(line, 1, 12) AS content, CASE k WHEN 1 THEN 'tag' || length(line) ELSE substr(line, 1, 12) END AS key FROM nn),
+t AS (SELECT nn.*, line AS content, CASE k WHEN 1 THEN 'tag' || length(line) ELSE line END AS key FROM nn),
 v AS (SELECT t.*, coalesce(d.text, t.key) AS said FROM t LEFT JOIN d ON t.key = d.key)
 SELECT file, i::INTEGER AS node, CASE k WHEN 0 THEN 'start' WHEN 1 THEN 'npc' WHEN 2 THEN 'choice' WHEN 3 THEN 'chemistry'
     WHEN 6 THEN 'npc' WHEN 7 THEN 'end' ELSE 'system' END AS kind,

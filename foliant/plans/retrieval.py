@@ -13,7 +13,7 @@ from foliant.operators import ground
 from foliant.operators import retrieve as R
 from foliant.plans import sql as S
 from foliant.plans.chunk import VOCAB, vocabulary_table
-from foliant.plans.clean import chain_sql, strip_sql
+from foliant.plans.clean import strip_sql
 from foliant.plans.extract import structured_rows
 from foliant.plans.registry import query
 from foliant.session import materialize

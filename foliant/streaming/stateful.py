@@ -10,9 +10,11 @@ offset limit bounds what a hot key can bring into one task.
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -169,3 +171,8 @@ def replay(rows: list[dict], step: Step) -> list[dict]:
         if made is not None:
             out.append(made)
     return out
+
+
+# The state worker next to the driver does not see files added to the executors, so the
+# folds travel by value instead of by import.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+_PACKAGE = os.path.dirname(os.path.abspath(__file__))
+_shipped: set[str] = set()
+
 # Runtime settings that are safe on any cluster; a cluster's own value wins.
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -54,3 +59,13 @@ def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage through a reliable checkpoint in the shared folder."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once per application."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        root, name = os.path.split(_PACKAGE)
+        archive = os.path.join(tempfile.mkdtemp(prefix="foliant-"), name)
+        spark.sparkContext.addPyFile(shutil.make_archive(archive, "zip", root, name))
+        _shipped.add(app)

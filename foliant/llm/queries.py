@@ -4,18 +4,97 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import simhash_dedup
+from foliant.llm import mix_flow, quality_crf, simhash_dedup, unigram_pieces
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_crf.classify(_table(spark, sf_dir, "documents"),
+                                _table(spark, sf_dir, "labels"))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op7_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram_pieces.encode_documents(_table(spark, sf_dir, "documents"))
+
+
+def op9_mix_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_flow.mix_report(_table(spark, sf_dir, "documents"))
+
+
+# Every document has one source, so the flow gives each source its quota from its own pattern.
+OP9_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size
+  FROM documents),
+s AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w
+  FROM d GROUP BY source),
+t AS (
+  SELECT *, sum(source_size) OVER () AS total,
+         coalesce(sum(3 * source_size) OVER (ORDER BY 3.0 * source_size / w, source
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+         sum(w) OVER (ORDER BY 3.0 * source_size / w, source
+           ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights
+  FROM s),
+unit AS (
+  SELECT total - before AS words, weights FROM t
+  WHERE (total - before) * w <= 3 * source_size * weights
+  ORDER BY 3.0 * source_size / w, source LIMIT 1),
+q AS (
+  SELECT s.source, source_size, w,
+         w * words > 3 * source_size * weights AS full_,
+         CASE WHEN w * words > 3 * source_size * weights THEN 3.0 * source_size
+              ELSE round((w * words)::DOUBLE / weights::DOUBLE, 6) END AS target,
+         CASE WHEN w * words > 3 * source_size * weights THEN 3 * source_size
+              ELSE (w * words) // weights END AS quota
+  FROM s, unit),
+p AS (
+  SELECT *, CASE WHEN source_size > 0 THEN quota // source_size ELSE 0 END AS rounds,
+         CASE WHEN source_size > 0 THEN quota % source_size ELSE 0 END AS remainder
+  FROM q),
+u AS (
+  SELECT d.source, d.doc_id, sum(size) AS size,
+         ('0x' || substr(md5('42:' || coalesce(d.doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h
+  FROM d GROUP BY d.source, d.doc_id),
+o AS (
+  SELECT u.*, p.remainder, sum(u.size) OVER (PARTITION BY u.source ORDER BY h, u.doc_id) AS upto
+  FROM u JOIN p ON u.source IS NOT DISTINCT FROM p.source WHERE p.remainder > 0),
+gaps AS (
+  SELECT source, min(remainder) - coalesce(max(upto) FILTER (upto <= remainder), 0) AS gap
+  FROM o GROUP BY source),
+rest AS (
+  SELECT o.source, o.doc_id, o.size, row_number() OVER (
+           PARTITION BY o.source ORDER BY o.size DESC, h, o.doc_id) AS place
+  FROM o JOIN gaps g ON o.source IS NOT DISTINCT FROM g.source
+  WHERE upto > remainder AND size > 0 AND size <= gap),
+fill AS (
+  SELECT source, gap, 0::BIGINT AS place, NULL::BIGINT AS doc_id, 0 AS step FROM gaps
+  UNION ALL
+  SELECT f.source, f.gap - r.size, r.place, r.doc_id, f.step + 1
+  FROM fill f JOIN rest r ON r.source IS NOT DISTINCT FROM f.source
+  WHERE f.step < 8 AND r.place > f.place AND r.size <= f.gap
+  QUALIFY row_number() OVER (PARTITION BY f.source ORDER BY r.place) = 1),
+extra AS (
+  SELECT source, doc_id FROM o WHERE upto <= remainder
+  UNION ALL SELECT source, doc_id FROM fill WHERE step > 0)
+SELECT d.doc_id, d.size::BIGINT AS size, p.source_size, p.target::DOUBLE AS target,
+       (d.size * (p.rounds + CASE WHEN e.source IS NULL AND e.doc_id IS NULL THEN 0 ELSE 1 END))
+         ::BIGINT AS taken
+FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
+LEFT JOIN extra e ON e.source IS NOT DISTINCT FROM d.source AND e.doc_id = d.doc_id
+"""
+
 LLM_QUERIES = {f.__name__: f for f in (
-    op3_simhash_near_dedup,
+    op1_quality_crf, op3_simhash_near_dedup, op7_unigram_pieces, op9_mix_flow,
 )}
-LLM_SQL: dict[str, str] = {}
+LLM_SQL: dict[str, str] = {
+    "op9_mix_flow": OP9_SQL,
+}

@@ -41,14 +41,22 @@ def _library():
         [(1, 2, r) for r in rows] + [(2, 2, trainer), (3, 2, normal)]))
 
 
-def test_same_ids_as_the_library(spark, pieces):
+def test_best_path_of_the_library(spark, pieces):
+    """The library's n-best search finds the same best path of every word.
+
+    Its one-best encoder returns lesser paths on scores as wide as this model's (for "the" the
+    piece of score -13 where two pieces sum to -8), so it is not the yardstick.
+    """
     library = _library()
     texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
-    # Characters without a piece cost 1e9, where the library's 32-bit sums lose the rest.
-    lines = [line for t in texts for line in t.split("\n") if line][:1500]
-    known = [x for x in lines if all(c in pieces.trie.codes or c == " " for c in x)]
-    assert len(known) > 500
-    assert [pieces.encode(x) for x in known] == [library.encode(x) for x in known]
+    words = sorted({w for t in texts for w in t.split()})[::3]
+    known = [w for w in words if all(c in pieces.trie.codes for c in w)]
+    assert len(known) > 3000
+    for word, mine in zip(known, pieces.encode_batch(known)):
+        theirs = library.nbest_encode_as_ids(word, 2)[0]  # one is the one-best encoder
+        # Equal scores may have several paths.
+        assert mine.tolist() == theirs or pieces.scores[mine].sum() == sum(
+            library.get_score(i) for i in theirs), word
     assert pieces.encode("") == [] == pieces.encode(None)
     assert pieces.decode(pieces.encode("tab\tand 😀")) == library.decode(
         library.encode("tab\tand 😀"))

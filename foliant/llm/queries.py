@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import mix_flow, quality_crf, simhash_dedup, unigram_pieces
+from foliant.llm import line_dedup, mix_flow, quality_crf, simhash_dedup, unigram_pieces
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op1_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
                                 _table(spark, sf_dir, "labels"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(_table(spark, sf_dir, "documents"))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -93,7 +97,7 @@ LEFT JOIN extra e ON e.source IS NOT DISTINCT FROM d.source AND e.doc_id = d.doc
 """
 
 LLM_QUERIES = {f.__name__: f for f in (
-    op1_quality_crf, op3_simhash_near_dedup, op7_unigram_pieces, op9_mix_flow,
+    op1_quality_crf, op2_line_dedup, op3_simhash_near_dedup, op7_unigram_pieces, op9_mix_flow,
 )}
 LLM_SQL: dict[str, str] = {
     "op9_mix_flow": OP9_SQL,

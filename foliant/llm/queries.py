@@ -4,7 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import line_dedup, mix_flow, quality_crf, simhash_dedup, unigram_pieces
+from foliant.llm import (
+    host_rules,
+    language_kernel,
+    line_dedup,
+    mix_flow,
+    quality_crf,
+    simhash_dedup,
+    unigram_pieces,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,10 +36,18 @@ def op7_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram_pieces.encode_documents(_table(spark, sf_dir, "documents"))
 
 
+def op8_language_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_kernel.identify(_table(spark, sf_dir, "documents"))
+
+
 def op9_mix_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_flow.mix_report(_table(spark, sf_dir, "documents"))
 
 
+def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_rules.judge(_table(spark, sf_dir, "documents"))
+
+
 # Every document has one source, so the flow gives each source its quota from its own pattern.
 OP9_SQL = r"""
 WITH RECURSIVE d AS (
@@ -96,9 +112,55 @@ FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
 LEFT JOIN extra e ON e.source IS NOT DISTINCT FROM d.source AND e.doc_id = d.doc_id
 """
 
+OP10_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, source, coalesce(text, '') AS text
+           FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM d),
+win AS (SELECT row, i, list_slice(words, i, i + 7) AS win
+        FROM (SELECT row, words, unnest(range(1, len(words) - 6)) AS i FROM w)),
+again AS (SELECT row, unnest(range(i, i + 8)) AS place
+          FROM (SELECT row, i, count(*) OVER (PARTITION BY row, win) AS n FROM win) WHERE n > 1),
+repeats AS (SELECT row, count(DISTINCT place) AS n_repeat_words FROM again GROUP BY row),
+dups AS (SELECT row, count(*) - count(DISTINCT line) AS n_dup_lines
+         FROM (SELECT row, unnest(string_split(text, chr(10))) AS line FROM d)
+         WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY row),
+m AS (
+  SELECT w.doc_id, w.source, len(words)::BIGINT AS n_words,
+         length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+         len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+         coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
+         coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
+  FROM w LEFT JOIN repeats USING (row) LEFT JOIN dups USING (row)),
+f AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+         10 * n_symbols > n_words AS by_symbols, 5 * n_dup_lines > n_words AS by_lines,
+         word_chars > 12 * n_words OR word_chars < 2 * n_words AS by_lengths
+  FROM m),
+long_ AS (
+  SELECT source, unnest(['base', 'symbols', 'lines', 'lengths']) AS rule,
+         unnest([base_failed, by_symbols, by_lines, by_lengths])::INT AS failed FROM f),
+hosts AS (SELECT source, rule, count(*) AS n, sum(failed) AS k, sum(failed) / count(*) AS rate
+          FROM long_ GROUP BY source, rule),
+spread AS (
+  SELECT rule, avg(rate) AS mean, avg(rate) * (1 - avg(rate)) AS noise,
+         var_pop(rate) - avg(rate) * (1 - avg(rate)) / (count(*) / sum(1.0 / n)) AS beyond
+  FROM hosts GROUP BY rule),
+prior AS (
+  SELECT rule, mean, CASE WHEN beyond <= 0 THEN 1e6
+         ELSE greatest(1.0, least(1e6, noise / beyond - 1)) END AS strength FROM spread),
+verdict AS (
+  SELECT source, max((k + mean * strength) / (n + strength)) AS worst
+  FROM hosts JOIN prior USING (rule) GROUP BY source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND worst <= 0.5 AS kept
+FROM f JOIN verdict v ON f.source IS NOT DISTINCT FROM v.source
+"""
+
 LLM_QUERIES = {f.__name__: f for f in (
-    op1_quality_crf, op2_line_dedup, op3_simhash_near_dedup, op7_unigram_pieces, op9_mix_flow,
+    op1_quality_crf, op2_line_dedup, op3_simhash_near_dedup, op7_unigram_pieces,
+    op8_language_kernel, op9_mix_flow, op10_host_rules,
 )}
 LLM_SQL: dict[str, str] = {
     "op9_mix_flow": OP9_SQL,
+    "op10_host_rules": OP10_SQL,
 }

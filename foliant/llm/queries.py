@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from foliant.llm import (
     host_rules,
+    kdtree_topk,
     language_kernel,
     line_dedup,
     mix_flow,
@@ -32,6 +33,10 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_kdtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdtree_topk.top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram_pieces.encode_documents(_table(spark, sf_dir, "documents"))
 
@@ -48,6 +53,22 @@ def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.judge(_table(spark, sf_dir, "documents"))
 
 
+OP6_SQL = """
+WITH v AS (
+  SELECT vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0),
+u AS (SELECT vec_id, min(v) AS v FROM v GROUP BY vec_id),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM u q JOIN u c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v))
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank,
+       vec_id, score
+FROM s
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
+"""
+
 # Every document has one source, so the flow gives each source its quota from its own pattern.
 OP9_SQL = r"""
 WITH RECURSIVE d AS (
@@ -157,10 +178,11 @@ FROM f JOIN verdict v ON f.source IS NOT DISTINCT FROM v.source
 """
 
 LLM_QUERIES = {f.__name__: f for f in (
-    op1_quality_crf, op2_line_dedup, op3_simhash_near_dedup, op7_unigram_pieces,
-    op8_language_kernel, op9_mix_flow, op10_host_rules,
+    op1_quality_crf, op2_line_dedup, op3_simhash_near_dedup, op6_kdtree_topk,
+    op7_unigram_pieces, op8_language_kernel, op9_mix_flow, op10_host_rules,
 )}
 LLM_SQL: dict[str, str] = {
+    "op6_kdtree_topk": OP6_SQL,
     "op9_mix_flow": OP9_SQL,
     "op10_host_rules": OP10_SQL,
 }

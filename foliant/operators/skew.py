@@ -10,12 +10,30 @@ from pyspark.sql import functions as F
 from foliant.session import materialize
 
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 << 20
 SALTS = 32
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a (materialised, narrow) table is small enough to broadcast."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def _row_bytes(df: DataFrame) -> Column:
+    """Bytes of a row: its texts (of nested values the JSON form) and eight for each number."""
+    total = F.lit(0)
+    for field in df.schema.fields:
+        kind, value = field.dataType.typeName(), F.col(f"`{field.name}`")
+        if kind in ("string", "binary"):
+            total += F.coalesce(F.octet_length(value), F.lit(0)) + 16
+        elif kind in ("array", "map", "struct"):
+            total += F.coalesce(F.length(F.to_json(F.struct(value))), F.lit(0)) + 16
+        else:
+            total += F.lit(8)
+    return total.cast("long")
+
+
+def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS,
+                   max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether a (materialised) table is small enough to broadcast, in rows and in bytes."""
+    size = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(_row_bytes(df)), F.lit(0)).alias(
+        "bytes")).first()
+    return size["n"] <= max_rows and size["bytes"] <= max_bytes
 
 
 def lookup_join(left: DataFrame, lookup: DataFrame, keys: Sequence[str], spread: Column,

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,6 +62,20 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Cut lineage through a Parquet table in the shared folder, deleted when the session ends.
+
+    For loops: a checkpoint keeps the planner's size estimate, and estimates of joins multiply
+    from round to round, while a table's size is that of its files.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/foliant-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give the executors' Python workers this package, once per application."""
     app = spark.sparkContext.applicationId

@@ -3,7 +3,7 @@
 Every node hooks to its smallest neighbour, the hooks are followed to their roots by pointer
 doubling, and the links are rewritten to the roots.  Each round at least halves the nodes that
 still have links, so the number of rounds is logarithmic.  Nothing but counts reaches the
-driver, and each round is written to the shared checkpoint folder.
+driver, and each round is written to a table in the shared checkpoint folder.
 """
 
 from __future__ import annotations
@@ -11,14 +11,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.session import materialize
+from foliant.session import written
 
 
 def _roots(hooks: DataFrame) -> DataFrame:
     """Follow (node, label) hooks, each to a smaller node, until every label is a root."""
     while True:
         onward = hooks.select(F.col("node").alias("__at"), F.col("label").alias("__on"))
-        stepped = materialize(hooks.join(onward, F.col("label") == F.col("__at"), "left").select(
+        stepped = written(hooks.join(onward, F.col("label") == F.col("__at"), "left").select(
             "node", F.coalesce("__on", "label").alias("label"),
             (F.col("__on").isNotNull() & (F.col("__on") != F.col("label"))).alias("moved")))
         hooks = stepped.select("node", "label")
@@ -32,7 +32,7 @@ def components(links: DataFrame) -> DataFrame:
     Nodes may be of any ordered type.  Loops, repeated and reversed links are allowed; rows
     with a null end are no links.  A node without a link to another node is not returned.
     """
-    links = materialize(links.filter("a != b").select(
+    links = written(links.filter("a != b").select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     labels = None
     while not links.isEmpty():
@@ -45,12 +45,12 @@ def components(links: DataFrame) -> DataFrame:
             labels = hooks
         else:
             onward = hooks.select(F.col("node").alias("__at"), F.col("label").alias("__on"))
-            labels = materialize(
+            labels = written(
                 labels.join(onward, F.col("label") == F.col("__at"), "left").select(
                     "node", F.coalesce("__on", "label").alias("label")))
         left = hooks.select(F.col("node").alias("a"), F.col("label").alias("__a"))
         right = hooks.select(F.col("node").alias("b"), F.col("label").alias("__b"))
-        links = materialize(links.join(left, "a").join(right, "b").select(
+        links = written(links.join(left, "a").join(right, "b").select(
             F.least("__a", "__b").alias("a"), F.greatest("__a", "__b").alias("b"))
             .filter("a != b").distinct())
     if labels is None:

@@ -18,7 +18,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.session import materialize
+from foliant.session import written
 
 SEED = 42
 REPEATS = 3  # no document is taken more often
@@ -164,7 +164,7 @@ def plan_mix(docs: DataFrame, source: str = "source", seed: int = SEED, repeats:
     """Decide what to take of ``docs`` (doc_id, text, source or array of sources)."""
     spark = docs.sparkSession
     members = _members(docs, source)
-    sized = materialize(docs.select(
+    sized = written(docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), _pattern_key(members).alias("pattern"),
         members.alias("members"), word_count(F.col("text").cast("string")).alias("size")))
     totals = sized.groupBy("pattern").agg(F.first("members").alias("members"),
@@ -191,20 +191,20 @@ def _cuts(sized: DataFrame, shares: DataFrame, patterns: int, seed: int) -> Data
     units = sized.groupBy("pattern", "doc_id").agg(F.sum("size").alias("size")).withColumn(
         "hash", _order_hash(F.col("doc_id"), seed)).withColumn(
         "bin", F.shiftright("hash", HASH_BITS - BINS.bit_length() + 1))
-    units = materialize(units.join(_small(shares.filter("remainder > 0"), patterns), "pattern"))
+    units = written(units.join(_small(shares.filter("remainder > 0"), patterns), "pattern"))
     upto = Window.partitionBy("pattern").orderBy("bin").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     bins = units.groupBy("pattern", "bin").agg(
         F.sum("size").alias("in_bin"), F.first("remainder").alias("remainder")).withColumn(
         "sum", F.sum("in_bin").over(upto))
-    crossing = materialize(bins.filter("sum > remainder").groupBy("pattern").agg(
+    crossing = written(bins.filter("sum > remainder").groupBy("pattern").agg(
         F.min("bin").alias("bin"), F.min(F.struct("bin", (F.col("sum") - F.col("in_bin")).alias(
             "before"))).alias("at")).select("pattern", "bin", "at.before"))
     inside = units.join(_small(crossing, patterns), ["pattern", "bin"]).withColumn(
         "sum", F.col("before") + F.sum("size").over(
             Window.partitionBy("pattern").orderBy("hash", F.coalesce("doc_id", F.lit(0)))))
     # The prefix ends before the first document that no longer fits.
-    cut = materialize(inside.filter("sum > remainder").groupBy("pattern").agg(
+    cut = written(inside.filter("sum > remainder").groupBy("pattern").agg(
         F.min(F.struct("hash", F.coalesce("doc_id", F.lit(0)).alias("id"))).alias("cut"),
         F.min("sum").alias("sum"), F.min_by("size", F.struct("hash", "doc_id")).alias("size"),
         F.first("remainder").alias("remainder")).select(
@@ -213,13 +213,13 @@ def _cuts(sized: DataFrame, shares: DataFrame, patterns: int, seed: int) -> Data
     ends = cut.select("pattern", F.col("hash").alias("cut_hash"), F.col("id").alias("cut_id"),
                       "gap")
     beyond = F.struct("hash", F.coalesce("doc_id", F.lit(0))) >= F.struct("cut_hash", "cut_id")
-    rest = materialize(units.select("pattern", "doc_id", "size", "hash").join(
+    rest = written(units.select("pattern", "doc_id", "size", "hash").join(
         _small(ends, patterns), "pattern").filter(
         beyond & (F.col("size") > 0) & (F.col("size") <= F.col("gap")))
         .select("pattern", "doc_id", "size", "hash", "gap"))
     picks = None
     for _ in range(FILLS):
-        best = materialize(rest.groupBy("pattern").agg(F.min(F.struct(
+        best = written(rest.groupBy("pattern").agg(F.min(F.struct(
             (-F.col("size")).alias("less"), "hash", "doc_id", "gap")).alias("best")).select(
             "pattern", F.col("best.doc_id").alias("pick"), F.col("best.less").alias("less"),
             F.col("best.hash").alias("at"), (F.col("best.gap") + F.col("best.less")).alias("now")))
@@ -229,7 +229,7 @@ def _cuts(sized: DataFrame, shares: DataFrame, patterns: int, seed: int) -> Data
         picks = chosen if picks is None else picks.union(chosen)
         after = F.struct(-F.col("size"), "hash", F.coalesce("doc_id", F.lit(0))) > F.struct(
             "less", "at", F.coalesce("pick", F.lit(0)))
-        rest = materialize(rest.join(_small(best, patterns), "pattern").filter(
+        rest = written(rest.join(_small(best, patterns), "pattern").filter(
             after & (F.col("size") <= F.col("now"))).select(
             "pattern", "doc_id", "size", "hash", F.col("now").alias("gap")))
     listed = (picks.groupBy("pattern").agg(F.collect_set("pick").alias("picks"))
@@ -239,7 +239,7 @@ def _cuts(sized: DataFrame, shares: DataFrame, patterns: int, seed: int) -> Data
         plan = plan.join(_small(listed, patterns), "pattern", "left")
     else:
         plan = plan.withColumn("picks", F.lit(None).cast("array<bigint>"))
-    plan = materialize(plan)
+    plan = written(plan)
     return _small(plan, patterns)
 
 

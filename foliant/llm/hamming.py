@@ -57,6 +57,8 @@ def forest(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(fps)
     if n <= SQUARE:
         close = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= distance
+        if np.count_nonzero(close) == n:
+            return np.empty(0, int), np.empty(0, int)
         left, right = np.nonzero(np.triu(close, 1))
         if len(left) < n:
             return left, right
@@ -88,7 +90,6 @@ def _linked(distance: int):
         def emit(groups: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             pairs = []
             for fps in groups:
-                fps = np.unique(fps)
                 left, right = forest(fps, distance)
                 if len(left):
                     pairs.append((fps[left], fps[right]))

@@ -10,6 +10,7 @@ from foliant.llm import (
     language_kernel,
     line_dedup,
     mix_flow,
+    perspectives,
     quality_crf,
     simhash_dedup,
     unigram_pieces,
@@ -33,6 +34,10 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perspectives.perspectives(_table(spark, sf_dir, "conversations"))
+
+
 def op6_kdtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdtree_topk.top_k(_table(spark, sf_dir, "embeddings"))
 
@@ -53,6 +58,34 @@ def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.judge(_table(spark, sf_dir, "documents"))
 
 
+OP4_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn,
+         CASE WHEN trim(coalesce(role, '')) = '' THEN 'unknown' ELSE trim(role) END AS role,
+         replace(replace(coalesce(text, ''), '<|im_start|>', '<im_start>'),
+                 '<|im_end|>', '<im_end>') AS text,
+         coalesce(floor(turn / 256.0)::BIGINT, -1) AS part
+  FROM conversations),
+s AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system'),
+r AS (
+  SELECT t.*, speaker, role = speaker AS own, '<|im_start|>' || CASE WHEN role = speaker
+           THEN 'assistant' WHEN role = 'system' THEN 'system' ELSE 'user name=' || role END
+           || chr(10) AS head,
+         row_number() OVER (PARTITION BY t.conv_id, speaker, part
+                            ORDER BY turn NULLS FIRST, role, text) AS n
+  FROM t JOIN s ON t.conv_id IS NOT DISTINCT FROM s.conv_id),
+o AS (
+  SELECT *, coalesce(sum(length(head) + length(text) + 11) OVER (
+           PARTITION BY conv_id, speaker, part ORDER BY n
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS place
+  FROM r)
+SELECT conv_id, speaker, part, count(*)::INT AS n_turns, (count(*) FILTER (own))::INT AS n_own,
+       string_agg(head || text || '<|im_end|>' || chr(10), '' ORDER BY n) AS text,
+       coalesce(string_agg(place::BIGINT || '-' || (place + length(text) + 10)::BIGINT, ' ' ORDER BY n)
+         FILTER (own), '') AS spans
+FROM o GROUP BY conv_id, speaker, part
+"""
+
 OP6_SQL = """
 WITH v AS (
   SELECT vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS v
@@ -178,10 +211,11 @@ FROM f JOIN verdict v ON f.source IS NOT DISTINCT FROM v.source
 """
 
 LLM_QUERIES = {f.__name__: f for f in (
-    op1_quality_crf, op2_line_dedup, op3_simhash_near_dedup, op6_kdtree_topk,
+    op1_quality_crf, op2_line_dedup, op3_simhash_near_dedup, op4_perspectives, op6_kdtree_topk,
     op7_unigram_pieces, op8_language_kernel, op9_mix_flow, op10_host_rules,
 )}
 LLM_SQL: dict[str, str] = {
+    "op4_perspectives": OP4_SQL,
     "op6_kdtree_topk": OP6_SQL,
     "op9_mix_flow": OP9_SQL,
     "op10_host_rules": OP10_SQL,

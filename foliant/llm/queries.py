@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from foliant.llm import (
+    host_paths,
     host_rules,
     kdtree_topk,
     language_kernel,
@@ -38,6 +39,10 @@ def op4_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perspectives.perspectives(_table(spark, sf_dir, "conversations"))
 
 
+def op5_host_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_paths.extract(_table(spark, sf_dir, "pages"))
+
+
 def op6_kdtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdtree_topk.top_k(_table(spark, sf_dir, "embeddings"))
 
@@ -211,7 +216,8 @@ FROM f JOIN verdict v ON f.source IS NOT DISTINCT FROM v.source
 """
 
 LLM_QUERIES = {f.__name__: f for f in (
-    op1_quality_crf, op2_line_dedup, op3_simhash_near_dedup, op4_perspectives, op6_kdtree_topk,
+    op1_quality_crf, op2_line_dedup, op3_simhash_near_dedup, op4_perspectives, op5_host_paths,
+    op6_kdtree_topk,
     op7_unigram_pieces, op8_language_kernel, op9_mix_flow, op10_host_rules,
 )}
 LLM_SQL: dict[str, str] = {

@@ -38,6 +38,12 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(" \t\n\r\f\x0b"))
 
 
+def trim_blank(text: Column) -> Column:
+    """Trim every Unicode blank at both ends."""
+    blank = r"[\p{Z}\t-\r\x1c-\x1f\x85]+"
+    return F.regexp_replace(text, rf"\A{blank}|{blank}\z", "")
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """Bind an expression that ``use`` reads several times, so it is computed once."""
     return F.aggregate(F.array(F.lit(0)), value, lambda bound, _: use(bound))

@@ -5,13 +5,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
 
 from foliant import staging
 from foliant.functions import embedding as EMB
 from foliant.functions import wikitext as X
 from foliant.operators import chunks, extract, sync
-from foliant.operators.chunks import MAX_CHARS, OVERLAP_CHARS, split_text
 from foliant.plans.clean import chat_pages
 from foliant.plans.extract import structured_rows
 from foliant.plans.registry import query
@@ -19,27 +17,15 @@ from foliant.plans.sync import live_state, stored_state
 from foliant.session import materialize
 
 
-class SplitChunks:
-    """``split_chunks(text, max_chars, overlap)`` → rows (piece_no, piece)."""
-
-    def eval(self, text: str, max_chars: int, overlap: int):
-        for i, piece in enumerate(split_text(text or "", max_chars, overlap)):
-            yield i, piece
-
-
-def register_functions(spark) -> None:
-    """Make the splitter available to SQL."""
-    spark.udtf.register("split_chunks", udtf(SplitChunks, returnType="piece_no int, piece string"))
-
-
 @query("split_chunks_sql")
 def split_chunks_sql(spark, sf):
-    register_functions(spark)
+    """The splitter as SQL sees it: an array column, unnested by LATERAL VIEW."""
     docs = staging.spread(staging.table(spark, sf, "documents").select("doc_id", "text"))
-    docs.createOrReplaceTempView("foliant_split_input")
+    docs.withColumn("pieces", chunks.split_column(F.col("text"))).createOrReplaceTempView(
+        "foliant_split_input")
     return spark.sql(
-        f"SELECT doc_id AS page_id, s.piece_no, s.piece FROM foliant_split_input, "
-        f"LATERAL split_chunks(text, {MAX_CHARS}, {OVERLAP_CHARS}) s")
+        "SELECT doc_id AS page_id, piece_no, piece FROM foliant_split_input "
+        "LATERAL VIEW posexplode(pieces) p AS piece_no, piece")
 
 
 @query("chunk_page_join", """

@@ -148,14 +148,18 @@ def test_footer_and_audio(spark):
         == "> **Ana:** hi \nok"
 
 
-def test_splitter_invariants():
+def test_splitter_invariants(spark):
+    def split(text, size, lap):
+        return one(spark, lambda c: chunks.split_column(c, size, lap), text)
+
     text = "\n\n".join("Sentence one. " * n + "word " * n for n in range(1, 60))
-    parts = chunks.split_text(text, 200, 30)
+    parts = split(text, 200, 30)
     assert max(map(len, parts)) <= 200 and all(p.strip() for p in parts)
-    plain = chunks.split_text(text, 200, 0)
+    plain = split(text, 200, 0)
     assert "".join(plain).split() == text.split()
-    assert chunks.split_recursive("x" * 25, 10, 4) == ["x" * 10, "x" * 10, "x" * 10, "x" * 7, "x"]
-    assert chunks.split_text("aa bb cc dd", 5, 2) == ["aa ", "a bb ", "cc dd"]
+    assert split("x" * 25, 10, 4) == ["x" * 10, "x" * 10, "x" * 10, "x" * 7, "x"]
+    assert split("aa bb cc dd", 5, 2) == ["aa ", "a bb ", "cc dd"]
+    assert split("\u00a0 aa \u2003", 5, 2) == ["aa"] == split("aa", 5, 2)
 
 
 def test_overlap_and_hard_pieces(spark):

@@ -125,17 +125,16 @@ INSULTS = (
     r"esp[èe]ce de (c[oô]n|connard|cr[eé]tin|d[ée]bile|abruti|imb[cé]cile|idiot|rat[ée])\b",
     r"\b(connard|connasse|encul[ée]|trou[ -]du[ -]cul|branleur|abruti|gros(se)? c[oô]n(ne)?|"
     r"pauvre (c[oô]n|type|merde)|grosse merde|rabat[- ]joie)\b",
-    r"sale ({bot}|machine|tas de ferraille|merde)\b",
-    r"\b({bot}) (est |semble |para[îi]t )?(de merde|[ée]claté(e)?|inutile|naze|pourri(e)?|"
+    r"sale (bot|machine|algo|robot{names}|tas de ferraille|merde)\b",
+    r"\b(bot|ia|algo|robot|oracle|programme{names}) (est |semble |para[îi]t )?(de merde|[ée]claté(e)?|inutile|naze|pourri(e)?|"
     r"[àa] chier|claqué(e)? au sol)\b",
-    r"\b(mauvais|pire) ({bot})\b", r"\b(tg|ftg|ntm|fdp|kys|gtfo)\b",
+    r"\b(mauvais|pire) (bot|ia|algo|robot|oracle{names})\b", r"\b(tg|ftg|ntm|fdp|kys|gtfo)\b",
     r"\b(shut up|shut the (fuck |hell )?up|stfu)\b",
     r"\b(fuck you|screw you|piss off|get lost|buzz off|fuck off)\b", r"\byou (suck|stink|blow)\b",
     r"\byou[’' ]re (a )?(useless|pathetic|lame|dumb|stupid|a joke|trash|garbage|cringe|"
     r"cancer)\b",
     r"\b(moron|dumbass|jackass)\b",
 )
-BOT_NAMES = ("bot", "ia", "algo", "robot", "programme")
 
 # Apologies, and the words that turn one into sarcasm.
 APOLOGIES = (
@@ -253,9 +252,13 @@ def is_anaphoric(question: Column) -> Column:
         any_word(low, ANAPHORIC_MARKERS) | F.rlike(low, F.lit(edged(ANAPHORIC_OPENING))))
 
 
-def is_insult(text: Column, bot_names: Sequence[str] = BOT_NAMES) -> Column:
-    names = "|".join(bot_names)
-    return any_pattern(text, [p.replace("{bot}", names) for p in INSULTS])
+def insult_patterns(names: Sequence[str] = ()) -> list[str]:
+    """The insult rules; ``names`` are further names of the machine, for the rules on it."""
+    return [p.replace("{names}", "".join(f"|{n}" for n in names)) for p in INSULTS]
+
+
+def is_insult(text: Column, names: Sequence[str] = ()) -> Column:
+    return any_pattern(text, insult_patterns(names))
 
 
 def is_apology(text: Column) -> Column:
@@ -319,13 +322,13 @@ def lookup_entity(question: Column) -> Column:
     tail = None
     for prefix in LOOKUP_PREFIXES:
         cond = F.startswith(low, F.lit(prefix))
-        rest = F.substring(q, len(prefix) + 1, 1_000_000)
+        rest = F.substring(q, F.lit(len(prefix) + 1), F.length(q))
         tail = F.when(cond, rest) if tail is None else tail.when(cond, rest)
     tokens = F.split(T.squeeze(F.regexp_replace(tail, r"[?.!…]+\s*$", "")), " ")
     edge = r"['’\"“”()\[\].,;:!?-]+"
     words = F.transform(tokens, lambda t: F.regexp_replace(t, f"^{edge}|{edge}$", ""))
     words = F.transform(words, lambda t: F.when(
-        F.rlike(t, F.lit(r"(?i)^([ldsnjtm]|qu)'")), F.substring(t, 3, 1_000_000)).otherwise(t))
+        F.rlike(t, F.lit(r"(?i)^([ldsnjtm]|qu)'")), F.substring(t, F.lit(3), F.length(t))).otherwise(t))
     skip = F.array(*[F.lit(d) for d in DETERMINERS])
     kept = F.filter(words, lambda t: (F.length(t) >= 3) & ~F.array_contains(skip, F.lower(t)))
     first = F.get(kept, F.lit(0))

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
+from foliant.functions import wikitext as X
 
 # Interface labels and mechanics words that never belong to a dialogue.
 JUNK_WORDS = ("known issue", "reward", "new", "complete quest", "banishing", "drop chance",
@@ -81,14 +82,38 @@ def is_player(speaker: Column, words: tuple[str, ...] = PLAYER_WORDS) -> Column:
     return F.rlike(speaker, F.lit("(?i)" + "|".join(words)))
 
 
+# Markup inside an infobox that its values are freed of, links first so that no bar is left.
+BOX_RULES = (
+    (r"\[\[[^\[\]|]*\|([^\[\]]*)\]\]", "$1"), (r"\[\[([^\[\]]*)\]\]", "$1"),
+    (r"\[https?://\S+\s+([^\[\]]*)\]", "$1"), (r"<[^<>]*>", ""), (r"'{2,}", ""),
+)
+_INNER = ((r"(?i)\{\{(?![^{}|]*infobox)[^{}]*\}\}", ""),)
+_BOX = r"(?i)\{\{[^{}|]*infobox[^{}|]*\|([^{}]*)\}\}"
+
+
+def _fields(body: Column) -> Column:
+    """Map of an infobox body: name = value between bars, the last value of a name counts."""
+    parts = F.transform(F.split(body, r"\|"), lambda p: F.struct(
+        T.trim_blank(F.when(F.contains(p, F.lit("=")), F.substring_index(p, "=", 1))).alias("name"),
+        T.trim_blank(F.regexp_replace(p, r"(?s)\A[^=]*=", "")).alias("value")))
+    # A part without a name is numbered among those without one.
+    named = F.transform(parts, lambda p, i: F.struct(
+        F.coalesce(p["name"], F.size(F.filter(
+            F.slice(parts, F.lit(1), i + 1), lambda q: q["name"].isNull())).cast("string")).alias(
+            "name"), p["value"].alias("value")))
+    full = F.filter(named, lambda p: (p["name"] != "") & (p["value"] != ""))
+    last = F.filter(full, lambda p, i: ~F.exists(
+        F.slice(full, i + 2, F.size(full)), lambda q: q["name"] == p["name"]))
+    return F.map_from_entries(last)
+
+
 def infobox(wikitext: Column) -> Column:
-    """Fields of the first infobox as a map; empty fields are left out."""
-    box = F.regexp_extract(wikitext, r"(?is)\{\{\s*[^{}|\n]*infobox[^{}]*\}\}", 0)
-    field = r"(?m)^\|\s*([A-Za-z_]+)[ \t]*=[ \t]*([^\n|}]*[^\s|}])"
-    keys = F.regexp_extract_all(box, F.lit(field), F.lit(1))
-    values = F.regexp_extract_all(box, F.lit(field), F.lit(2))
-    return F.map_from_arrays(F.array_distinct(keys), F.slice(values, F.lit(1), F.size(
-        F.array_distinct(keys))))
+    """Fields of the first infobox that has any, as a map; empty without one."""
+    clean = F.regexp_replace(wikitext, r"(?s)<!--.*?-->", "")
+    flat = T.chain(X.innermost_first(clean, _INNER), BOX_RULES)
+    bodies = F.regexp_extract_all(flat, F.lit(_BOX), F.lit(1))
+    boxes = F.filter(F.transform(bodies, _fields), lambda m: F.size(m) > 0)
+    return F.coalesce(F.get(boxes, F.lit(0)), F.create_map().cast("map<string,string>"))
 
 
 SECTION_RULES = (

@@ -153,9 +153,26 @@ def _narrative_rules() -> tuple[tuple[str, str], ...]:
 NARRATIVE_RULES = _narrative_rules()
 _NOISE = rf"(?:[^{{}}|]*(?:{_names(NOISE_PARTS)})[^{{}}|]*|\s*(?:{_names(NOISE_NAMES)})\s*)"
 NOISE_RULES = ((rf"(?i)\{{\{{{_NOISE}(?:\|[^{{}}]*(?:\{{\{{[^{{}}]*\}}\}}[^{{}}]*)*)?\}}\}}", ""),)
-TEMPLATE_DEPTH = 8
 FLATTEN_RULES = ((r"\{\{[^{}|]*\|\s*([^{}]*?)\s*\}\}", "$1"),
-                 (r"\{\{\s*([^{}|]*?)\s*\}\}", "$1")) * TEMPLATE_DEPTH
+                 (r"\{\{\s*([^{}|]*?)\s*\}\}", "$1"))
+
+
+def template_depth(text: Column) -> Column:
+    """How deep templates nest; braces without a partner count as open."""
+    marks = F.regexp_extract_all(text, F.lit(r"(\{\{|\}\})"), F.lit(1))
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    return F.aggregate(marks, start, lambda s, mark: F.struct(
+        F.when(mark == "{{", s["now"] + 1).otherwise(F.greatest(s["now"] - 1, F.lit(0))).alias("now"),
+        F.greatest(s["most"], F.when(mark == "{{", s["now"] + 1).otherwise(0)).alias("most")),
+        lambda s: s["most"])
+
+
+def innermost_first(text: Column, rules: Sequence[tuple[str, str]]) -> Column:
+    """Apply rules for flat templates once per level of nesting, so that none is left."""
+    passes = F.when(F.contains(text, F.lit("{{")), F.sequence(
+        F.lit(0), template_depth(text))).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(passes, text, lambda t, _: F.when(
+        F.contains(t, F.lit("{{")), T.chain(t, rules)).otherwise(t))
 
 
 def render_narrative(text: Column) -> Column:
@@ -164,18 +181,16 @@ def render_narrative(text: Column) -> Column:
 
 
 def drop_noise(text: Column) -> Column:
-    """Noise templates by name part or exact name, one level of nesting included."""
+    """Noise templates by name part or exact name, one level of nesting included.
+
+    Those that nest deeper go in :func:`flatten_templates`, once their inner ones are flat.
+    """
     return T.chain_if(text, "{{", NOISE_RULES)
 
 
 def flatten_templates(text: Column) -> Column:
-    """Remaining templates, innermost first: the arguments, else the name.
-
-    Nesting deeper than the pass count is left in place; :func:`template_residue` counts it.
-    """
-    one_pass = FLATTEN_RULES[:2]
-    return F.aggregate(F.array_repeat(F.lit(0), TEMPLATE_DEPTH), text, lambda t, _: F.when(
-        F.contains(t, F.lit("{{")), T.chain(t, one_pass)).otherwise(t))
+    """Remaining templates, innermost first: noise goes, others give their arguments or name."""
+    return innermost_first(text, (*NOISE_RULES, *FLATTEN_RULES))
 
 
 def template_residue(text: Column) -> Column:

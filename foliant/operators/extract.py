@@ -367,7 +367,7 @@ def reading_messages(pages: DataFrame) -> DataFrame:
     spoken, choice = F.rlike(line, F.lit(SPOKEN)), F.rlike(line, F.lit(CHOICE_LINE))
     quoted = F.startswith(line, F.lit("> "))
     raw = F.when(spoken, F.regexp_extract(line, SPOKEN, 2)).when(
-        choice, F.regexp_extract(line, CHOICE_LINE, 1)).when(quoted, F.substring(line, 3, 1_000_000))
+        choice, F.regexp_extract(line, CHOICE_LINE, 1)).when(quoted, F.substring(line, F.lit(3), F.length(line)))
     text = F.regexp_replace(M.display_text(raw), r'^[ "”«»]+|[ "”«»]+$', "")
     speaker = F.when(spoken, M.display_text(F.regexp_extract(line, SPOKEN, 1))).otherwise("")
     kept = ~F.rlike(line, F.lit(BOILERPLATE)) & ~F.rlike(line, F.lit(POINTER_LINE)) & ~F.rlike(

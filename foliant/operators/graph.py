@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,8 +14,7 @@ from foliant.operators import ordered
 from foliant.session import materialize
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, max_nodes: int | None = None,
-              max_rounds: int = 10_000) -> DataFrame:
+def reachable(edges: DataFrame, seeds: DataFrame, max_nodes: int | None = None) -> DataFrame:
     """Nodes reachable from the seeds, with their distance: breadth-first, one join a round.
 
     ``edges`` has source and target, ``seeds`` node.  Each round is written to the shared
@@ -24,7 +24,7 @@ def reachable(edges: DataFrame, seeds: DataFrame, max_nodes: int | None = None,
     links = materialize(edges.select(F.col("source").alias("node"), "target").distinct())
     frontier = materialize(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
     known = frontier
-    for depth in range(1, max_rounds):
+    for depth in itertools.count(1):
         step = frontier.join(links, "node").select(F.col("target").alias("node")).distinct()
         frontier = materialize(step.join(known.select("node"), "node", "left_anti").withColumn(
             "depth", F.lit(depth)))

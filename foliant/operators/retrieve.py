@@ -110,15 +110,12 @@ def centroids(vectors: DataFrame, group: str) -> DataFrame:
 
 # --- approximate neighbours: vectors filed under cells, queries probe the nearest cells ---
 
-def train_cells(vectors: DataFrame, cells: int, seed: int = 7, sample_rows: int = 200_000
-                ) -> np.ndarray:
-    """Cell centres from k-means over a bounded training sample of unit vectors."""
+def train_cells(vectors: DataFrame, cells: int, seed: int = 7) -> np.ndarray:
+    """Cell centres from k-means over all unit vectors."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    total = vectors.count()
-    train = vectors.sample(False, min(1.0, sample_rows / total), seed) if total > sample_rows else vectors
-    unit = train.select(array_to_vector(unit_vector(F.col("embedding"))).alias("features"))
+    unit = vectors.select(array_to_vector(unit_vector(F.col("embedding"))).alias("features"))
     model = KMeans(k=cells, seed=seed, maxIter=10).fit(unit)
     return np.array([c / (np.linalg.norm(c) or 1.0) for c in model.clusterCenters()])
 

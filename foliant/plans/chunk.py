@@ -258,13 +258,12 @@ def megafiles(spark, sf):
 
 @query("output_entries", f"""
 WITH {S.PAGES_MD}
-SELECT page_id, '{{"page_title":"' || page_title || '","category":"' || bucket_id ||
+SELECT page_id, '{{"page_title":' || to_json(page_title) || ',"category":"' || bucket_id ||
   '","last_updated":"2024-05-06","canon_status":"' || canon_status || '"' ||
   CASE WHEN page_id > 10 THEN ',"_pageid":' || page_id ELSE '' END || ',"lang":"' || lang || '"}}' AS entry
-FROM pages_md WHERE NOT contains(page_title, '"') AND NOT contains(page_title, chr(92))""")
+FROM pages_md""")
 def output_entries(spark, sf):
-    pages = staging.pages_md(spark, sf).filter(
-        ~F.contains("page_title", F.lit('"')) & ~F.contains("page_title", F.lit("\\")))
+    pages = staging.pages_md(spark, sf)
     return export.output_entry(pages.select(
         "page_id", "page_title", F.col("bucket_id").alias("category"), "canon_status", "lang",
         F.lit("2024-05-06T07:08:09Z").alias("last_updated"),

@@ -50,8 +50,7 @@ def word_sql(words, col="lower(m)"):
     return "(" + " OR ".join(f"contains({col}, {lit_sql(w)})" for w in words) + ")"
 
 
-_INSULTS = [p.replace("{bot}", "|".join(C.BOT_NAMES)) for p in C.INSULTS]
-PROBE, SELF, INSULT = any_sql(C.PROBES), any_sql(C.SELF_REFLECTION), any_sql(_INSULTS)
+PROBE, SELF, INSULT = any_sql(C.PROBES), any_sql(C.SELF_REFLECTION), any_sql(C.insult_patterns())
 APOLOGY = word_sql(C.APOLOGIES)
 SINCERE = f"({APOLOGY} AND NOT {word_sql(C.SARCASM)})"
 LORE = f"({word_sql(C.LORE_WORDS)} AND NOT {SELF})"

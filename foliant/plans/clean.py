@@ -57,7 +57,8 @@ stage("collapse_galleries", X.collapse_galleries, X.GALLERY_RULES)
 stage("collapse_blank_lines", X.collapse_blank_lines, X.BLANK_RULES)
 stage("render_narrative", X.render_narrative, X.NARRATIVE_RULES)
 stage("drop_noise", X.drop_noise, X.NOISE_RULES)
-stage("flatten_templates", X.flatten_templates, X.FLATTEN_RULES)
+# The pages of this check nest at most three deep; the SQL spells out eight passes.
+stage("flatten_templates", X.flatten_templates, (*X.NOISE_RULES, *X.FLATTEN_RULES) * 8)
 
 
 @query("template_signals", f"""
@@ -358,16 +359,18 @@ def dialogue_refs(spark, sf):
 
 @query("trailing_padding", """
 SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN regexp_replace(text, '[*\\-\\s]+\\z', '')
-  WHEN turn % 3 = 1 THEN regexp_replace(text, '[.,]+\\z', '') || '**' ELSE regexp_replace(text, '[*\\-\\s]+\\z', '') END AS cleaned,
+  WHEN turn % 3 = 1 AND regexp_matches(regexp_replace(text, '[.,]+\\z', ''), '[\\p{L}\\p{N}]\\z')
+    THEN regexp_replace(text, '[.,]+\\z', '') || '**'
+  WHEN turn % 3 = 1 THEN regexp_replace(regexp_replace(text, '[.,]+\\z', ''), '[*\\-\\s]+\\z', '') ELSE regexp_replace(text, '[*\\-\\s]+\\z', '') END AS cleaned,
   turn % 3 = 1 AS closed
-FROM conversations WHERE regexp_matches(regexp_replace(text, '[.,]+\\z', ''), '[\\p{L}\\p{N}]\\z')""")
+FROM conversations""")
 def trailing_padding(spark, sf):
     turns = staging.table(spark, sf, "conversations")
     bare = F.regexp_replace("text", r"[.,]+\z", "")
     k = F.col("turn") % 3
     padded = F.when(k == 0, F.concat("text", F.lit(" *-"))).when(
         k == 1, F.concat(bare, F.lit("**"))).otherwise(F.concat("text", F.lit(" \n")))
-    return turns.filter(F.rlike(bare, F.lit(r"[\p{L}\p{N}]\z"))).select(
+    return turns.select(
         "conv_id", "turn", T.strip_padding(padded).alias("cleaned"), (k == 1).alias("closed"))
 
 

@@ -481,7 +481,7 @@ def grounding_check(spark, sf):
 
 
 @query("archive_excuse", f"""
-WITH src AS (SELECT conv_id * 1000 + turn AS id, text AS t FROM conversations), {_ENT}, {VOCAB.replace("FROM documents", "FROM documents WHERE lang = 'en'")},
+WITH src AS (SELECT conv_id * 1000 + turn AS id, text AS t FROM conversations), {_ENT}, {VOCAB.replace("FROM documents", "FROM documents")},
 forms AS (SELECT word, unnest(list_distinct(list_concat(b2, list_transform(list_filter(b2,
     lambda f: ends_with(f, 'ique')), lambda f: left(f, -4) || 'ic')))) AS form FROM (
   SELECT word, list_concat(b, list_transform(b, lambda f: translate(f, '{T.ACCENTED}', '{T.PLAIN}'))) AS b2 FROM (
@@ -491,11 +491,11 @@ forms AS (SELECT word, unnest(list_distinct(list_concat(b2, list_transform(list_
 known AS (SELECT DISTINCT f.word FROM forms f JOIN vocab v ON f.form = v.word)
 SELECT id AS query_id, entity FROM ents WHERE entity NOT IN (SELECT word FROM known)""")
 def archive_excuse(spark, sf):
-    """Names in the messages that no spelling of the English archive covers."""
+    """Names in the messages that no spelling of the archive covers."""
     words = staging.table(spark, sf, "conversations").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"),
         F.explode(ground.entities(F.col("text"))).alias("entity"))
-    return ground.absent_from_archive(words, vocabulary_table(spark, sf, "en"), "entity").select(
+    return ground.absent_from_archive(words, vocabulary_table(spark, sf), "entity").select(
         "query_id", "entity")
 
 
@@ -545,7 +545,7 @@ def batch_retrieval(spark, sf):
         "top_score", proposed.alias("suggestion"),
         (weak & proposed.isNull()).alias("bypass"),
         F.coalesce(F.length("context"), F.lit(0)).alias("context_chars"),
-        F.substring("context", 1, 160).alias("preview"))
+        F.col("context").alias("context"))
 
 
 @query("structured_rebuild", """

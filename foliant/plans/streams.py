@@ -41,7 +41,7 @@ def stream_limiter(spark, sf):
     ev = event_stream(spark, sf).select("user_id", "us", "seq")
     out = _schema(user_id=_LONG, us=_LONG, seq=_LONG, admitted=_BOOL)
     return J.run_to_end(ST.fold_stream(
-        ev, "user_id", ST.sliding_limit(3, 12 * 3600 * ST.SECOND), out, 86_400))
+        ev, "user_id", ST.sliding_limit(3, 12 * 3600 * ST.SECOND), out))
 
 
 @query("stream_burst_guard")
@@ -52,7 +52,7 @@ def stream_burst_guard(spark, sf):
     guard = ST.burst_guard(cooldown_us=1800 * ST.SECOND, channel_limit=8,
                            channel_window_us=5400 * ST.SECOND,
                            penalty_window_us=7200 * ST.SECOND, block_us=7200 * ST.SECOND)
-    return J.run_to_end(ST.fold_stream(ev, "event_type", guard, out, 86_400))
+    return J.run_to_end(ST.fold_stream(ev, "event_type", guard, out))
 
 
 @query("stream_strikes", f"""
@@ -63,7 +63,7 @@ def stream_strikes(spark, sf):
     ev = event_stream(spark, sf).filter("event_type = 'error'").select("user_id", "us", "seq")
     out = _schema(user_id=_LONG, us=_LONG, seq=_LONG, level=_LONG)
     return J.run_to_end(ST.fold_stream(
-        ev, "user_id", ST.strike_level(86_400 * ST.SECOND), out, 172_800))
+        ev, "user_id", ST.strike_level(86_400 * ST.SECOND), out))
 
 
 @query("stream_sessions", f"""
@@ -79,7 +79,7 @@ def stream_sessions(spark, sf):
     out = _schema(user_id=_LONG, us=_LONG, seq=_LONG, session_start=_LONG, turn=_LONG,
                   remembered=_LONG)
     return J.run_to_end(ST.fold_stream(
-        ev, "user_id", ST.session_memory(12 * 3600 * ST.SECOND), out, 86_400))
+        ev, "user_id", ST.session_memory(12 * 3600 * ST.SECOND), out))
 
 
 @query("stream_activity", f"""
@@ -104,9 +104,9 @@ def stream_feedback(spark, sf):
 
 
 def turn_stream(spark, sf):
-    """Conversation turns as a stream, a minute apart within a conversation."""
+    """Conversation turns as a stream, ordered by turn within a conversation only."""
     t = J.table_stream(spark, sf, "conversations")
-    return t.withColumn("us", (F.col("turn") + 1) * 60 * ST.SECOND).withColumn("seq", F.col("turn"))
+    return t.withColumn("us", F.col("turn")).withColumn("seq", F.col("turn"))
 
 
 @query("stream_hostile", f"""
@@ -122,7 +122,7 @@ def stream_hostile(spark, sf):
         "conv_id", "us", "seq", C.is_probe(m).alias("probe"), C.is_insult(m).alias("insult"),
         C.is_sincere_apology(m).alias("sincere"))
     out = _schema(conv_id=_LONG, seq=_LONG, insults=_LONG, hostile=_BOOL)
-    rows = ST.fold_stream(turns, "conv_id", ST.hostile_session(), out, 86_400)
+    rows = ST.fold_stream(turns, "conv_id", ST.hostile_session(), out)
     return J.run_to_end(rows)
 
 
@@ -137,7 +137,7 @@ def stream_referent(spark, sf):
     turns = turn_stream(spark, sf).select("conv_id", "us", "seq", named.alias("named"))
     out = _schema(conv_id=_LONG, seq=_LONG, referent=_STR)
     return J.run_to_end(ST.fold_stream(
-        turns, "conv_id", ST.last_value("named", "referent"), out, 86_400))
+        turns, "conv_id", ST.last_value("named", "referent"), out))
 
 
 @query("stream_new_files", f"""

@@ -17,9 +17,13 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int = 64) -> DataFrame:
     """A table's files as a stream; at most ``max_files`` enter one micro-batch."""
-    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).option(
-        "pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    path = f"{sf_dir}/{name}.parquet"
+    table = spark.read.parquet(path)
+    files = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", max_files)
+    if [f.rsplit("/", 1)[1] for f in table.inputFiles()] == [f"{name}.parquet"]:
+        # A lone file has no folder of its own that a stream could watch.
+        return files.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return files.parquet(path)
 
 
 def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
@@ -40,7 +44,7 @@ def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
             spark.conf.unset(PROVIDER)
         else:
             spark.conf.set(PROVIDER, before)
-    return spark.read.parquet(out)
+    return spark.read.schema(stream.schema).parquet(out)
 
 
 def run_snapshots(stream: DataFrame, merge: Callable[[DataFrame | None, DataFrame], DataFrame]

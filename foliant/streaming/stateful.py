@@ -1,9 +1,7 @@
 """Keyed folds over event streams: limiters, guards, strikes, sessions, referents.
 
 Each rule is a plain step ``(state, row) → (state, output)`` so that a batch replay and the
-stream run the same code.  State lives in the state store, is cleared by an event-time
-timer once a key has been quiet for its time to live, and rows later than the watermark
-are dropped.  A key's rows of one micro-batch are folded together, so the trigger's file or
+stream run the same code.  State lives in the state store, and no row is dropped for being late.  A key's rows of one micro-batch are folded together, so the trigger's file or
 offset limit bounds what a hot key can bring into one task.
 """
 
@@ -27,45 +25,38 @@ Step = Callable[[dict, dict], tuple[dict, dict | None]]
 class Fold(StatefulProcessor):
     """Runs a step over the rows of each key in event order."""
 
-    def __init__(self, step: Step, columns: list[str], ttl_ms: int):
-        self.step, self.columns, self.ttl_ms = step, columns, ttl_ms
+    def __init__(self, step: Step, columns: list[str]):
+        self.step, self.columns = step, columns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        schema = StructType([StructField("body", StringType()), StructField("timer", LongType())])
+        schema = StructType([StructField("body", StringType())])
         self.state = handle.getValueState("fold", schema)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        held = self.state.get() if self.state.exists() else None
-        state = json.loads(held[0]) if held else {}
+        state = json.loads(self.state.get()[0]) if self.state.exists() else {}
         batch = pd.concat(list(rows)).sort_values(["us", "seq"], kind="stable")
         out = []
-        for row in batch.drop(columns=["ts"]).to_dict("records"):
+        for row in batch.to_dict("records"):
             state, made = self.step(state, row)
             if made is not None:
                 out.append(made)
-        expiry = int(batch["us"].max() // 1000) + self.ttl_ms
-        if held and held[1] is not None:
-            self.handle.deleteTimer(held[1])
-        self.handle.registerTimer(expiry)
-        self.state.update((json.dumps(state), expiry))
+        self.state.update((json.dumps(state),))
         yield pd.DataFrame(out, columns=self.columns)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        self.state.clear()
-        yield pd.DataFrame([], columns=self.columns)
-
     def close(self) -> None:
         pass
 
 
-def fold_stream(events: DataFrame, key: str, step: Step, schema: StructType, ttl_seconds: int,
-                delay: str = "1 hour") -> DataFrame:
-    """Apply a step per key to a stream with columns us (event time), seq (tie-break)."""
-    stamped = events.withColumn("ts", F.timestamp_micros("us")).withWatermark("ts", delay)
-    return stamped.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=Fold(step, schema.names, ttl_seconds * 1000), outputStructType=schema,
-        outputMode="Append", timeMode="EventTime")
+def fold_stream(events: DataFrame, key: str, step: Step, schema: StructType) -> DataFrame:
+    """Apply a step per key to a stream with columns us (event time), seq (tie-break).
+
+    Rows of a key are taken in event order within a micro-batch, and micro-batches as they
+    land.  No row is ever too late, and a key's state (one small record) is kept: what a step
+    remembers is trimmed by the step itself.
+    """
+    return events.groupBy(key).transformWithStateInPandas(
+        statefulProcessor=Fold(step, schema.names), outputStructType=schema,
+        outputMode="Append", timeMode="None")
 
 
 # --- steps ---

@@ -219,3 +219,29 @@ def test_lookup_entity(spark, text, entity):
     (C.story_lens, "l'éveil", "initiate"), (C.story_lens, "l'éveil de l'univers", None)])
 def test_classifiers(spark, fn, text, want):
     assert one(spark, fn, text) == want
+
+
+@pytest.mark.parametrize("markup, fields", [
+    ("{{Infobox a\n| a = 1\n| b = 2\n| a = 3\n| c = 4\n}}", {"a": "3", "b": "2", "c": "4"}),
+    ("{{Infobox a|x={{ref|n={{y}}}} text|y=[[page|shown]]|z=[[plain]]}}",
+     {"x": "text", "y": "shown", "z": "plain"}),
+    ("{{Infobox a\n| x = one\ntwo\n| y =\n}}", {"x": "one\ntwo"}),
+    ("{{Infobox a| y = }} {{other|z=1}} {{Infobox b|x=''v''|w=a=b}}", {"x": "v", "w": "a=b"}),
+    ("no box {{other|z=1}}", {}),
+])
+def test_infobox(spark, markup, fields):
+    assert one(spark, M.infobox, markup) == fields
+
+
+def test_insults_have_names_of_their_own(spark):
+    for text, insult in [("sale ia", False), ("sale programme", False), ("mauvais programme", False),
+                         ("sale bot", True), ("mauvais ia", True), ("programme inutile", True),
+                         ("sale machine", True), ("pire robot", True)]:
+        assert one(spark, C.is_insult, text) == insult, text
+    assert one(spark, lambda c: C.is_insult(c, ("vasca",)), "sale vasca")
+
+
+def test_templates_of_any_depth(spark):
+    nested = "{{a|" * 12 + "core" + "}}" * 12
+    assert one(spark, X.flatten_templates, f"x {nested} y {{{{open") == "x core y {{open"
+    assert one(spark, X.template_depth, nested + "{{b}}") == 12

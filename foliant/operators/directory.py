@@ -88,7 +88,8 @@ def match_roles(configured: DataFrame, present: DataFrame) -> DataFrame:
     first = present.groupBy(fold(F.col("name")).alias("folded")).agg(
         F.min("role_id").alias("role_id"))
     wanted = configured.withColumn("folded", fold(F.col("name")))
-    return lookup_join(wanted, first, ["folded"], F.col("name"), "left").drop("folded")
+    return lookup_join(wanted, first, ["folded"], F.monotonically_increasing_id(), "left").drop(
+        "folded")
 
 
 def context_subjects(contexts: DataFrame, prefix: str, stop: Sequence[str]) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -151,18 +152,11 @@ def _scan_cells(probed: dict[int, tuple[list[int], np.ndarray]], k: int):
     return scan
 
 
-def cell_topk(filed: DataFrame, queries: DataFrame, centres: np.ndarray, k: int,
-              probes: int) -> DataFrame:
-    """Approximate top-k in one pass over the probed cells.
-
-    ``filed`` has chunk_id, embedding and cell; stored partitioned by cell it is read only
-    where some query probes.  The query side is a batch: callers with more than
-    ``QUERY_BLOCK`` queries call once per batch.
-    """
-    probing = assign_cells(queries.limit(QUERY_BLOCK + 1), centres, probes).select(
+def _probe_block(filed: DataFrame, queries: DataFrame, centres: np.ndarray, k: int,
+                 probes: int) -> DataFrame:
+    """Hits of one block of queries in the cells nearest to each."""
+    probing = assign_cells(queries, centres, probes).select(
         "query_id", "embedding", F.explode("cells").alias("cell")).collect()
-    if len(probing) > QUERY_BLOCK * probes:
-        raise ValueError(f"more than {QUERY_BLOCK} queries in one batch")
     probed = {}
     for cell in sorted({r.cell for r in probing}):
         rows = [r for r in probing if r.cell == cell]
@@ -170,7 +164,21 @@ def cell_topk(filed: DataFrame, queries: DataFrame, centres: np.ndarray, k: int,
         probed[cell] = ([r.query_id for r in rows], m / np.linalg.norm(m, axis=1, keepdims=True))
     near = filed.filter(F.col("cell").isin(*probed)).select(
         F.col("chunk_id").cast("long").alias("chunk_id"), "embedding", "cell")
-    hits = near.mapInPandas(_scan_cells(probed, k), "query_id long, chunk_id long, score double")
+    return near.mapInPandas(_scan_cells(probed, k), "query_id long, chunk_id long, score double")
+
+
+def cell_topk(filed: DataFrame, queries: DataFrame, centres: np.ndarray, k: int,
+              probes: int) -> DataFrame:
+    """Approximate top-k: each block of queries reads the cells that it probes.
+
+    ``filed`` has chunk_id, embedding and cell; stored partitioned by cell it is read only
+    where some query probes.  Queries are dealt over blocks of about ``QUERY_BLOCK``.
+    """
+    queries = queries.select("query_id", "embedding")
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    of = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    hits = reduce(DataFrame.unionByName, [
+        _probe_block(filed, queries.filter(of == b), centres, k, probes) for b in range(blocks)])
     return top_per_query(hits, k)
 
 

@@ -62,7 +62,7 @@ def run_update(spark, sf) -> DataFrame:
         "page_id", "page_title", F.col("markdown").alias("content_markdown")))
     phase("dialogues", extract.dialogue_rows(chat_pages(spark, sf)))
     pieces = phase("chunks", chunks.chunk_pages(pages).select(
-        (F.col("page_id") * 100_000 + F.col("chunk_index")).alias("chunk_id"),
+        (F.col("page_id") * staging.ID_ROOM + F.col("chunk_index")).alias("chunk_id"),
         F.col("content_markdown").alias("content"), F.lit(None).cast("array<float>").alias("embedding")))
     phase("embeddings", EMB.backfill(pieces, EMB.hashed_terms()))
     phase("structured", EMB.backfill(structured_rows(spark, sf).withColumn(

@@ -58,7 +58,7 @@ _STOP = "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in C.STOPWORDS) +
 @query("member_resolution", f"""
 WITH names AS (SELECT DISTINCT translate(trim(lower(w)), '310457', 'eloast') AS name FROM (
   SELECT split_part(text, ' ', 1) AS w FROM documents) WHERE trim(w) <> ''),
-toks AS (SELECT DISTINCT conv_id * 1000 + turn AS id, unnest(regexp_extract_all(lower(text),
+toks AS (SELECT DISTINCT conv_id * 4294967296 + turn AS id, unnest(regexp_extract_all(lower(text),
   '[a-zà-ÿ][0-9a-z_à-ÿ]*')) AS token FROM conversations),
 t AS (SELECT id, token, translate(token, '310457', 'eloast') AS f FROM toks WHERE length(token) >= 3),
 pre AS (SELECT f, max(CASE WHEN name = f THEN 1 ELSE 0 END) = 1 AS exact FROM (
@@ -70,7 +70,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY NOT exact,
 SELECT id, token, exact FROM r WHERE rn = 1""")
 def member_resolution(spark, sf):
     msgs = staging.table(spark, sf, "conversations").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+        (F.col("conv_id") * staging.ID_ROOM + F.col("turn")).alias("id"), "text")
     names = staging.table(spark, sf, "documents").select(
         F.split_part("text", F.lit(" "), F.lit(1)).alias("name"))
     return D.resolve_members(msgs, names, C.STOPWORDS, "id")

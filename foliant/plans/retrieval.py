@@ -332,11 +332,11 @@ SUBJECT = ("thand", "anin")
 def line_chunks(spark, sf):
     return staging.pages_plain(spark, sf).select("page_id", "page_title", F.posexplode(
         T.lines(F.col("content_markdown"))).alias("chunk_index", "content")).withColumn(
-        "chunk_id", F.col("page_id") * 100_000 + F.col("chunk_index"))
+        "chunk_id", F.col("page_id") * staging.ID_ROOM + F.col("chunk_index"))
 
 
 _DOS = f"""ch AS (SELECT doc_id AS page_id, {S.TITLE} AS page_title, n - 1 AS chunk_index, content,
-  doc_id * 100000 + n - 1 AS chunk_id FROM (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS content,
+  doc_id * 4294967296 + n - 1 AS chunk_id FROM (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS content,
     generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents)),
 ti AS (SELECT *, CASE WHEN lower(page_title) IN ('thand', 'anin', 'thand (fr)', 'anin (fr)') THEN 0
   WHEN starts_with(lower(page_title), 'thand/') OR starts_with(lower(page_title), 'anin/') THEN 1
@@ -386,7 +386,7 @@ def session_parts(spark, sf):
 
 
 @query("structured_dossier", f"""
-WITH {S.LINES}, s AS (SELECT 'line' AS kind, page_id * 10000 + message_order AS source_id, message_order AS conv_order,
+WITH {S.LINES}, s AS (SELECT 'line' AS kind, page_id * 4294967296 + message_order AS source_id, message_order AS conv_order,
   CASE WHEN contains(lower(message_text), 'thand') THEN 3 END AS tier FROM lines
   UNION ALL SELECT 'item', p_partkey, NULL, CASE WHEN p_name = 'small ring' THEN 0
     WHEN contains(p_name, 'ring') THEN 2 END FROM part)
@@ -394,7 +394,7 @@ SELECT kind, source_id, tier FROM s WHERE tier IS NOT NULL ORDER BY tier, conv_o
 def structured_dossier(spark, sf):
     """Dossier over structured rows: tiers, then conversation order with nulls last."""
     lines = staging.dialogue_lines(spark, sf).select(
-        F.lit("line").alias("kind"), (F.col("page_id") * 10000 + F.col("message_order")).alias("source_id"),
+        F.lit("line").alias("kind"), (F.col("page_id") * staging.ID_ROOM + F.col("message_order")).alias("source_id"),
         F.col("message_order").alias("conv_order"),
         F.when(F.contains(F.lower("message_text"), F.lit("thand")), 3).alias("tier"))
     items = staging.table(spark, sf, "part").select(
@@ -481,7 +481,9 @@ def grounding_check(spark, sf):
 
 
 @query("archive_excuse", f"""
-WITH src AS (SELECT conv_id * 1000 + turn AS id, text AS t FROM conversations), {_ENT}, {VOCAB.replace("FROM documents", "FROM documents")},
+WITH src AS (SELECT conv_id * 4294967296 + turn AS id, text || CASE WHEN turn % 4 = 0
+    THEN ' See Zq' || translate(left(md5(conv_id::VARCHAR), 6), '0123456789', 'ghijklmnop') ELSE '' END AS t
+  FROM conversations), {_ENT}, {VOCAB},
 forms AS (SELECT word, unnest(list_distinct(list_concat(b2, list_transform(list_filter(b2,
     lambda f: ends_with(f, 'ique')), lambda f: left(f, -4) || 'ic')))) AS form FROM (
   SELECT word, list_concat(b, list_transform(b, lambda f: translate(f, '{T.ACCENTED}', '{T.PLAIN}'))) AS b2 FROM (
@@ -491,9 +493,15 @@ forms AS (SELECT word, unnest(list_distinct(list_concat(b2, list_transform(list_
 known AS (SELECT DISTINCT f.word FROM forms f JOIN vocab v ON f.form = v.word)
 SELECT id AS query_id, entity FROM ents WHERE entity NOT IN (SELECT word FROM known)""")
 def archive_excuse(spark, sf):
-    """Names in the messages that no spelling of the archive covers."""
-    words = staging.table(spark, sf, "conversations").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"),
+    """Names in the messages that no spelling of the archive covers.
+
+    Every fourth turn names someone unheard of.
+    """
+    stranger = F.concat(F.lit(" See Zq"), F.translate(F.left(F.md5(F.col("conv_id").cast("string")), F.lit(
+        6)), "0123456789", "ghijklmnop"))
+    words = staging.table(spark, sf, "conversations").withColumn("text", F.concat("text", F.when(
+        F.col("turn") % 4 == 0, stranger).otherwise(F.lit("")))).select(
+        (F.col("conv_id") * staging.ID_ROOM + F.col("turn")).alias("query_id"),
         F.explode(ground.entities(F.col("text"))).alias("entity"))
     return ground.absent_from_archive(words, vocabulary_table(spark, sf), "entity").select(
         "query_id", "entity")

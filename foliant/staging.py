@@ -14,6 +14,11 @@ from foliant.schemas import epoch_micros
 TITLE_WORDS = 6
 
 
+# Ids made of two: the first times this, plus the second.  Neither part can run into the other,
+# and beyond a long the sum is an error, not another row's id.
+ID_ROOM = 1 << 32
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

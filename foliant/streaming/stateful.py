@@ -14,9 +14,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 SECOND = 1_000_000
 Step = Callable[[dict, dict], tuple[dict, dict | None]]

@@ -6,7 +6,7 @@ pattern once costs nothing, a second and third time cost more and more (convex),
 spread as evenly as the quotas allow.  Each pattern's share is then taken in a seeded order of
 its documents: whole passes first, then a prefix of the order, found by a histogram of the
 order's hash and one exact look into the bin where the prefix ends.  What the prefix leaves free
-is filled with the largest documents that fit.
+is filled with the largest documents that fit, until none fits.
 """
 
 from __future__ import annotations
@@ -18,11 +18,11 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliant.operators.skew import fits_broadcast
 from foliant.session import written
 
 SEED = 42
 REPEATS = 3  # no document is taken more often
-FILLS = 8  # documents at most that fill what a prefix leaves free
 BINS = 4096  # of the order's hash
 HASH_BITS = 60
 BROADCAST_PATTERNS = 100_000
@@ -127,13 +127,33 @@ class Mix:
 
     sizes: dict
     targets: dict
-    plan: DataFrame  # pattern, rounds, cut_hash, cut_id, picks
+    plan: DataFrame  # pattern, rounds, cut (a place in the order)
+    picks: DataFrame | None  # pattern, nameless, unit that fill what the prefixes leave
 
 
-def _order_hash(doc_id: Column, seed: int) -> Column:
+def _order_hash(nameless: Column, unit: Column, seed: int) -> Column:
     """A 60-bit hash that orders documents, the same in any engine."""
-    named = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))
-    return F.conv(F.substring(F.md5(named), 1, HASH_BITS // 4), 16, 10).cast("long")
+    name = F.concat(F.when(nameless, f"{seed}:row ").otherwise(f"{seed}:"), unit.cast("string"))
+    return F.conv(F.substring(F.md5(name), 1, HASH_BITS // 4), 16, 10).cast("long")
+
+
+def _place() -> Column:
+    return F.struct("hash", "nameless", "unit")
+
+
+def _told_apart(docs: DataFrame) -> DataFrame:
+    """``docs`` with __nameless and __unit: the doc_id, or a number of its own for a row without.
+
+    The numbered rows are written, so that every later look at them finds the same numbers.
+    """
+    doc_id = F.col("doc_id").cast("long")
+    named = docs.withColumns({"__nameless": F.lit(False), "__unit": doc_id}).filter(
+        F.col("__unit").isNotNull())
+    nameless = docs.filter(doc_id.isNull())
+    if nameless.isEmpty():
+        return named
+    return named.unionByName(written(nameless.withColumns(
+        {"__nameless": F.lit(True), "__unit": F.monotonically_increasing_id()})))
 
 
 def word_count(text: Column) -> Column:
@@ -162,11 +182,17 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 def plan_mix(docs: DataFrame, source: str = "source", seed: int = SEED, repeats: int = REPEATS,
              weights: Callable[[Sequence], Mapping] = cyclic_weights) -> Mix:
     """Decide what to take of ``docs`` (doc_id, text, source or array of sources)."""
+    return _plan(_told_apart(docs), source, seed, repeats, weights)
+
+
+def _plan(docs: DataFrame, source: str = "source", seed: int = SEED, repeats: int = REPEATS,
+          weights: Callable[[Sequence], Mapping] = cyclic_weights) -> Mix:
     spark = docs.sparkSession
     members = _members(docs, source)
     sized = written(docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), _pattern_key(members).alias("pattern"),
-        members.alias("members"), word_count(F.col("text").cast("string")).alias("size")))
+        F.col("__nameless").alias("nameless"), F.col("__unit").alias("unit"),
+        _pattern_key(members).alias("pattern"), members.alias("members"),
+        word_count(F.col("text").cast("string")).alias("size")))
     totals = sized.groupBy("pattern").agg(F.first("members").alias("members"),
                                           F.sum("size").alias("size")).collect()
     sizes: dict = {}
@@ -183,79 +209,108 @@ def plan_mix(docs: DataFrame, source: str = "source", seed: int = SEED, repeats:
     shares = spark.createDataFrame(
         [(key[p], taken[p] // size if size else 0, taken[p] % size if size else 0)
          for p, size in capacity.items()], "pattern string, rounds long, remainder long")
-    return Mix(sizes, targets, _cuts(sized, shares, len(capacity), seed))
+    return Mix(sizes, targets, *_cuts(sized, shares, len(capacity), seed))
+
 
+def _crossing(counts: DataFrame, limit: str, order: Column, keep: Sequence[str]) -> DataFrame:
+    """Of each pattern the first row of ``counts`` at which the sum of "n" is above ``limit``.
 
-def _cuts(sized: DataFrame, shares: DataFrame, patterns: int, seed: int) -> DataFrame:
+    Columns: pattern, ``keep``, ``limit`` and before, the sum up to the row.
+    """
+    upto = Window.partitionBy("pattern").orderBy(order).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    above = counts.withColumn("sum", F.sum("n").over(upto)).filter(F.col("sum") > F.col(limit))
+    # Counts are not negative, so the first row above the limit is the one of the least sum.
+    first = F.min(F.struct("sum", order.alias("at"), *keep, limit,
+                           (F.col("sum") - F.col("n")).alias("before"))).alias("first")
+    return above.filter("n > 0").groupBy("pattern").agg(first).select(
+        "pattern", *[f"first.{c}" for c in (*keep, limit, "before")])
+
+
+def _cuts(sized: DataFrame, shares: DataFrame, patterns: int,
+          seed: int) -> tuple[DataFrame, DataFrame | None]:
     """Where each pattern's prefix ends in the seeded order, and what fills the rest."""
-    units = sized.groupBy("pattern", "doc_id").agg(F.sum("size").alias("size")).withColumn(
-        "hash", _order_hash(F.col("doc_id"), seed)).withColumn(
+    units = sized.groupBy("pattern", "nameless", "unit").agg(
+        F.sum("size").alias("size")).withColumn(
+        "hash", _order_hash(F.col("nameless"), F.col("unit"), seed)).withColumn(
         "bin", F.shiftright("hash", HASH_BITS - BINS.bit_length() + 1))
     units = written(units.join(_small(shares.filter("remainder > 0"), patterns), "pattern"))
-    upto = Window.partitionBy("pattern").orderBy("bin").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
     bins = units.groupBy("pattern", "bin").agg(
-        F.sum("size").alias("in_bin"), F.first("remainder").alias("remainder")).withColumn(
-        "sum", F.sum("in_bin").over(upto))
-    crossing = written(bins.filter("sum > remainder").groupBy("pattern").agg(
-        F.min("bin").alias("bin"), F.min(F.struct("bin", (F.col("sum") - F.col("in_bin")).alias(
-            "before"))).alias("at")).select("pattern", "bin", "at.before"))
+        F.sum("size").alias("n"), F.first("remainder").alias("remainder"))
+    crossing = written(_crossing(bins, "remainder", F.col("bin"), ["bin"]).drop("remainder"))
     inside = units.join(_small(crossing, patterns), ["pattern", "bin"]).withColumn(
         "sum", F.col("before") + F.sum("size").over(
-            Window.partitionBy("pattern").orderBy("hash", F.coalesce("doc_id", F.lit(0)))))
+            Window.partitionBy("pattern").orderBy("hash", "nameless", "unit")))
     # The prefix ends before the first document that no longer fits.
     cut = written(inside.filter("sum > remainder").groupBy("pattern").agg(
-        F.min(F.struct("hash", F.coalesce("doc_id", F.lit(0)).alias("id"))).alias("cut"),
-        F.min("sum").alias("sum"), F.min_by("size", F.struct("hash", "doc_id")).alias("size"),
+        F.min(_place()).alias("cut"), F.min("sum").alias("sum"),
+        F.min_by("size", _place()).alias("size"),
         F.first("remainder").alias("remainder")).select(
-        "pattern", "cut.hash", "cut.id",
-        (F.col("remainder") - F.col("sum") + F.col("size")).alias("gap")))
-    ends = cut.select("pattern", F.col("hash").alias("cut_hash"), F.col("id").alias("cut_id"),
-                      "gap")
-    beyond = F.struct("hash", F.coalesce("doc_id", F.lit(0))) >= F.struct("cut_hash", "cut_id")
-    rest = written(units.select("pattern", "doc_id", "size", "hash").join(
-        _small(ends, patterns), "pattern").filter(
-        beyond & (F.col("size") > 0) & (F.col("size") <= F.col("gap")))
-        .select("pattern", "doc_id", "size", "hash", "gap"))
+        "pattern", "cut", (F.col("remainder") - F.col("sum") + F.col("size")).alias("gap")))
+    rest = written(units.drop("rounds", "remainder").join(_small(cut, patterns), "pattern").filter(
+        (_place() >= F.col("cut")) & (F.col("size") > 0) & (F.col("size") <= F.col("gap")))
+        .drop("cut"))
     picks = None
-    for _ in range(FILLS):
-        best = written(rest.groupBy("pattern").agg(F.min(F.struct(
-            (-F.col("size")).alias("less"), "hash", "doc_id", "gap")).alias("best")).select(
-            "pattern", F.col("best.doc_id").alias("pick"), F.col("best.less").alias("less"),
-            F.col("best.hash").alias("at"), (F.col("best.gap") + F.col("best.less")).alias("now")))
-        if best.isEmpty():
-            break
-        chosen = best.select("pattern", "pick")
+    # Each pass takes the largest documents up to the first that does not fit, at least one; what
+    # is left then is less than half of the gap, so the passes are logarithmic in it.
+    while not rest.isEmpty():
+        stops = _stops(rest, patterns)
+        seen = rest.join(_small(stops, patterns), "pattern", "left")
+        chosen = written(seen.filter(
+            F.col("stop").isNull() | (F.col("size") > F.col("stop_size"))
+            | ((F.col("size") == F.col("stop_size")) & (_place() < F.col("stop")))).select(
+            "pattern", "nameless", "unit"))
         picks = chosen if picks is None else picks.union(chosen)
-        after = F.struct(-F.col("size"), "hash", F.coalesce("doc_id", F.lit(0))) > F.struct(
-            "less", "at", F.coalesce("pick", F.lit(0)))
-        rest = written(rest.join(_small(best, patterns), "pattern").filter(
-            after & (F.col("size") <= F.col("now"))).select(
-            "pattern", "doc_id", "size", "hash", F.col("now").alias("gap")))
-    listed = (picks.groupBy("pattern").agg(F.collect_set("pick").alias("picks"))
-              if picks is not None else None)
-    plan = shares.join(_small(ends.drop("gap"), patterns), "pattern", "left")
-    if listed is not None:
-        plan = plan.join(_small(listed, patterns), "pattern", "left")
-    else:
-        plan = plan.withColumn("picks", F.lit(None).cast("array<bigint>"))
-    plan = written(plan)
-    return _small(plan, patterns)
-
-
-def with_copies(docs: DataFrame, mix: Mix, source: str = "source",
-                seed: int = SEED) -> DataFrame:
-    """All columns of ``docs`` and __copies, how often the mix takes the row (0 to REPEATS)."""
+        rest = written(seen.filter(F.col("size") <= F.col("left")).select(
+            "pattern", "nameless", "unit", "size", "hash", "bin", F.col("left").alias("gap")))
+    plan = written(shares.join(_small(cut.drop("gap"), patterns), "pattern", "left"))
+    return _small(plan, patterns), picks
+
+
+def _stops(rest: DataFrame, patterns: int) -> DataFrame:
+    """(pattern, stop_size, stop, left): where the largest documents no longer fit the gap.
+
+    Sizes above stop_size fit whole, of stop_size the documents before the place ``stop``, and
+    ``left`` words stay free.  A pattern whose every document fits is not returned.
+    """
+    sizes = rest.groupBy("pattern", "size").agg(
+        (F.count("*") * F.col("size")).alias("n"), F.first("gap").alias("gap"))
+    last = written(_crossing(sizes, "gap", -F.col("size"), ["size"]).withColumn(
+        "room", F.expr("(gap - before) div size")).select(
+        "pattern", "size", "room", (F.col("gap") - F.col("before") - F.col("room") * F.col(
+            "size")).alias("left")))
+    level = rest.drop("gap").join(_small(last, patterns), ["pattern", "size"])
+    bins = level.groupBy("pattern", "bin").agg(
+        F.count("*").alias("n"), F.first("room").alias("room"))
+    crossing = _crossing(bins, "room", F.col("bin"), ["bin"]).drop("room")
+    number = F.row_number().over(
+        Window.partitionBy("pattern").orderBy("hash", "nameless", "unit"))
+    return written(level.join(_small(crossing, patterns), ["pattern", "bin"]).withColumn(
+        "number", F.col("before") + number).filter(F.col("number") == F.col("room") + 1).select(
+        "pattern", F.col("size").alias("stop_size"), _place().alias("stop"), "left"))
+
+
+def _with_copies(docs: DataFrame, mix: Mix, source: str = "source",
+                 seed: int = SEED) -> DataFrame:
+    """All columns of ``docs`` but __nameless and __unit, and __copies, how often the mix takes
+    the row (0 to REPEATS)."""
     plan = mix.plan.withColumnsRenamed({c: f"__{c}" for c in mix.plan.columns})
-    doc_id = F.col("doc_id").cast("long")
-    place = F.struct(_order_hash(doc_id, seed), F.coalesce(doc_id, F.lit(0)))
-    early = place < F.struct("__cut_hash", "__cut_id")
-    more = F.col("__cut_hash").isNotNull() & (
-        early | F.coalesce(F.array_contains("__picks", doc_id), F.lit(False)))
-    marked = docs.withColumn("__key", _pattern_key(_members(docs, source)))
-    return marked.join(plan, F.col("__key") == F.col("__pattern"), "left").withColumn(
-        "__copies", F.coalesce("__rounds", F.lit(0)) + more.cast("long")).drop(
-        "__key", *plan.columns)
+    place = F.struct(_order_hash(F.col("__nameless"), F.col("__unit"), seed).alias("hash"),
+                     F.col("__nameless").alias("nameless"), F.col("__unit").alias("unit"))
+    marked = docs.withColumn("__key", _pattern_key(_members(docs, source))).join(
+        plan, F.col("__key") == F.col("__pattern"), "left")
+    more = F.coalesce(place < F.col("__cut"), F.lit(False))
+    extra = ["__key", "__nameless", "__unit", *plan.columns]
+    if mix.picks is not None:
+        picks = mix.picks.select(
+            F.col("pattern").alias("__key"), F.col("nameless").alias("__nameless"),
+            F.col("unit").alias("__unit"), F.lit(True).alias("__picked"))
+        marked = marked.join(F.broadcast(picks) if fits_broadcast(picks) else picks,
+                             ["__key", "__nameless", "__unit"], "left")
+        more |= F.col("__picked").isNotNull()
+        extra.append("__picked")
+    return marked.withColumn(
+        "__copies", F.coalesce("__rounds", F.lit(0)) + more.cast("long")).drop(*extra)
 
 
 def mix_documents(docs: DataFrame, source: str = "source", seed: int = SEED) -> DataFrame:
@@ -263,10 +318,11 @@ def mix_documents(docs: DataFrame, source: str = "source", seed: int = SEED) ->
 
     A null source is a source of its own, a document with a null or blank text has no words and
     is taken as often as whole passes are.  Rows that repeat a doc_id within a pattern are taken
-    or left together, and so are those without one.  An empty table gives an empty mix.
+    or left together; each row without one is a document of its own.  An empty table gives an
+    empty mix.
     """
-    mix = plan_mix(docs, source, seed)
-    counted = with_copies(docs, mix, source, seed).filter("__copies > 0")
+    rows = _told_apart(docs)
+    counted = _with_copies(rows, _plan(rows, source, seed), source, seed).filter("__copies > 0")
     return counted.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop(
         "__copies", "__copy")
 
@@ -277,13 +333,13 @@ def mix_report(docs: DataFrame, seed: int = SEED) -> DataFrame:
     taken is the words that the mix reads of the row, repeats counted; see mix_documents for
     nulls, repeated rows and empty tables.  Only doc_id, text and source are read.
     """
-    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"),
-                       F.col("text").cast("string").alias("text"))
-    mix = plan_mix(rows, "source", seed)
+    rows = _told_apart(docs.select("doc_id", F.col("source").cast("string").alias("source"),
+                                   F.col("text").cast("string").alias("text")))
+    mix = _plan(rows, "source", seed)
     facts = docs.sparkSession.createDataFrame(
         [("n" if s is None else "s" + s, int(size), round(float(mix.targets[s]), 6))
          for s, size in mix.sizes.items()], "__s string, source_size long, target double")
-    counted = with_copies(rows.withColumn("size", word_count(F.col("text"))), mix, "source", seed)
+    counted = _with_copies(rows.withColumn("size", word_count(F.col("text"))), mix, "source", seed)
     named = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
     return counted.join(_small(facts, len(mix.sizes)), named == F.col("__s")).select(
         F.col("doc_id").cast("long").alias("doc_id"), "size", "source_size", "target",

@@ -131,3 +131,46 @@ def test_overlapping_sources_and_empty_table(spark):
     assert abs(sum(counts.values()) * 10 - 1000) <= 30
     assert m.mix_documents(df.limit(0)).count() == 0
     assert m.mix_report(df.limit(0).withColumn("source", df.source[0])).count() == 0
+
+
+def test_what_a_long_document_leaves_is_filled(spark):
+    order = sorted(range(101), key=_hash)
+    # The long document stands at place 10 and does not fit; 90 short ones do.
+    rows = [(d, "w " * (2000 if k == 10 else 20), "a") for k, d in enumerate(order)]
+    rows += [(1000 + i, "w " * 20, "b") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = m.mix_report(df).collect()
+    assert {r.target for r in got if r.source_size == 4000} == {2000.0}
+    assert sum(r.taken for r in got if r.source_size == 4000) == 2000
+    assert sum(r.taken for r in got if r.source_size == 2000) == 4000
+
+
+def test_fills_against_a_plain_loop(spark):
+    rng = np.random.default_rng(11)
+    order = sorted(range(500), key=_hash)
+    rows = [(d, "w " * (9000 if k == 7 else int(rng.integers(1, 30))), "a")
+            for k, d in enumerate(order)]
+    rows += [(1000 + i, "w " * 50, "b") for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = {r.doc_id: r for r in m.mix_report(df).collect()}
+    left, sizes = int(got[0].target), {d: len(t.split()) for d, t, s in rows if s == "a"}
+    want, at = set(), 0
+    while sizes[order[at]] <= left:
+        left -= sizes[order[at]]
+        want.add(order[at])
+        at += 1
+    prefix = len(want)
+    for d in sorted(order[at:], key=lambda d: (-sizes[d], _hash(d))):
+        if sizes[d] <= left:
+            left -= sizes[d]
+            want.add(d)
+    assert prefix == 7 and len(want) > 100
+    assert {d for d in sizes if got[d].taken} == want
+
+
+def test_rows_without_an_id_are_documents_of_their_own(spark):
+    rows = [(None, "n " * 10, "a")] * 60 + [(i, "w " * 10, "b") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = m.mix_report(df).collect()
+    assert sum(r.taken for r in got if r.source_size == 600) == 300  # its target
+    assert sum(r.source == "a" for r in m.mix_documents(df).collect()) == 30

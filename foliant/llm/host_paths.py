@@ -208,9 +208,9 @@ def host_of(url: Column) -> Column:
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        paths = ["/".join(candidate(blocks(h.as_py()))) or None for h in batch.column(1)]
+        paths = [candidate(blocks(h.as_py())) or None for h in batch.column(1)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(paths, pa.string())], ["host", "path"])
+            [batch.column(0), pa.array(paths, pa.list_(pa.string()))], ["host", "path"])
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +219,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for page, path in zip(batch.column(2), batch.column(3)):
             found = blocks(page.as_py())
             winner = path.as_py()
-            text = read_text(found, tuple(winner.split("/"))) if winner else ""
+            text = read_text(found, tuple(winner)) if winner else ""
             texts.append(text or read_text(found, candidate(found)))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(texts, pa.string()),
@@ -229,7 +229,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def host_paths(pages: DataFrame) -> DataFrame:
     """(host, path, votes): the winning path of every host, ties to the first by name."""
     votes = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias(
-        "html")).mapInArrow(_vote, "host string, path string").filter("path is not null")
+        "html")).mapInArrow(_vote, "host string, path array<string>").filter("path is not null")
     counted = votes.groupBy("host", "path").agg(F.count("*").alias("votes"))
     return counted.groupBy("host").agg(
         F.min(F.struct((-F.col("votes")).alias("less"), "path")).alias("won")).select(

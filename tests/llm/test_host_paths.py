@@ -108,3 +108,9 @@ def test_host_names(spark):
         "url string")
     assert [r[0] for r in df.select(h.host_of(df.url)).collect()] == [
         "ex.org", "ex.org", "a.b", "", "", ""]
+
+
+def test_a_class_may_hold_a_slash(spark):
+    page = "<body><div class='w-1/2'><p>text of the page</p></div></body>"
+    df = spark.createDataFrame([("http://a.org/1", page)], "url string, html string")
+    assert [tuple(r.path) for r in h.host_paths(df).collect()] == [("body", "div.w-#/#")]

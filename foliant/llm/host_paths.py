@@ -3,9 +3,11 @@
 A page is read as a list of text blocks, each with the path of containers above it.  Paths are
 generalised: tag and class names, digits levelled, positions dropped.  On every page the
 containers are scored by the text that stands in them, links discounted, and the tightest one
-that holds most of the page's text is the page's candidate.  Spark counts the candidates of each
-host, the path with the most votes wins, and pages are read again: the text of a page is what
-stands under its host's winning path (under its own candidate if the page has no such container).
+that holds most of the page's text, with the paragraphs and headings beside it, is the page's
+candidate.  Spark counts the candidates of each host and the path with the most votes wins.  The
+text of a page is what stands under its host's winning path if that is enough of the page's own
+text, else what stands under its own candidate; blocks outside the winning path that other pages
+of the host repeat are not a page's own.  Pages without a host are read by their own candidates.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +25,7 @@ from foliant.operators.skew import lookup_join
 from foliant.session import materialize
 
 MOST = 0.6  # share of the page's text that a candidate holds
+ENOUGH = 0.4  # share of the page's own text that the host's winning path holds
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -63,6 +67,9 @@ ENDS = {
 }
 SCOPE = frozenset("article section div td th table body html main aside nav header footer".split())
 
+# Elements of an article's text that need no container of their own.
+LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dd dt pre blockquote table tbody tr td th".split())
+
 Block = tuple[tuple[str, ...], str, int]  # containers above, text, characters in links
 
 
@@ -190,7 +197,17 @@ def candidate(found: list[Block], most: float = MOST) -> tuple[str, ...]:
     for path, w in held.items():
         if w >= most * total and len(path) > len(best) and path not in leaves:
             best = path
-    return best
+    # Paragraphs and headings that stand beside it, not in containers of their own, belong to it.
+    at = best
+    for depth in range(len(best) - 1, -1, -1):
+        if at and at[-1].split(".")[0] in ("article", "main"):
+            break
+        if any(w and 2 * linked <= len(text) and path[:depth] == best[:depth]
+               and path[:len(at)] != at
+               and all(step.split(".")[0] in LEAVES for step in path[depth:])
+               for (path, text, linked), w in zip(found, weight)):
+            at = best[:depth]
+    return at
 
 
 def read_text(found: list[Block], path: tuple[str, ...]) -> str:
@@ -198,6 +215,28 @@ def read_text(found: list[Block], path: tuple[str, ...]) -> str:
     return "\n".join(text for above, text, _ in found if above[:len(path)] == path)
 
 
+def own_text(found: list[Block], winner: tuple[str, ...] | None, repeated: set[int]) -> str:
+    """The page's text by the winning path, or by its own candidate without repeated blocks."""
+    if winner is None:
+        return read_text(found, candidate(found))
+    inside = [b for b in found if b[0][:len(winner)] == winner]
+    own = [b for b in found if b[0][:len(winner)] == winner or _print(b[1]) not in repeated]
+    held, total = _unlinked(inside), _unlinked(own)
+    if inside and held >= ENOUGH * total:
+        return read_text(found, winner)
+    return read_text(own, candidate(own)) or read_text(found, candidate(found))
+
+
+def _unlinked(found: list[Block]) -> int:
+    return sum(len(text) - linked for _, text, linked in found)
+
+
+def _print(text: str) -> int:
+    """A hash of a block's text, as a signed long."""
+    h = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
+    return h - (1 << 64) if h >> 63 else h
+
+
 def host_of(url: Column) -> Column:
     """Lower-case host of a URL without user, port or a leading ``www.``; empty if there is none."""
     rest = F.regexp_extract(F.coalesce(url.cast("string"), F.lit("")), r"^[a-zA-Z][\w+.-]*://"
@@ -208,28 +247,44 @@ def host_of(url: Column) -> Column:
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        paths = [candidate(blocks(h.as_py())) or None for h in batch.column(1)]
+        pages = [blocks(h.as_py()) for h in batch.column(1)]
+        paths = [candidate(found) if found else None for found in pages]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(paths, pa.list_(pa.string()))], ["host", "path"])
 
 
+def _outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(page, host, html, path) -> (page, host, block, disputed) of blocks not under the path."""
+    for batch in batches:
+        out = []
+        for page, host, source, path in zip(*(c.to_pylist() for c in batch.columns)):
+            found, winner = blocks(source), tuple(path)
+            rest = [b for b in found if b[0][:len(winner)] != winner]
+            total = _unlinked(found)
+            disputed = total - _unlinked(rest) < ENOUGH * total or len(rest) == len(found)
+            out += [(page, host, k, disputed) for k in {_print(text) for _, text, _ in rest}]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r[i] for r in out], kind) for i, kind in enumerate(
+                (pa.int64(), pa.string(), pa.int64(), pa.bool_()))],
+            ["page", "host", "block", "disputed"])
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = []
-        for page, path in zip(batch.column(2), batch.column(3)):
-            found = blocks(page.as_py())
-            winner = path.as_py()
-            text = read_text(found, tuple(winner)) if winner else ""
-            texts.append(text or read_text(found, candidate(found)))
+        texts = [own_text(blocks(page), None if path is None else tuple(path), set(again or ()))
+                 for page, path, again in zip(*(c.to_pylist() for c in batch.columns[2:]))]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(texts, pa.string()),
              pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """(host, path, votes): the winning path of every host, ties to the first by name."""
+    """(host, path, votes): the winning path of every host, ties to the first by name.
+
+    An empty path is the page as a whole.
+    """
     votes = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias(
-        "html")).mapInArrow(_vote, "host string, path array<string>").filter("path is not null")
+        "html")).filter("host <> ''").mapInArrow(_vote, "host string, path array<string>").filter("path is not null")
     counted = votes.groupBy("host", "path").agg(F.count("*").alias("votes"))
     return counted.groupBy("host").agg(
         F.min(F.struct((-F.col("votes")).alias("less"), "path")).alias("won")).select(
@@ -240,13 +295,22 @@ def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of ``pages`` (page_id, url, html).
 
     A null or blank page has an empty text, and so has a page without text of its own.  Pages
-    whose URL is null or names no host vote together.  Repeated rows each vote and each give a
+    whose URL is null or names no host do not vote.  Repeated rows each vote and each give a
     row; page_id may be null; an empty table gives an empty result.  Other columns are not read.
     """
     winners = materialize(host_paths(pages)).select("host", "path")
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
         F.col("html").cast("string").alias("html"), host_of(F.col("url")).alias("host"))
+    rows = rows.withColumn("page", F.xxhash64("host", "html"))
     joined = lookup_join(rows, winners, ["host"], F.xxhash64("page_id", "url"), "left")
-    return joined.select("page_id", "url", "html", "path").mapInArrow(
+    outside = materialize(joined.filter("path is not null and html is not null").select(
+        "page", "host", "html", "path").mapInArrow(
+        _outside, "page long, host string, block long, disputed boolean"))
+    repeated = outside.groupBy("host", "block").agg(
+        F.min("page").alias("least"), F.max("page").alias("most")).filter("least <> most")
+    again = outside.filter("disputed").join(repeated, ["host", "block"]).groupBy("page").agg(
+        F.collect_set("block").alias("again"))
+    read = lookup_join(joined, again, ["page"], F.xxhash64("page_id", "url"), "left")
+    return read.select("page_id", "url", "html", "path", "again").mapInArrow(
         _read, "page_id long, url string, text string, n_chars long")

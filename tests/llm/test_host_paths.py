@@ -114,3 +114,47 @@ def test_a_class_may_hold_a_slash(spark):
     page = "<body><div class='w-1/2'><p>text of the page</p></div></body>"
     df = spark.createDataFrame([("http://a.org/1", page)], "url string, html string")
     assert [tuple(r.path) for r in h.host_paths(df).collect()] == [("body", "div.w-#/#")]
+
+
+def _prose(rng, n):
+    return " ".join(f"w{x}" for x in rng.integers(0, 10_000, n))
+
+
+def test_pages_of_another_template_are_read_whole(spark):
+    rng = np.random.default_rng(8)
+    rows, want = [], {}
+    for i in range(9):
+        head, body = _prose(rng, 12), _prose(rng, 80)
+        if i % 3:  # the article is in content
+            page, text = f"<div class='content'><p>{head}</p><p>{body}</p></div>", f"{head}\n{body}"
+        else:  # content has a teaser only
+            page, text = (f"<div class='content'><p>{head}</p></div><div class='body'><p>{body}"
+                          "</p></div>"), body
+        rows.append((i, "https://two.example.org/", f"<body>{page}</body>"))
+        want[i] = text
+    # Pages without a host have nothing to do with each other.
+    for i in range(10, 16):
+        body = _prose(rng, 40)
+        tag = "content" if i < 14 else "body"
+        teaser = "" if i < 14 else "<div class='content'><p>teaser</p></div>"
+        rows.append((i, None, f"<body>{teaser}<div class='{tag}'><p>{body}</p></div></body>"))
+        want[i] = body
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    assert {r.page_id: r.text for r in h.extract(df).collect()} == want
+
+
+def test_the_root_votes(spark):
+    rows = [(f"http://r.org/{i}", f"<p>one {i}</p><p>two</p>") for i in range(3)]
+    rows.append(("http://r.org/x", "<div class='d'><p>three</p><p>four</p></div>"))
+    df = spark.createDataFrame(rows, "url string, html string")
+    assert [(tuple(r.path), r.votes) for r in h.host_paths(df).collect()] == [((), 3)]
+
+
+def test_candidates_take_the_text_beside_them():
+    page = ("<body><div class='page'><h1>Title</h1><p>An introduction of some words.</p><ul>"
+            + "<li>item with a few words in it</li>" * 5 + "</ul></div><div class='col'><p>other"
+            "</p></div></body>")
+    found = h.blocks(page)
+    assert h.candidate(found) == ("body", "div.page")
+    page = page.replace("<ul>", "<section>").replace("</ul>", "</section>").replace("li>", "p>")
+    assert h.candidate(h.blocks(page)) == ("body", "div.page")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from foliant.llm import (
+    bit_whitening,
+    fill_middle,
     host_paths,
     host_rules,
     kdtree_topk,
@@ -13,6 +15,7 @@ from foliant.llm import (
     mix_flow,
     perspectives,
     quality_crf,
+    secret_net,
     simhash_dedup,
     unigram_pieces,
 )
@@ -63,6 +66,18 @@ def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.judge(_table(spark, sf_dir, "documents"))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(_table(spark, sf_dir, "documents"))
+
+
+def op12_bit_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bit_whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_secret_net(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_net.secret_report(_table(spark, sf_dir, "documents"))
+
+
 OP4_SQL = r"""
 WITH t AS (
   SELECT conv_id, turn,
@@ -215,14 +230,48 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM f JOIN verdict v ON f.source IS NOT DISTINCT FROM v.source
 """
 
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+         sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+u AS (
+  SELECT *, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS units,
+         ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2,
+         ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4
+  FROM d),
+c AS (
+  SELECT *, len(units) AS n, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS low,
+         greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS high,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>')
+                OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+              WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM u),
+p AS (
+  SELECT *, coalesce(array_to_string(units[1:low], ''), '') AS prefix,
+         coalesce(array_to_string(units[low + 1:high], ''), '') AS middle,
+         coalesce(array_to_string(units[high + 1:n], ''), '') AS suffix
+  FROM c)
+SELECT doc_id, n::BIGINT AS n, form,
+       CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text
+                        WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END)
+         AS output_sha256,
+       sha256(CASE form WHEN 'plain' THEN text ELSE prefix || middle || suffix END)
+         AS restored_sha256
+FROM p
+"""
+
 LLM_QUERIES = {f.__name__: f for f in (
     op1_quality_crf, op2_line_dedup, op3_simhash_near_dedup, op4_perspectives, op5_host_paths,
-    op6_kdtree_topk,
-    op7_unigram_pieces, op8_language_kernel, op9_mix_flow, op10_host_rules,
+    op6_kdtree_topk, op7_unigram_pieces, op8_language_kernel, op9_mix_flow, op10_host_rules,
+    op11_fill_middle, op12_bit_whitening, op13_secret_net,
 )}
 LLM_SQL: dict[str, str] = {
     "op4_perspectives": OP4_SQL,
     "op6_kdtree_topk": OP6_SQL,
     "op9_mix_flow": OP9_SQL,
     "op10_host_rules": OP10_SQL,
+    "op11_fill_middle": OP11_SQL,
 }

@@ -6,11 +6,13 @@ import os
 import shutil
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 _PACKAGE = os.path.dirname(os.path.abspath(__file__))
 _shipped: set[str] = set()
+_tables: dict[int, tuple[weakref.ref, str]] = {}
 
 # Runtime settings that are safe on any cluster; a cluster's own value wins.
 DEFAULTS = {
@@ -73,7 +75,19 @@ def written(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _tables[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables made by ``written`` that nothing reads any more; others are left alone."""
+    for table in tables:
+        ref, path = _tables.get(id(table), (lambda: None, ""))
+        if ref() is table:
+            del _tables[id(table)]
+            place = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def ship_package(spark: SparkSession) -> None:

@@ -31,10 +31,10 @@ SHARE = 64  # large buckets are recognised on one fingerprint in so many
 SQUARE = 1024  # members up to which a bucket is compared as one matrix
 
 
-def block_count(n: int, distance: int) -> int:
-    """The fewest blocks whose keys spread ``n`` even fingerprints over buckets of BUCKET."""
+def block_count(n: int, distance: int, bucket: int = BUCKET) -> int:
+    """The fewest blocks whose keys spread ``n`` even fingerprints over buckets of that size."""
     blocks = distance + 1
-    while blocks < 16 and n > BUCKET * 2 ** (BITS * (blocks - distance) / blocks):
+    while blocks < 16 and n > bucket * 2 ** (BITS * (blocks - distance) / blocks):
         blocks += 1
     return blocks
 

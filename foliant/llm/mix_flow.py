@@ -134,17 +134,23 @@ class Mix:
 def _order_hash(nameless: Column, unit: Column, seed: int) -> Column:
     """A 60-bit hash that orders documents, the same in any engine."""
     name = F.concat(F.when(nameless, f"{seed}:row ").otherwise(f"{seed}:"), unit.cast("string"))
-    return F.conv(F.substring(F.md5(name), 1, HASH_BITS // 4), 16, 10).cast("long")
+    return _hash60(name)
 
 
 def _place() -> Column:
     return F.struct("hash", "nameless", "unit")
 
 
-def _told_apart(docs: DataFrame) -> DataFrame:
+def _hash60(text: Column) -> Column:
+    """The first 60 bits of the text's md5, as a number."""
+    return F.conv(F.substring(F.md5(text), 1, HASH_BITS // 4), 16, 10).cast("long")
+
+
+def _told_apart(docs: DataFrame, source: str) -> DataFrame:
     """``docs`` with __nameless and __unit: the doc_id, or a number of its own for a row without.
 
-    The numbered rows are written, so that every later look at them finds the same numbers.
+    Rows without an id are numbered by their text and, among equal texts of a source, from 1 on,
+    so that there are the same numbers however the rows are dealt.
     """
     doc_id = F.col("doc_id").cast("long")
     named = docs.withColumns({"__nameless": F.lit(False), "__unit": doc_id}).filter(
@@ -152,8 +158,20 @@ def _told_apart(docs: DataFrame) -> DataFrame:
     nameless = docs.filter(doc_id.isNull())
     if nameless.isEmpty():
         return named
-    return named.unionByName(written(nameless.withColumns(
-        {"__nameless": F.lit(True), "__unit": F.monotonically_increasing_id()})))
+    # Equal rows may be very many: each partition numbers its own, from where the one before ends.
+    key = ["__pattern", "__content", "__part"]
+    rows = written(nameless.withColumns({
+        "__pattern": _pattern_key(_members(docs, source)), "__part": F.spark_partition_id(),
+        "__content": F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))}))
+    before = rows.groupBy(*key).count().withColumn("__before", F.sum("count").over(
+        Window.partitionBy(*key[:2]).orderBy("__part").rowsBetween(
+            Window.unboundedPreceding, -1))).drop("count")
+    number = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(1)))
+    numbered = rows.withColumn("__number", number).join(before, key)
+    unit = _hash60(F.concat_ws(":", "__content", F.col("__number") + F.coalesce(
+        "__before", F.lit(0))))
+    return named.unionByName(written(numbered.withColumns(
+        {"__nameless": F.lit(True), "__unit": unit}).select(*named.columns)))
 
 
 def word_count(text: Column) -> Column:
@@ -182,7 +200,7 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 def plan_mix(docs: DataFrame, source: str = "source", seed: int = SEED, repeats: int = REPEATS,
              weights: Callable[[Sequence], Mapping] = cyclic_weights) -> Mix:
     """Decide what to take of ``docs`` (doc_id, text, source or array of sources)."""
-    return _plan(_told_apart(docs), source, seed, repeats, weights)
+    return _plan(_told_apart(docs, source), source, seed, repeats, weights)
 
 
 def _plan(docs: DataFrame, source: str = "source", seed: int = SEED, repeats: int = REPEATS,
@@ -318,10 +336,10 @@ def mix_documents(docs: DataFrame, source: str = "source", seed: int = SEED) ->
 
     A null source is a source of its own, a document with a null or blank text has no words and
     is taken as often as whole passes are.  Rows that repeat a doc_id within a pattern are taken
-    or left together; each row without one is a document of its own.  An empty table gives an
-    empty mix.
+    or left together; each row without one is a document of its own, and of rows without one that
+    share text and sources any may be the ones taken.  An empty table gives an empty mix.
     """
-    rows = _told_apart(docs)
+    rows = _told_apart(docs, source)
     counted = _with_copies(rows, _plan(rows, source, seed), source, seed).filter("__copies > 0")
     return counted.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop(
         "__copies", "__copy")
@@ -334,7 +352,7 @@ def mix_report(docs: DataFrame, seed: int = SEED) -> DataFrame:
     nulls, repeated rows and empty tables.  Only doc_id, text and source are read.
     """
     rows = _told_apart(docs.select("doc_id", F.col("source").cast("string").alias("source"),
-                                   F.col("text").cast("string").alias("text")))
+                                   F.col("text").cast("string").alias("text")), "source")
     mix = _plan(rows, "source", seed)
     facts = docs.sparkSession.createDataFrame(
         [("n" if s is None else "s" + s, int(size), round(float(mix.targets[s]), 6))

@@ -108,24 +108,25 @@ FROM o GROUP BY conv_id, speaker, part
 
 OP6_SQL = """
 WITH v AS (
-  SELECT vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS v
+  SELECT row_number() OVER () AS row, vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS v
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0),
-u AS (SELECT vec_id, min(v) AS v FROM v GROUP BY vec_id),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
-  FROM u q JOIN u c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v))
-SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank,
-       vec_id, score
-FROM s
-QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
+  SELECT q.row, q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.row <> c.row AND len(q.v) = len(c.v)),
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 # Every document has one source, so the flow gives each source its quota from its own pattern.
 OP9_SQL = r"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         coalesce('42:' || doc_id::VARCHAR, '42:row ' || ('0x' || substr(md5(
+           md5(coalesce(text, '')) || ':' || row_number() OVER (
+             PARTITION BY doc_id IS NULL, source, md5(coalesce(text, '')))), 1, 15))::BIGINT) AS unit
   FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size,
@@ -155,35 +156,35 @@ p AS (
          CASE WHEN source_size > 0 THEN quota % source_size ELSE 0 END AS remainder
   FROM q),
 u AS (
-  SELECT d.source, d.doc_id, sum(size) AS size,
-         ('0x' || substr(md5('42:' || coalesce(d.doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h
-  FROM d GROUP BY d.source, d.doc_id),
+  SELECT d.source, d.unit, sum(size) AS size,
+         ('0x' || substr(md5(d.unit), 1, 15))::BIGINT AS h
+  FROM d GROUP BY d.source, d.unit),
 o AS (
-  SELECT u.*, p.remainder, sum(u.size) OVER (PARTITION BY u.source ORDER BY h, u.doc_id) AS upto
+  SELECT u.*, p.remainder, sum(u.size) OVER (PARTITION BY u.source ORDER BY h, u.unit) AS upto
   FROM u JOIN p ON u.source IS NOT DISTINCT FROM p.source WHERE p.remainder > 0),
 gaps AS (
   SELECT source, min(remainder) - coalesce(max(upto) FILTER (upto <= remainder), 0) AS gap
   FROM o GROUP BY source),
 rest AS (
-  SELECT o.source, o.doc_id, o.size, row_number() OVER (
-           PARTITION BY o.source ORDER BY o.size DESC, h, o.doc_id) AS place
+  SELECT o.source, o.unit, o.size, row_number() OVER (
+           PARTITION BY o.source ORDER BY o.size DESC, h, o.unit) AS place
   FROM o JOIN gaps g ON o.source IS NOT DISTINCT FROM g.source
   WHERE upto > remainder AND size > 0 AND size <= gap),
 fill AS (
-  SELECT source, gap, 0::BIGINT AS place, NULL::BIGINT AS doc_id, 0 AS step FROM gaps
+  SELECT source, gap, 0::BIGINT AS place, NULL::VARCHAR AS unit FROM gaps
   UNION ALL
-  SELECT f.source, f.gap - r.size, r.place, r.doc_id, f.step + 1
+  SELECT f.source, f.gap - r.size, r.place, r.unit
   FROM fill f JOIN rest r ON r.source IS NOT DISTINCT FROM f.source
-  WHERE f.step < 8 AND r.place > f.place AND r.size <= f.gap
+  WHERE r.place > f.place AND r.size <= f.gap
   QUALIFY row_number() OVER (PARTITION BY f.source ORDER BY r.place) = 1),
 extra AS (
-  SELECT source, doc_id FROM o WHERE upto <= remainder
-  UNION ALL SELECT source, doc_id FROM fill WHERE step > 0)
+  SELECT source, unit FROM o WHERE upto <= remainder
+  UNION ALL SELECT source, unit FROM fill WHERE place > 0)
 SELECT d.doc_id, d.size::BIGINT AS size, p.source_size, p.target::DOUBLE AS target,
-       (d.size * (p.rounds + CASE WHEN e.source IS NULL AND e.doc_id IS NULL THEN 0 ELSE 1 END))
+       (d.size * (p.rounds + CASE WHEN e.unit IS NULL THEN 0 ELSE 1 END))
          ::BIGINT AS taken
 FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
-LEFT JOIN extra e ON e.source IS NOT DISTINCT FROM d.source AND e.doc_id = d.doc_id
+LEFT JOIN extra e ON e.source IS NOT DISTINCT FROM d.source AND e.unit = d.unit
 """
 
 OP10_SQL = r"""

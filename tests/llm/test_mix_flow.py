@@ -57,12 +57,27 @@ def test_flow_is_the_largest_at_least_cost(seed):
 
 
 def _hash(doc_id):
-    return int(hashlib.md5(f"42:{'' if doc_id is None else doc_id}".encode()).hexdigest()[:15], 16)
+    """Of an id, or of the name of a row without one."""
+    return int(hashlib.md5(f"42:{doc_id}".encode()).hexdigest()[:15], 16)
+
+
+def name_units(rows):
+    """The id of each row, or the name of a row without one."""
+    names, seen = [], {}
+    for d, t, s in rows:
+        if d is None:
+            content = hashlib.md5((t or "").encode()).hexdigest()
+            seen[s, content] = seen.get((s, content), 0) + 1
+            d = "row " + str(int(hashlib.md5(
+                f"{content}:{seen[s, content]}".encode()).hexdigest()[:15], 16))
+        names.append(d)
+    return names
 
 
 def slow_mix(rows):
     """rows: (doc_id, text, source) -> (doc_id, size, source_size, target, taken)"""
     sized = [(d, len(WORD.findall(t or "")), s) for d, t, s in rows]
+    ids = name_units(rows)
     sizes = {}
     for _, n, s in sized:
         sizes[s] = sizes.get(s, 0) + n
@@ -73,36 +88,38 @@ def slow_mix(rows):
         if not left:
             continue
         units = {}
-        for d, n, t in sized:
+        for d, (_, n, t) in zip(ids, sized):
             if t == s:
                 units[d] = units.get(d, 0) + n
-        order = sorted(units, key=lambda d: (_hash(d), d or 0))
+        order = sorted(units, key=_hash)
         at = 0
         while units[order[at]] <= left:
             left -= units[order[at]]
             extra.add((s, order[at]))
             at += 1
-        fills = 0
-        for d in sorted(order[at:], key=lambda d: (-units[d], _hash(d), d or 0)):
-            if 0 < units[d] <= left and fills < 8:
+        for d in sorted(order[at:], key=lambda d: (-units[d], _hash(d))):
+            if 0 < units[d] <= left:
                 left -= units[d]
                 extra.add((s, d))
-                fills += 1
     return sorted(((d, n, sizes[s], round(float(targets[s]), 6),
-                    n * (rounds[s] + ((s, d) in extra))) for d, n, s in sized), key=repr)
+                    n * (rounds[s] + ((s, unit) in extra)))
+                   for unit, (d, n, s) in zip(ids, sized)), key=repr)
 
 
-def test_selection_row_by_row(spark):
+@pytest.mark.parametrize("parts", [1, 4, 50])
+def test_selection_row_by_row(spark, parts):
     rng = np.random.default_rng(5)
     names = ["s1", "s2", "é", "z", None, "hot", "hot", "hot", "tiny"]
     rows = [(i, " ".join(["w"] * int(rng.integers(0, 40))), names[rng.integers(len(names) - 1)])
             for i in range(400)]
     rows += [(1000, "a b c", "tiny"), (1001, "d", "tiny"), (1002, None, "hot"), (1003, "", None),
              (1004, "x " * 20_000, "hot"), (1005, "p q", "hot"), (1005, "p q", "hot"),
-             (None, "n n n", "s1"), (None, "n", "s1"), (1006, "", "empty")]
+             (None, "n n n", "s1"), (None, "n", "s1"), (1006, "", "empty"),
+             *[(None, "same text", s) for s in ("s1", "hot", None) for _ in range(30)],
+             *[(None, "text " * (i % 9), "z") for i in range(60)]]
     df = spark.createDataFrame([(*r, 1, "x") for r in rows],
                                "doc_id long, text string, source string, size int, taken string")
-    df = df.repartition(4)
+    df = df.repartition(parts)
     got = m.mix_report(df)
     assert got.columns == ["doc_id", "size", "source_size", "target", "taken"]
     expected = slow_mix(rows)
@@ -174,3 +191,21 @@ def test_rows_without_an_id_are_documents_of_their_own(spark):
     got = m.mix_report(df).collect()
     assert sum(r.taken for r in got if r.source_size == 600) == 300  # its target
     assert sum(r.source == "a" for r in m.mix_documents(df).collect()) == 30
+
+
+def test_check_sql_states_the_same_rule(spark):
+    """Against the SQL on rows that need more than eight fills, some of them without an id."""
+    import duckdb
+
+    from foliant.llm.queries import OP9_SQL
+    rng = np.random.default_rng(3)
+    rows = [(i, "w " * int(rng.integers(1, 30)), "a") for i in range(200)]
+    rows += [(1000, "x " * 4000, "a"), (1001, None, "b"), (None, "y " * 50, None)]
+    rows += [(None, "w " * int(rng.integers(1, 6)), "b") for _ in range(200)]
+    documents = duckdb.connect()
+    documents.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    documents.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
+    found = documents.execute(f"SELECT doc_id, size, source_size, target, taken FROM ({OP9_SQL})")
+    assert sorted(found.fetchall(), key=repr) == slow_mix(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert sorted(map(tuple, m.mix_report(df).collect()), key=repr) == slow_mix(rows)

@@ -80,9 +80,9 @@ def _products(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return whole[0] @ whole[1].T
 
 
-def search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray,
-           floors: list, k: int = K) -> Iterator[tuple[int, int, int]]:
-    """(query_id, vec_id, score) of the k best of a shard for each query, its own id left out.
+def search(own: np.ndarray, ids: np.ndarray, vectors: np.ndarray, query_rows: np.ndarray,
+           queries: np.ndarray, floors: list, k: int = K) -> Iterator[tuple[int, int, int, int]]:
+    """(query row, row, vec_id, score) of the k best of a shard for each query but its own row.
 
     ``floors`` has for each query a score that a result must reach, or None.
     """
@@ -90,8 +90,8 @@ def search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries:
     # max over a box of q . x: each component takes the end that suits its sign.
     up, down = np.maximum(queries, 0), np.minimum(queries, 0)
     bounds = _products(up, tree.high) + _products(down, tree.low)
-    for i, query in enumerate(query_ids.tolist()):
-        best: list[tuple] = []  # heap of (score, -vec_id), the worst first
+    for i, query in enumerate(query_rows.tolist()):
+        best: list[tuple] = []  # heap of (score, -vec_id, -row), the worst first
         floor, bound = floors[i], bounds[i]
         open_ = [(-bound[0], 0)]
         while open_:
@@ -109,16 +109,16 @@ def search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries:
             if least is not None:
                 good = np.flatnonzero(scores >= least)
                 rows, scores = rows[good], scores[good]
-            for vec, score in zip(ids[rows].tolist(), scores.tolist()):
-                if vec == query:
+            for row, vec, score in zip(own[rows].tolist(), ids[rows].tolist(), scores.tolist()):
+                if row == query:
                     continue
-                entry = (int(score), -vec)
+                entry = (int(score), -vec, -row)
                 if len(best) < k:
                     heapq.heappush(best, entry)
                 elif entry > best[0]:
                     heapq.heapreplace(best, entry)
-        for score, vec in best:
-            yield query, -vec, max(-LONG, min(LONG - 1, score))
+        for score, vec, row in best:
+            yield query, -row, -vec, max(-LONG, min(LONG - 1, score))
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -126,15 +126,17 @@ def _matrix(column: pd.Series) -> np.ndarray:
 
 
 def _whole_vectors(embeddings: DataFrame) -> DataFrame:
-    """(vec_id, v, size): floor(256 x) of the vectors that take part, one row an id."""
+    """(row, vec_id, v, size): floor(256 x) of the vectors that take part, rows numbered."""
     x = F.col("embedding").cast("array<double>")
     fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    # Doubles stay doubles: floor as a whole number would not hold the largest.
-    v = F.transform(x, lambda c: 256 * c - F.pmod(256 * c, F.lit(1.0)))
+    # Doubles stay doubles; those too large for a fraction are whole already.
+    v = F.transform(x, lambda c: F.when(F.abs(c) < 2.0 ** 44, F.floor(
+        F.when(F.abs(c) < 2.0 ** 44, 256 * c).otherwise(0.0)).cast("double")).otherwise(256 * c))
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x")).filter(
         F.col("vec_id").isNotNull() & F.col("x").isNotNull())
     rows = rows.withColumn("embedding", F.col("x")).filter(fine).select("vec_id", v.alias("v"))
-    return rows.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("size", F.size("v"))
+    return rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", "v",
+                       F.size("v").alias("size"))
 
 
 def top_k(embeddings: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
@@ -142,8 +144,8 @@ def top_k(embeddings: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
 
     Queries are the rows whose vec_id is divisible by ``every``, candidates all rows but the
     query's own; ties go to the smaller vec_id.  Vectors that are null or hold a null or
-    non-finite component, and rows without a vec_id, take no part.  Of rows that repeat a vec_id
-    the least vector counts.  Vectors of different lengths have no product and do not meet.  A
+    non-finite component, and rows without a vec_id, take no part.  Rows that repeat a vec_id are
+    queries and candidates each of its own, and of each other.  Vectors of different lengths have no product and do not meet.  A
     score beyond a long is cut to its ends.  An empty table gives an empty result.  Only vec_id
     and embedding are read.
     """
@@ -152,12 +154,12 @@ def top_k(embeddings: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
         F.col("vec_id") % every == 0, True)).alias("queries")).first()
     shards = max(1, -(-facts.n // SHARD_ROWS))
     blocks = max(1, -(-facts.queries // QUERY_ROWS))
-    shard = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")
-    block = F.pmod(F.xxhash64("vec_id", F.lit("block")), F.lit(blocks)).cast("int")
+    shard = F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int")
+    block = F.pmod(F.xxhash64("row", F.lit("block")), F.lit(blocks)).cast("int")
     stored = vectors.withColumn("shard", shard).withColumn(
         "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     asked = vectors.filter(F.col("vec_id") % every == 0).select(
-        F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.col("size").alias("q_size"),
+        F.col("row").alias("query"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.col("size").alias("q_size"),
         shard.alias("home"), block.alias("q_block"))
 
     def run(stored_part: pd.DataFrame, asked_part: pd.DataFrame) -> pd.DataFrame:
@@ -165,26 +167,29 @@ def top_k(embeddings: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
         if len(stored_part) and len(asked_part):
             floors = [None if pd.isna(x) else int(x) for x in asked_part["floor"]]
             found = list(search(
-                stored_part["vec_id"].to_numpy(), _matrix(stored_part["v"]),
-                asked_part["query_id"].to_numpy(), _matrix(asked_part["q"]), floors, k))
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
+                stored_part["row"].to_numpy(), stored_part["vec_id"].to_numpy(),
+                _matrix(stored_part["v"]), asked_part["query"].to_numpy(),
+                _matrix(asked_part["q"]), floors, k))
+        out = pd.DataFrame(found, columns=["query", "row", "vec_id", "score"]).astype("int64")
+        names = dict(zip(asked_part["query"], asked_part["query_id"]))
+        return out.assign(query_id=out["query"].map(names).astype("int64"))
 
     def meet(asked_rows: DataFrame) -> DataFrame:
         return stored.groupBy("size", "shard", "block").cogroup(
             asked_rows.groupBy("q_size", "q_shard", "q_block")).applyInPandas(
-            run, "query_id long, vec_id long, score long")
+            run, "query long, row long, vec_id long, score long, query_id long")
 
     home = materialize(meet(asked.withColumns(
         {"q_shard": F.col("home"), "floor": F.lit(None).cast("double")})))
     # Only whole numbers that a double holds are propagated, so that no floor is rounded up.
-    kth = home.groupBy("query_id").agg(
+    kth = home.groupBy("query").agg(
         F.count("*").alias("found"), F.min("score").alias("least")).filter(
         (F.col("found") >= k) & (F.abs("least") < 2 ** 53)).select(
-        "query_id", F.col("least").cast("double").alias("floor"))
-    away = asked.join(kth, "query_id", "left").withColumn(
+        "query", F.col("least").cast("double").alias("floor"))
+    away = asked.join(kth, "query", "left").withColumn(
         "q_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).filter(
         F.col("q_shard") != F.col("home"))
     both = home.unionByName(meet(away))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row")
     return both.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score")

@@ -9,18 +9,17 @@ from foliant.llm import kdtree_topk as t
 
 
 def slow_top(rows, k=5, every=50):
-    clean = {}
+    clean = []
     for vec_id, x in rows:
         if vec_id is None or x is None or any(c is None or not math.isfinite(c) for c in x):
             continue
-        v = [math.floor(256 * float(np.float32(c))) for c in x]
-        clean[vec_id] = min(clean.get(vec_id, v), v)
+        clean.append((vec_id, [math.floor(256 * float(np.float32(c))) for c in x]))
     out = []
-    for q, a in clean.items():
+    for n, (q, a) in enumerate(clean):
         if q % every:
             continue
-        scored = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in clean.items()
-                        if i != q and len(b) == len(a))
+        scored = sorted((-sum(x * y for x, y in zip(a, b)), i) for m, (i, b) in enumerate(clean)
+                        if m != n and len(b) == len(a))
         out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:k])]
     return sorted(out)
 
@@ -35,7 +34,9 @@ def test_against_all_pairs(spark, monkeypatch, limits):
     rows += [(800, [1.0] * 6)] + [(801 + i, [0.5] * 6) for i in range(20)]
     rows += [(850, None), (851, [None] * 6), (900, [float("nan")] * 6), (901, [float("inf")] * 6),
              (None, [9.0] * 6), (950, [1.0, 2.0]), (951, [3.0, 1.0]), (1000, []), (1001, []),
-             (50, rows[50][1]), (51, [-9.0] + [0.0] * 5), (1050, [5.0] * 7), (-50, [1.5] * 6)]
+             (50, rows[50][1]), (51, [-9.0] + [0.0] * 5), (1050, [5.0] * 7), (-50, [1.5] * 6),
+             (100, [2.0, 1.0] * 3), (100, [0.5, 1.0] * 3), (1100, [-1e-20, 1e-30] * 3),
+             (1101, [-1e-20] * 6)]
     df = spark.createDataFrame([(*r, 1, 2) for r in rows],
                                "vec_id long, embedding array<float>, rank int, score int")
     out = t.top_k(df.repartition(4))
@@ -58,7 +59,8 @@ def test_boxes_are_tight_and_prune(monkeypatch):
     looked = []
     plain = t._products
     monkeypatch.setattr(t, "_products", lambda a, b: looked.append(len(b)) or plain(a, b))
-    list(t.search(np.arange(3000), vectors, np.array([0]), vectors[:1], [None]))
+    rows = np.arange(3000)
+    list(t.search(rows, rows, vectors, np.array([0]), vectors[:1], [None]))
     assert sum(looked[2:]) < 1500
 
 

@@ -35,13 +35,19 @@ def event_stream(spark, sf):
         "value", "props")
 
 
+def _folded(events, key, step, schema, idle_us=None):
+    """The fold of a whole table, whatever the order of its files."""
+    rows, ring = J.with_closing(events)
+    return J.run_to_end(ST.fold_stream(rows, key, step, schema, idle_us=idle_us), ring=ring)
+
+
 @query("stream_limiter")
 def stream_limiter(spark, sf):
     """Admission of each event under a limit of three per client and twelve hours."""
     ev = event_stream(spark, sf).select("user_id", "us", "seq")
     out = _schema(user_id=_LONG, us=_LONG, seq=_LONG, admitted=_BOOL)
-    return J.run_to_end(ST.fold_stream(
-        ev, "user_id", ST.sliding_limit(3, 12 * 3600 * ST.SECOND), out))
+    window = 12 * 3600 * ST.SECOND
+    return _folded(ev, "user_id", ST.sliding_limit(3, window), out, window)
 
 
 @query("stream_burst_guard")
@@ -52,7 +58,7 @@ def stream_burst_guard(spark, sf):
     guard = ST.burst_guard(cooldown_us=1800 * ST.SECOND, channel_limit=8,
                            channel_window_us=5400 * ST.SECOND,
                            penalty_window_us=7200 * ST.SECOND, block_us=7200 * ST.SECOND)
-    return J.run_to_end(ST.fold_stream(ev, "event_type", guard, out))
+    return _folded(ev, "event_type", guard, out, 14_400 * ST.SECOND)
 
 
 @query("stream_strikes", f"""
@@ -62,8 +68,8 @@ SELECT user_id, us, event_id AS seq, count(*) OVER (PARTITION BY user_id ORDER B
 def stream_strikes(spark, sf):
     ev = event_stream(spark, sf).filter("event_type = 'error'").select("user_id", "us", "seq")
     out = _schema(user_id=_LONG, us=_LONG, seq=_LONG, level=_LONG)
-    return J.run_to_end(ST.fold_stream(
-        ev, "user_id", ST.strike_level(86_400 * ST.SECOND), out))
+    window = 86_400 * ST.SECOND
+    return _folded(ev, "user_id", ST.strike_level(window), out, window)
 
 
 @query("stream_sessions", f"""
@@ -78,15 +84,16 @@ def stream_sessions(spark, sf):
     ev = event_stream(spark, sf).select("user_id", "us", "seq")
     out = _schema(user_id=_LONG, us=_LONG, seq=_LONG, session_start=_LONG, turn=_LONG,
                   remembered=_LONG)
-    return J.run_to_end(ST.fold_stream(
-        ev, "user_id", ST.session_memory(12 * 3600 * ST.SECOND), out))
+    gap = 12 * 3600 * ST.SECOND
+    return _folded(ev, "user_id", ST.session_memory(gap), out, gap)
 
 
 @query("stream_activity", f"""
 WITH {S.EV} SELECT user_id, count(*) AS msg_count, min(us) AS first_seen, max(us) AS last_seen
 FROM ev GROUP BY user_id""")
 def stream_activity(spark, sf):
-    return J.run_snapshots(event_stream(spark, sf), J.merge_activity)
+    return J.run_snapshots(J.once_each(event_stream(spark, sf), ["seq"], ST.REPLAY),
+                           J.merge_activity)
 
 
 @query("stream_feedback", """
@@ -100,7 +107,8 @@ def stream_feedback(spark, sf):
     feedback = event_stream(spark, sf).select(
         "user_id", F.get_json_object("props", "$.k").cast("long").alias("key"), "us",
         F.col("seq").alias("event_id"), verdict.alias("verdict"))
-    return J.run_snapshots(feedback, J.merge_feedback(["user_id", "key"]))
+    return J.run_snapshots(J.once_each(feedback, ["event_id"], ST.REPLAY),
+                           J.merge_feedback(["user_id", "key"]))
 
 
 def turn_stream(spark, sf):
@@ -122,8 +130,7 @@ def stream_hostile(spark, sf):
         "conv_id", "us", "seq", C.is_probe(m).alias("probe"), C.is_insult(m).alias("insult"),
         C.is_sincere_apology(m).alias("sincere"))
     out = _schema(conv_id=_LONG, seq=_LONG, insults=_LONG, hostile=_BOOL)
-    rows = ST.fold_stream(turns, "conv_id", ST.hostile_session(), out)
-    return J.run_to_end(rows)
+    return _folded(turns, "conv_id", ST.hostile_session(), out)
 
 
 @query("stream_referent", """
@@ -136,8 +143,7 @@ def stream_referent(spark, sf):
         "text", r"(?:^|[^A-Za-zÀ-ÿ])([A-ZÀ-Ý][a-zà-ÿ]{5,})", 1), F.lit(""))
     turns = turn_stream(spark, sf).select("conv_id", "us", "seq", named.alias("named"))
     out = _schema(conv_id=_LONG, seq=_LONG, referent=_STR)
-    return J.run_to_end(ST.fold_stream(
-        turns, "conv_id", ST.last_value("named", "referent"), out))
+    return _folded(turns, "conv_id", ST.last_value("named", "referent"), out)
 
 
 @query("stream_new_files", f"""

@@ -1,8 +1,11 @@
 """Keyed folds over event streams: limiters, guards, strikes, sessions, referents.
 
 Each rule is a plain step ``(state, row) → (state, output)`` so that a batch replay and the
-stream run the same code.  State lives in the state store, and no row is dropped for being late.  A key's rows of one micro-batch are folded together, so the trigger's file or
-offset limit bounds what a hot key can bring into one task.
+stream run the same code.  Rows wait in the state store until the watermark has passed their event
+time and are then folded in event order, so the result does not depend on the order in which files
+land, as long as no row is later than the watermark's delay.  Rows that are later are dropped and
+counted (``jobs.late_rows``).  A key's state is cleared once it has been idle for as long as its
+rule remembers anything.
 """
 
 from __future__ import annotations
@@ -14,48 +17,87 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 SECOND = 1_000_000
+ORIGIN = 86_400 * SECOND  # added to event times, as a watermark starts at zero
+# A delay that covers any order of a finished table's files; a deployment states its own.
+REPLAY = "36500 days"
 Step = Callable[[dict, dict], tuple[dict, dict | None]]
 
 
 class Fold(StatefulProcessor):
-    """Runs a step over the rows of each key in event order."""
+    """Runs a step over the rows of each key in event order, once the watermark has passed them."""
 
-    def __init__(self, step: Step, columns: list[str]):
-        self.step, self.columns = step, columns
+    def __init__(self, step: Step, columns: list[str], idle_us: int | None):
+        self.step, self.columns, self.idle_us = step, columns, idle_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        schema = StructType([StructField("body", StringType())])
-        self.state = handle.getValueState("fold", schema)
+        self.handle = handle
+        body = StructField("body", StringType())
+        self.state = handle.getValueState("fold", StructType([StructField("us", LongType()), body]))
+        self.waiting = handle.getListState("waiting", StructType([body]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        state = json.loads(self.state.get()[0]) if self.state.exists() else {}
-        batch = pd.concat(list(rows)).sort_values(["us", "seq"], kind="stable")
-        out = []
-        for row in batch.to_dict("records"):
+        batch = pd.concat(list(rows))
+        batch = batch[~batch["closing"]].drop(columns=["at", "closing"])
+        if len(batch):
+            self.waiting.appendList([(json.dumps(r),) for r in batch.to_dict("records")])
+            self._wake(int(batch["us"].min()))
+        return iter(())
+
+    def _wake(self, us: int) -> None:
+        self.handle.registerTimer((us + ORIGIN) // 1000 + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        passed = timerValues.getCurrentWatermarkInMs() * 1000 - ORIGIN
+        rows = [json.loads(r[0]) for r in self.waiting.get()] if self.waiting.exists() else []
+        due = sorted((r for r in rows if r["us"] <= passed), key=lambda r: (r["us"], r["seq"]))
+        last, body = self.state.get() if self.state.exists() else (None, "{}")
+        state, out = json.loads(body), []
+        for row in due:
             state, made = self.step(state, row)
+            last = row["us"]
             if made is not None:
                 out.append(made)
-        self.state.update((json.dumps(state),))
-        yield pd.DataFrame(out, columns=self.columns)
+        later = [r for r in rows if r["us"] > passed]
+        if due:
+            self.waiting.clear()
+            if later:
+                self.waiting.put([(json.dumps(r),) for r in later])
+        if later:
+            self._wake(min(r["us"] for r in later))
+        if self.idle_us is not None and last is not None and not later:
+            if last + self.idle_us < passed:
+                self.state.clear()
+                last = None
+            else:
+                self._wake(last + self.idle_us)
+        if due and last is not None:
+            self.state.update((last, json.dumps(state)))
+        if out:
+            yield pd.DataFrame(out, columns=self.columns)
 
     def close(self) -> None:
         pass
 
 
-def fold_stream(events: DataFrame, key: str, step: Step, schema: StructType) -> DataFrame:
-    """Apply a step per key to a stream with columns us (event time), seq (tie-break).
+def fold_stream(events: DataFrame, key: str, step: Step, schema: StructType,
+                delay: str = REPLAY, idle_us: int | None = None) -> DataFrame:
+    """Apply a step per key to a stream with columns us (event time, not null), seq (tie-break).
 
-    Rows of a key are taken in event order within a micro-batch, and micro-batches as they
-    land.  No row is ever too late, and a key's state (one small record) is kept: what a step
-    remembers is trimmed by the step itself.
+    Rows are taken in event order if none is later than ``delay``.  ``idle_us`` is how long a
+    step's state can still matter after its last row; None keeps it.  A row whose optional column
+    closing is true only moves the watermark (see ``jobs.run_to_end``).
     """
-    return events.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=Fold(step, schema.names), outputStructType=schema,
-        outputMode="Append", timeMode="None")
+    if "closing" not in events.columns:
+        events = events.withColumn("closing", F.lit(False))
+    timed = events.withColumn("at", F.timestamp_micros(F.col("us") + ORIGIN))
+    return timed.withWatermark("at", delay).groupBy(key).transformWithStateInPandas(
+        statefulProcessor=Fold(step, schema.names, idle_us), outputStructType=schema,
+        outputMode="Append", timeMode="EventTime")
 
 
 # --- steps ---

@@ -1,5 +1,7 @@
 """Steps of the streaming folds, replayed with chosen clocks."""
 
+import time
+
 import pytest
 from pyspark.sql.types import StructType
 
@@ -55,29 +57,81 @@ def test_last_value():
         None, "Ana", "Ana", "Bob"]
 
 
-def test_stream_equals_replay(spark, tmp_path):
-    """The limiter over two files of one stream admits what a replay of all rows admits."""
-    import random
+STEPS = {
+    "limit": (ST.sliding_limit(2, 20 * S), "admitted boolean", 20 * S),
+    "strikes": (ST.strike_level(30 * S), "level long", 30 * S),
+    "sessions": (ST.session_memory(15 * S), "session_start long, turn long, remembered long",
+                 15 * S),
+    "hostile": (ST.hostile_session(), "insults long, hostile boolean", None),
+    "referent": (ST.last_value("named", "referent"), "referent string", None),
+}
 
-    from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
-    from foliant.streaming.jobs import run_to_end
+@pytest.mark.parametrize("name", STEPS)
+def test_shuffled_files_equal_replay(spark, tmp_path, name):
+    """Files that land in any order, one a trigger, give what a replay in event order gives."""
+    import random
 
+    step, columns, idle = STEPS[name]
     rng = random.Random(2)
-    rows = [(rng.randint(1, 3), (10_000 + t) * S, t) for t in range(200)]
-    schema = "user_id long, us long, seq long"
-    src = str(tmp_path / "in")
-    for part in (rows[:100], rows[100:]):  # landed in time order
-        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
-    out = StructType([StructField(n, LongType()) for n in ("user_id", "us", "seq")]
-                     + [StructField("admitted", BooleanType())])
-    got = run_to_end(ST.fold_stream(stream, "user_id", ST.sliding_limit(2, 20 * S), out))
-    want = set()
+    schema = ("user_id long, us long, seq long, insult boolean, probe boolean, sincere boolean, "
+              "named string")
+    rows = [(rng.randint(1, 3), (10_000 + 4 * rng.randint(0, 100)) * S, t, rng.random() < .3,
+             rng.random() < .1, rng.random() < .2, rng.choice([None, "Ana", "Bob"]))
+            for t in range(120)]
+    files = 5
+    for part in range(files):
+        spark.createDataFrame(rows[part::files], schema).coalesce(1).write.mode(
+            "append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(
+        f"{tmp_path}/in")
+    out = StructType.fromDDL(f"user_id long, us long, seq long, {columns}")
+    closed, ring = J.with_closing(stream)
+    late = []
+    got = J.run_to_end(ST.fold_stream(closed, "user_id", step, out, "2 hours", idle), ring=ring,
+                       late=late)
+    names = schema.replace(" long", "").replace(" boolean", "").replace(" string", "").split(", ")
+    want = []
     for user in (1, 2, 3):
-        mine = [{"user_id": u, "us": t, "seq": q} for u, t, q in rows if u == user]
-        want |= {(r["seq"], r["admitted"]) for r in ST.replay(mine, ST.sliding_limit(2, 20 * S))}
-    assert {(r.seq, r.admitted) for r in got.collect()} == want
+        mine = sorted((dict(zip(names, r)) for r in rows if r[0] == user),
+                      key=lambda r: (r["us"], r["seq"]))
+        want += [tuple(r.get(c) for c in out.names) for r in ST.replay(mine, step)]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    assert sum(late) == 0
+
+
+def test_rows_beyond_the_delay_are_counted(spark, tmp_path):
+    schema = "user_id long, us long, seq long"
+    for n, seconds in enumerate((1000, 2000, 5, 3000)):  # the third is far too late
+        spark.createDataFrame([(1, seconds * S, n)], schema).coalesce(1).write.mode(
+            "append").parquet(f"{tmp_path}/in")
+        time.sleep(1.1)  # files are taken in order of their time
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(
+        f"{tmp_path}/in")
+    closed, ring = J.with_closing(stream)
+    late, out = [], StructType.fromDDL("user_id long, us long, seq long, level long")
+    got = J.run_to_end(ST.fold_stream(closed, "user_id", ST.strike_level(5000 * S), out,
+                                      "10 seconds"), ring=ring, late=late)
+    assert sorted((r.seq, r.level) for r in got.collect()) == [(0, 0), (1, 1), (3, 2)]
+    assert sum(late) == 1
+
+
+def test_idle_state_is_cleared_without_a_trace():
+    """A state as old as the rule remembers is as good as none."""
+    for step, _, idle in list(STEPS.values())[:3]:
+        rows = stamps(0, 1, 2, 3, 3 + idle / S + 0.001, user_id=1)
+        assert ST.replay(rows, step)[-1] == ST.replay(rows[-1:], step)[0]
+
+
+def test_redelivered_files_change_nothing(spark, tmp_path):
+    rows = spark.createDataFrame([(u, (100 + i) * S, 10 * u + i) for u in (1, 2) for i in range(5)],
+                                 "user_id long, us long, seq long")
+    for _ in range(2):
+        rows.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(
+        f"{tmp_path}/in")
+    got = J.run_snapshots(J.once_each(stream, ["seq"], "1 hour"), J.merge_activity)
+    assert {(r.user_id, r.msg_count) for r in got.collect()} == {(1, 5), (2, 5)}
 
 
 @pytest.mark.parametrize("name", [
@@ -102,7 +156,8 @@ def test_no_row_is_too_late(spark, tmp_path):
             1).write.mode("append").parquet(f"{tmp_path}/conversations.parquet")
     stream = J.table_stream(spark, str(tmp_path), "conversations", 1).selectExpr(
         "conv_id", "turn as us", "turn as seq", "text as named")
-    out = ST.fold_stream(stream, "conv_id", ST.last_value("named", "referent"), StructType.fromDDL(
+    closed, ring = J.with_closing(stream)
+    out = ST.fold_stream(closed, "conv_id", ST.last_value("named", "referent"), StructType.fromDDL(
         "conv_id long, seq long, referent string"))
-    rows = J.run_to_end(out).groupBy("conv_id").count().collect()
+    rows = J.run_to_end(out, ring=ring).groupBy("conv_id").count().collect()
     assert {r.conv_id: r["count"] for r in rows} == dict(enumerate(sizes))

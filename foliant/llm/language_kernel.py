@@ -1,8 +1,8 @@
 """Language identification with a string kernel, Nystroem landmarks and kernel ridge regression.
 
 Two texts are as alike as the n-grams (1 to 4 characters) that occur in both, each counted once:
-k(x, y) = |G(x) & G(y)| / sqrt(|G(x)| |G(y)|), the blended-spectrum presence kernel over folded
-characters.  A bounded sample of labelled texts gives landmarks L and a training set; with
+k(x, y) = |G(x) & G(y)| / sqrt(|G(x)| |G(y)|), the blended-spectrum presence kernel over lower-case
+letters of all scripts.  A bounded sample of labelled texts gives landmarks L and a training set; with
 K_LL^-1/2 the Nystroem map of a text is k(x, L) K_LL^-1/2, and a ridge regression per language
 (one versus the rest) is fitted on it.  Since k(x, L) is the presence vector of x times the
 landmarks' presence vectors, a batch is scored as one matrix product of its presence vectors
@@ -11,6 +11,8 @@ with a precomputed matrix of n-grams by languages.
 
 from __future__ import annotations
 
+import functools
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,52 +28,48 @@ ORDERS = (1, 2, 3, 4)
 PER_LANGUAGE = 150  # texts that train, for each language, the first by a hash of their id
 LANDMARKS = 60  # of them, for each language
 RIDGE = 1e-2
-ALPHABET = 62  # commonest folded letters with a code of their own; other letters share one
 UNKNOWN = "und"
 BATCH = 64  # texts scored together
-SPACE, OTHER, FIRST = 0, 1, 2  # codes: white space and signs, rare letters, letters
-BASE = 64
+SLICE = 1 << 18  # characters whose n-grams are held at once
+SPACE = 0  # code of white space and signs; a letter's code is its code point
+FACTOR = np.uint64(0x9E3779B97F4A7C15)  # odd, for the hash of an n-gram
 
 
-@dataclass(frozen=True)
-class Folding:
-    """Codes of characters: 0 for all but letters, 1 for rare letters, 2.. for the alphabet."""
-
-    letters: str
-
-    def table(self) -> np.ndarray:
-        """Code by code point of the basic plane; beyond it letters are rare ones."""
-        codes = np.zeros(0x10001, np.uint8)
-        codes[[c for c in range(0x10000) if chr(c).isalpha()]] = OTHER
-        codes[0x10000] = OTHER
-        for i, c in enumerate(self.letters):
-            codes[ord(c)] = FIRST + i
-        return codes
+@functools.lru_cache(1)
+def letter_codes() -> np.ndarray:
+    """Code by code point: letters of all scripts have their own, all else is a space."""
+    points = np.arange(sys.maxunicode + 1, dtype=np.uint32)
+    return np.where([chr(c).isalpha() for c in range(sys.maxunicode + 1)], points, SPACE).astype(
+        np.uint32)
 
 
-def grams(text: str, table: np.ndarray) -> np.ndarray:
-    """Sorted distinct n-gram codes of a text; runs of non-letters are one space.
+def grams(text: str) -> np.ndarray:
+    """Sorted distinct 64-bit n-gram hashes of a text; runs of non-letters are one space.
 
-    An n-gram's code is its digits in base 64 with a leading digit that tells n.
+    The hash is a polynomial in the codes plus one, so n-grams of all scripts and orders share one
+    range.  A long text is taken in slices that overlap by the longest order less one.
     """
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    codes = table[np.minimum(points, 0x10000)].astype(np.int64)
-    codes = np.concatenate([[SPACE], codes, [SPACE]])
+    codes = np.concatenate([[SPACE], letter_codes()[points], [SPACE]]).astype(np.uint32)
     keep = np.ones(len(codes), bool)
     keep[1:] = (codes[1:] != SPACE) | (codes[:-1] != SPACE)
     codes = codes[keep]
-    found, value = [], np.zeros(len(codes) + 1, np.int64)
-    for n in range(1, max(ORDERS) + 1):
-        if len(codes) < n:
-            break
-        value = value[:len(codes) - n + 1] * BASE + codes[n - 1:]
-        if n in ORDERS:
-            found.append(value + (n << 24))
-    return _distinct(np.concatenate(found))
+    found = np.zeros(0, np.int64)
+    for at in range(0, len(codes), SLICE):
+        part = codes[at:at + SLICE + max(ORDERS) - 1].astype(np.uint64) + np.uint64(1)
+        values, value = [], np.zeros(len(part) + 1, np.uint64)
+        for n in range(1, max(ORDERS) + 1):
+            if len(part) < n:
+                break
+            value = value[:len(part) - n + 1] * FACTOR + part[n - 1:]
+            if n in ORDERS:
+                values.append(value)
+        found = _distinct(np.concatenate([found, *(v.view(np.int64) for v in values)]))
+    return found
 
 
 def _distinct(values: np.ndarray) -> np.ndarray:
-    values = np.sort(values.astype(np.int32))
+    values = np.sort(values)
     first = np.ones(len(values), bool)
     first[1:] = values[1:] != values[:-1]
     return values[first]
@@ -80,7 +78,6 @@ def _distinct(values: np.ndarray) -> np.ndarray:
 @dataclass(frozen=True)
 class LanguageModel:
     languages: tuple[str, ...]
-    folding: Folding
     vocabulary: np.ndarray  # sorted n-gram codes of the landmarks
     matrix: np.ndarray  # n-grams by languages
 
@@ -108,7 +105,7 @@ def _kernel(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return (presence(left) @ presence(right).T) / np.outer(size(left), size(right))
 
 
-def fit_sets(sets: list[np.ndarray], names: list[str], folding: Folding,
+def fit_sets(sets: list[np.ndarray], names: list[str],
              landmarks: int = LANDMARKS, ridge: float = RIDGE) -> LanguageModel:
     """Landmarks, their whitening and the ridge regressions from training n-gram sets."""
     languages = tuple(sorted(set(names)))
@@ -119,7 +116,7 @@ def fit_sets(sets: list[np.ndarray], names: list[str], folding: Folding,
         if seen[name] <= landmarks:
             chosen.append(i)
     if not languages:
-        return LanguageModel((), folding, np.zeros(1, np.int32), np.zeros((1, 0), np.float32))
+        return LanguageModel((), np.zeros(1, np.int64), np.zeros((1, 0), np.float32))
     marks = [sets[i] for i in chosen]
     among = _kernel(marks, marks).astype(np.float64)
     values, vectors = np.linalg.eigh(among)
@@ -136,26 +133,15 @@ def fit_sets(sets: list[np.ndarray], names: list[str], folding: Folding,
     matrix = np.zeros((len(vocabulary), len(languages)))
     for found, row in zip(marks, by_mark):
         matrix[np.searchsorted(vocabulary, found)] += row
-    return LanguageModel(languages, folding, vocabulary, matrix.astype(np.float32))
+    return LanguageModel(languages, vocabulary, matrix.astype(np.float32))
 
 
-def _letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [sorted(c for c in set((t.as_py() or "").lower())
-                        if c.isalpha() and ord(c) < 0x10000) for t in batch.column(0)]
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string()))], ["letters"])
-
-
-def _sets(folding: Folding):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = folding.table()
-        for batch in batches:
-            found = [grams(t.as_py(), table) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))],
-                ["id", "name", "grams"])
-
-    return run
+        found = [grams(t.as_py()) for t in batch.column(2)]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))],
+            ["id", "name", "grams"])
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:
@@ -176,13 +162,9 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:
     picked = materialize(picked.groupBy("id").agg(
         F.min("name").alias("name"), F.min("text").alias("text")).filter(
         F.col("text").rlike(r"\p{L}")))
-    common = picked.select("text").mapInArrow(_letters, "letters array<string>").select(
-        F.explode("letters").alias("letter")).groupBy("letter").count().orderBy(
-        F.desc("count"), "letter").limit(ALPHABET).collect()
-    folding = Folding("".join(sorted(r.letter for r in common)))
     rows = sorted(picked.select("id", "name", "text").mapInArrow(
-        _sets(folding), "id long, name string, grams array<int>").collect())
-    return fit_sets([np.array(r.grams, np.int32) for r in rows], [r.name for r in rows], folding)
+        _sets, "id long, name string, grams array<long>").collect())
+    return fit_sets([np.array(r.grams, np.int64) for r in rows], [r.name for r in rows])
 
 
 def identify(docs: DataFrame, model: LanguageModel | None = None) -> DataFrame:
@@ -196,12 +178,11 @@ def identify(docs: DataFrame, model: LanguageModel | None = None) -> DataFrame:
     model = model or fit(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = model.folding.table()
         for batch in batches:
             names, values = [], []
             for at in range(0, batch.num_rows, BATCH):
                 texts = [t.as_py() or "" for t in batch.column(1).slice(at, BATCH)]
-                sets = [grams(t, table) for t in texts]
+                sets = [grams(t) for t in texts]
                 lettered = [any(map(str.isalpha, t)) for t in texts]
                 if not model.languages:
                     names += [UNKNOWN] * len(texts)

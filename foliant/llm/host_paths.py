@@ -2,9 +2,9 @@
 
 A page is read as a list of text blocks, each with the path of containers above it.  Paths are
 generalised: tag and class names, digits levelled, positions dropped.  On every page the
-containers are scored by the text that stands in them, links discounted, and the tightest one
-that holds most of the page's text, with the paragraphs and headings beside it, is the page's
-candidate.  Spark counts the candidates of each host and the path with the most votes wins.  The
+containers are scored by the text that stands in them, links discounted.  The tightest one that
+holds most of the page's text, widened to the article or main element around it, else to the
+parents in which more text stands beside it, is the page's candidate.  Spark counts the candidates of each host and the path with the most votes wins.  The
 text of a page is what stands under its host's winning path if that is enough of the page's own
 text, else what stands under its own candidate; blocks outside the winning path that other pages
 of the host repeat are not a page's own.  Pages without a host are read by their own candidates.
@@ -12,6 +12,7 @@ of the host repeat are not a page's own.  Pages without a host are read by their
 
 from __future__ import annotations
 
+import functools
 import html as entities
 import re
 from collections.abc import Iterator
@@ -25,6 +26,7 @@ from foliant.operators.skew import lookup_join
 from foliant.session import materialize
 
 MOST = 0.6  # share of the page's text that a candidate holds
+PROSE = 80  # characters from which a block is text without the end of a sentence
 ENOUGH = 0.4  # share of the page's own text that the host's winning path holds
 
 _TOKEN = re.compile(
@@ -33,7 +35,9 @@ _TOKEN = re.compile(
     r"|(?P<text>[^<]+|<)", re.DOTALL)
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.IGNORECASE)
 _DIGITS = re.compile(r"\d+")
-_PARTS = re.compile(r"[a-z]+|#")
+_PARTS = re.compile(r"[a-z]+")
+_HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_SENTENCE = re.compile(r"[.!?…。！？][\"'»”’)\]]*\Z")
 
 # Elements whose content is not text, elements without content, and elements that break lines.
 RAW = frozenset("script style textarea title noscript template iframe noembed xmp".split())
@@ -47,14 +51,24 @@ BLOCK = frozenset(
 ASIDE = frozenset(
     "nav header footer aside form script style head button select menu dialog svg canvas object "
     "audio video textarea title noscript template iframe noembed xmp search".split())
-# A container is none either if its class, id or role has one of these words.
+# A class, id or role says that a container is none either, if it is one of these words or a
+# compound with such a word last ("site-footer") or of such words and places ("ad-slot").
 WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment "
-    "comments consent contentinfo cookie cookies copyright disqus footer footnav form gdpr header "
+    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs "
+    "consent contentinfo cookie cookies copyright footer footnav form gdpr header "
     "legal login masthead menu menubar modal nav navbar navigation newsletter notice notices "
     "outbrain overlay pager pagination paywall popup promo promoted promotion recommended related "
-    "replies reply respond search share sharing sidebar signup skip social sponsor sponsored "
+    "search share sharing sidebar signup skip social sponsor sponsored "
     "subscribe subscription taboola toolbar topbar widget widgets".split())
+READERS = frozenset("comment comments disqus replies reply respond".split())
+PLACES = frozenset(
+    "area bar block body bottom box buttons card container content icons inner item items left "
+    "link links list main outer page panel posts right row section side site slot text top unit "
+    "user users wrap wrapper zone".split())
+# First words of names that tell a state or a topic and not what a container is.
+STATES = frozenset("has no with without is not hide show category cat tag topic format type status "
+                   "page post".split())
+NONE, WEAK, STRONG, CERTAIN = range(4)  # what the names of a container say against it
 # Elements that an opening tag of the set ends, if open, up to the nearest of the stops.
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -70,17 +84,60 @@ SCOPE = frozenset("article section div td th table body html main aside nav head
 # Elements of an article's text that need no container of their own.
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dd dt pre blockquote table tbody tr td th".split())
 
+# Names of grid columns: what stands beside such a container is another column.
+COLUMNS = frozenset("col column columns cell grid".split())
+
 Block = tuple[tuple[str, ...], str, int]  # containers above, text, characters in links
 
 
-def _step(tag: str, attrs: str) -> tuple[str, bool]:
-    """(generalised step of a path, whether the element is no part of an article)."""
-    found = {k.lower(): entities.unescape(v.strip("\"'")).lower()
-             for k, v in _NAMES.findall(attrs)}
-    words = set(_PARTS.findall(" ".join(found.values())))
-    classes = sorted({_DIGITS.sub("#", c) for c in found.get("class", "").split()})
-    aside = bool(words & WORDS) and tag not in ("html", "body", "main", "article")
-    return ".".join([tag, *classes]), aside or tag in ASIDE
+def _evidence(name: str) -> int:
+    """What one class, id or role says against a container."""
+    parts = _PARTS.findall(_HUMP.sub("-", name).lower())
+    known = [p in WORDS or p in READERS for p in parts]
+    if not any(known):
+        return NONE
+    whole = parts[0] not in STATES or len(parts) == 1
+    if whole and (known[-1] or all(k or p in PLACES for k, p in zip(known, parts))):
+        return CERTAIN if READERS & set(parts) else STRONG
+    return WEAK
+
+
+@functools.lru_cache(4096)
+def _step(tag: str, attrs: str) -> tuple[str, int]:
+    """(generalised step of a path, what the container's names say against it)."""
+    found = {k.lower(): entities.unescape(v.strip("\"'")) for k, v in _NAMES.findall(attrs)}
+    names = " ".join(found.values()).split()
+    classes = sorted({_DIGITS.sub("#", c) for c in found.get("class", "").lower().split()})
+    against = max(map(_evidence, names), default=NONE)
+    return ".".join([tag, *classes]), NONE if tag in (
+        "html", "body", "main", "article") else against
+
+
+def _shown(found: list[tuple[Block, tuple[int, ...]]], against: list[int]) -> list[Block]:
+    """Blocks without those in containers that their names and scores rule out.
+
+    A container that holds mostly links goes on any evidence, others on strong evidence.  One with
+    most of the text of a page without an article or main element stays, unless it is of readers,
+    if it holds three paragraphs.
+    """
+    if not against:
+        return [block for block, _ in found]
+    free, linked, paragraphs = [[0] * len(against) for _ in range(3)]
+    total, marked = 0, False
+    for (path, text, links), above in found:
+        total += len(text) - links
+        marked = marked or any(s.split(".")[0] in ("article", "main") for s in path)
+        for k in above:
+            free[k] += len(text) - links
+            linked[k] += links
+            paragraphs[k] += path[-1].split(".")[0] == "p"
+    gone = set()
+    for k, says in enumerate(against):
+        if linked[k] > free[k] or says == CERTAIN:
+            gone.add(k)
+        elif says == STRONG and (marked or free[k] < MOST * total or paragraphs[k] < 3):
+            gone.add(k)
+    return [block for block, above in found if not gone.intersection(above)]
 
 
 def blocks(html: str | None) -> list[Block]:
@@ -89,10 +146,12 @@ def blocks(html: str | None) -> list[Block]:
     Character references are decoded and white space inside a block is one space.  Tags that are
     missing, crossed or never closed are tolerated.
     """
-    out: list[Block] = []
+    out: list[tuple[Block, tuple[int, ...]]] = []
     text: list[str] = []
     linked = 0
-    stack: list[tuple[str, str, bool]] = []  # tag, step, aside here or above
+    against: list[int] = []  # of each container with evidence against it
+    # tag, step, aside here or above, containers with evidence here or above
+    stack: list[tuple[str, str, bool, tuple[int, ...]]] = []
     links = 0
 
     def flush() -> None:
@@ -101,7 +160,8 @@ def blocks(html: str | None) -> list[Block]:
             # A line break is white space; each piece was decoded on its own.
             joined = " ".join("".join(text).split())
             if joined:
-                out.append((tuple(s for _, s, _ in stack), joined, min(linked, len(joined))))
+                block = tuple(s for _, s, _, _ in stack), joined, min(linked, len(joined))
+                out.append((block, stack[-1][3] if stack else ()))
             text.clear()
             linked = 0
 
@@ -170,10 +230,14 @@ def blocks(html: str | None) -> list[Block]:
             if cut is not None:
                 close(cut)
         flush()
-        step, aside = _step(tag, token["attrs"] or "")
-        stack.append((tag, step, aside or bool(stack and stack[-1][2])))
+        step, says = _step(tag, token["attrs"] or "")
+        aside, above = (stack[-1][2], stack[-1][3]) if stack else (False, ())
+        if says:
+            above += (len(against),)
+            against.append(says)
+        stack.append((tag, step, aside or tag in ASIDE, above))
     flush()
-    return out
+    return _shown(out, against)
 
 
 def candidate(found: list[Block], most: float = MOST) -> tuple[str, ...]:
@@ -197,15 +261,22 @@ def candidate(found: list[Block], most: float = MOST) -> tuple[str, ...]:
     for path, w in held.items():
         if w >= most * total and len(path) > len(best) and path not in leaves:
             best = path
-    # Paragraphs and headings that stand beside it, not in containers of their own, belong to it.
+    for name in ("article", "main"):
+        for depth in range(len(best), 0, -1):
+            if best[depth - 1].split(".")[0] == name:
+                return best[:depth]
+    # What stands beside it belongs to it: paragraphs and headings without a container of their
+    # own, and below the body also containers with text.
     at = best
     for depth in range(len(best) - 1, -1, -1):
-        if at and at[-1].split(".")[0] in ("article", "main"):
-            break
-        if any(w and 2 * linked <= len(text) and path[:depth] == best[:depth]
-               and path[:len(at)] != at
-               and all(step.split(".")[0] in LEAVES for step in path[depth:])
-               for (path, text, linked), w in zip(found, weight)):
+        beside = [b for b, w in zip(found, weight)
+                  if w and b[0][:depth] == best[:depth] and b[0][:len(at)] != at]
+        closed = depth == 0 or best[depth - 1].split(".")[0] in ("body", "html")
+        column = bool(at) and not COLUMNS.isdisjoint(_PARTS.findall(at[-1]))
+        if any(2 * linked <= len(text) and (
+                all(step.split(".")[0] in LEAVES for step in path[depth:])
+                or not closed and not column and (len(text) >= PROSE or _SENTENCE.search(text)))
+               for path, text, linked in beside):
             at = best[:depth]
     return at
 
@@ -216,7 +287,8 @@ def read_text(found: list[Block], path: tuple[str, ...]) -> str:
 
 
 def own_text(found: list[Block], winner: tuple[str, ...] | None, repeated: set[int]) -> str:
-    """The page's text by the winning path, or by its own candidate without repeated blocks."""
+    """The page's text by the winning path, or by its own candidate, for which repeated blocks
+    do not count."""
     if winner is None:
         return read_text(found, candidate(found))
     inside = [b for b in found if b[0][:len(winner)] == winner]
@@ -224,7 +296,7 @@ def own_text(found: list[Block], winner: tuple[str, ...] | None, repeated: set[i
     held, total = _unlinked(inside), _unlinked(own)
     if inside and held >= ENOUGH * total:
         return read_text(found, winner)
-    return read_text(own, candidate(own)) or read_text(found, candidate(found))
+    return read_text(found, candidate(own or found))
 
 
 def _unlinked(found: list[Block]) -> int:
@@ -244,7 +316,6 @@ def host_of(url: Column) -> Column:
     return F.regexp_replace(F.lower(rest), r"^www\.", "")
 
 
-
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         pages = [blocks(h.as_py()) for h in batch.column(1)]

@@ -158,3 +158,68 @@ def test_candidates_take_the_text_beside_them():
     assert h.candidate(found) == ("body", "div.page")
     page = page.replace("<ul>", "<section>").replace("</ul>", "</section>").replace("li>", "p>")
     assert h.candidate(h.blocks(page)) == ("body", "div.page")
+
+
+LAYOUTS = [
+    "<article><div class='lead'>{}</div><div class='text'>{}</div></article>",
+    "<div class='post'><div class='intro'>{}</div><div class='text'>{}</div></div>",
+    "<main><section>{}</section><div>{}</div></main>",
+    "<div class='post has-header'>{}{}</div>",
+    "<div class='legal-news'>{}{}</div>",
+    "<div class='entry social-science'>{}{}</div>",
+    "<div id='share-of-market'>{}{}</div>",
+    "<div class='post category-legal'>{}{}</div>",
+    "<div class='notice'>{}{}</div>",
+]
+FURNITURE = ("<div class='cookie-notice'><p>We use cookies.</p></div><div class='siteFooter'>All "
+             "rights reserved.</div><div id='ad-slot-3'><p>Buy now!</p></div><div class='user-comments'>"
+             "<p>A reader says something.</p><p>So does another one.</p><p>And a third.</p></div>"
+             "<div class='social-icons'>Share.</div><div class='top-links'><a href='/'>Home</a></div>")
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_whole_articles(spark, layout):
+    rng = np.random.default_rng(5)
+    rows, want = [], {}
+    for i in range(6):
+        lead, body = [_prose(rng, 30) + "."], [_prose(rng, 35) + "." for _ in range(2)]
+        page = layout.format(*("".join(f"<p>{x}</p>" for x in part) for part in (lead, body)))
+        rows.append((i, "https://whole.org/", f"<body><nav>menu</nav>{page}{FURNITURE}</body>"))
+        want[i] = "\n".join(lead + body)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in h.extract(df).collect()} == want
+
+
+def test_names_against_a_container():
+    for name, says in {"ad": h.STRONG, "site-footer": h.STRONG, "ad_slot_12": h.STRONG,
+                       "userComments": h.CERTAIN, "comment-list": h.CERTAIN, "has-header": h.WEAK,
+                       "legal-news": h.WEAK, "social-science": h.WEAK, "share-of-market": h.WEAK,
+                       "tag-legal": h.WEAK, "research": h.NONE, "": h.NONE, "w-1/2": h.NONE,
+                       "shadow": h.NONE, "content": h.NONE}.items():
+        assert h._evidence(name) == says, name
+    # Weak evidence counts against links only, and an advert beside a short article is none.
+    page = ("<body><div class='x'><p>Head of it</p><div class='legal-news'><a href=1>one link</a>"
+            "</div></div><div class='ad'>" + "Buy this now. " * 30 + "</div></body>")
+    found = h.blocks(page)
+    assert h.read_text(found, h.candidate(found)) == "Head of it"
+
+
+def test_grid_columns_stay_apart():
+    page = ("<body><div class='row'><div class='col-md-8'><p>" + "The article goes on. " * 20
+            + "</p></div><div class='col-md-4'><p>Another column with some text.</p></div></div>")
+    found = h.blocks(page)
+    assert h.candidate(found)[-1] == "div.col-md-#" and len(h.candidate(found)) == 3
+
+
+def test_passages_that_other_pages_repeat_stay(spark):
+    """A page outside the winning template keeps a passage that it shares with another page."""
+    rng = np.random.default_rng(9)
+    shared, rows, want = _prose(rng, 60), [], {}
+    for i in range(8):
+        own = _prose(rng, 70)
+        name = "content" if i < 6 else "other"
+        rows.append((i, "http://s.org/", f"<body><div class='{name}'><p>{own}</p><p>{shared}</p>"
+                     "</div></body>"))
+        want[i] = f"{own}\n{shared}"
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in h.extract(df).collect()} == want

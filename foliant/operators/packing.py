@@ -4,13 +4,17 @@ Rows join the open group until the next one would exceed the budget, then a grou
 the first row of a group is always taken.  The sum resets at points that depend on
 everything before, so no window frame expresses it.  Instead of folding a whole key in
 one task, the rows are range-partitioned by (key, order): each partition is folded on its
-own for every state it could be entered with, the partitions' transfer tables are chained
-(one small row per partition), and a second pass numbers the groups.
+own for every state it could be entered with, and a second pass numbers the groups.  What a
+partition does to the state is a summary, and summaries of neighbours compose to a summary of the
+same kind, so they are folded in a tree of a fixed fan: upwards to learn what whole runs of
+partitions do, downwards to tell each partition the state in which it continues the key before it.
+Only partitions of a single key carry a table, of as many rows as fit into one budget.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -22,6 +26,8 @@ from foliant.session import materialize
 _SUMMARY = ("pid int, first_key string, last_key string, single boolean, "
             "prefix array<double>, exit_size array<double>, started array<long>, total double, "
             "end_size double, end_started long")
+_STATE = "pid int, open_size double, groups long"
+FAN = 64  # summaries folded by one task
 
 
 def _run_table(sizes: np.ndarray, budget: float):
@@ -57,7 +63,6 @@ def _enter(prefix, exit_size, started, total, open_size, budget):
 def _summaries(budget: float):
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pid, first, last = None, None, None
-        lead: list[np.ndarray] = []
         tail: list[np.ndarray] = []
         for pdf in batches:
             if pdf.empty:
@@ -65,45 +70,112 @@ def _summaries(budget: float):
             keys, sizes = pdf["__key"].to_numpy(), pdf["__size"].to_numpy(dtype=float)
             if pid is None:
                 pid, first, last = int(pdf["__pid"].iloc[0]), keys[0], keys[0]
-            in_lead = keys == first
-            lead.append(sizes[in_lead])
             if keys[-1] != last:
                 last, tail = keys[-1], []
-            if last != first:
-                tail.append(sizes[keys == last])
+            tail.append(sizes[keys == last])
         if pid is None:
             return
-        table = _run_table(np.concatenate(lead), budget)
-        end = _run_table(np.concatenate(tail), budget) if last != first else table
+        table = _run_table(np.concatenate(tail), budget)
+        single = first == last
         yield pd.DataFrame([{
-            "pid": pid, "first_key": first, "last_key": last, "single": first == last,
-            "prefix": list(table[0]), "exit_size": list(table[1]), "started": list(table[2]),
-            "total": table[3], "end_size": float(end[1][0]), "end_started": int(end[2][0])}])
+            "pid": pid, "first_key": first, "last_key": last, "single": single,
+            **_table_columns(table if single else None),
+            "end_size": float(table[1][0]), "end_started": int(table[2][0])}])
 
     return fold
 
 
-def _chain(budget: float):
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, size, groups = None, 0.0, 0
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                continues = key is not None and r.first_key == key
-                if continues:
-                    out.append((r.pid, size, groups))
-                if r.single and continues:
-                    size, more = _enter(r.prefix, r.exit_size, r.started, r.total, size, budget)
-                    groups += more
-                else:
-                    size, groups = r.end_size, r.end_started
-                key = r.last_key
-            yield pd.DataFrame(out, columns=["pid", "open_size", "groups"])
+def _table_columns(table) -> dict:
+    if table is None:
+        return {"prefix": None, "exit_size": None, "started": None, "total": None}
+    return {"prefix": list(table[0]), "exit_size": list(table[1]), "started": list(table[2]),
+            "total": float(table[3])}
+
+
+def _then(first: tuple, second: tuple, budget: float) -> tuple:
+    """Table of two runs of one key, one after the other."""
+    prefix, exit_size, started, total = [list(x) if np.ndim(x) else float(x) for x in first]
+    left = [_enter(*second, size, budget) for size in exit_size]
+    exit_size = [size for size, _ in left]
+    started = [n + more for n, (_, more) in zip(started, left)]
+    if prefix[-1] <= budget:  # all of the first may pass into the open group
+        for p, size, n in zip(*second[:3]):
+            prefix.append(total + p)
+            exit_size.append(size)
+            started.append(n)
+            if prefix[-1] > budget:
+                break
+    return prefix, exit_size, started, total + float(second[3])
+
+
+def _table(row) -> tuple:
+    return row.prefix, row.exit_size, row.started, row.total
+
+
+def _walk(rows, budget: float, key=None, size: float = 0.0, groups: int = 0):
+    """Yields each summary with the state it continues (None if it does not); then the end."""
+    for r in rows:
+        continues = key is not None and r.first_key == key
+        yield r, (size, groups) if continues else None
+        if r.single and continues:
+            size, more = _enter(*_table(r), size, budget)
+            groups += more
+        else:
+            size, groups = r.end_size, r.end_started
+        key = r.last_key
+    yield None, (float(size), int(groups))
+
+
+def _composed(rows: Sequence, budget: float) -> dict:
+    """Summary of a run of summaries in order."""
+    *_, (_, end) = _walk(rows, budget)
+    key = rows[0].first_key
+    single = all(r.single and r.first_key == key for r in rows)
+    table = reduce(lambda a, b: _then(a, b, budget), map(_table, rows)) if single else None
+    return {"first_key": key, "last_key": rows[-1].last_key, "single": single,
+            **_table_columns(table), "end_size": end[0], "end_started": end[1]}
+
+
+def _up(budget: float):
+    def run(block: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = list(pdf.sort_values("pid").itertuples(index=False))
+        return pd.DataFrame([{"pid": int(block[0]), **_composed(rows, budget)}])
+
+    return run
+
+
+def _down(budget: float):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = list(pdf.sort_values("pid").itertuples(index=False))
+        open_size, groups = rows[0].open_size, rows[0].groups
+        start = () if pd.isna(groups) else (rows[0].first_key, open_size, int(groups))
+        told = [(r.pid, *state) for r, state in _walk(rows, budget, *start) if r and state]
+        return pd.DataFrame(told, columns=["pid", "open_size", "groups"])
+
+    return run
+
+
+def _carried(summary: DataFrame, budget: float) -> DataFrame:
+    """(pid, open_size, groups) of the partitions that continue the key before them."""
+    levels = [summary]
+    width = (summary.agg(F.max("pid")).first()[0] or 0) + 1
+    while width > FAN:
+        levels.append(materialize(levels[-1].groupBy(_block()).applyInPandas(
+            _up(budget), _SUMMARY)))
+        width = -(-width // FAN)
+    state = summary.sparkSession.createDataFrame([], _STATE)
+    for level in reversed(levels):
+        told = level.withColumn("block", _block()).join(
+            state.withColumnRenamed("pid", "block"), "block", "left")
+        state = told.groupBy("block").applyInPandas(_down(budget), _STATE)
+    return state
+
 
-    return walk
+def _block() -> Column:
+    return F.floor(F.col("pid") / FAN).cast("int").alias("block")
 
 
-def _number(budget: float, carried: dict[int, tuple[float, int]]):
+def _number(budget: float):
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, size, group = None, 0.0, -1
         started = False
@@ -112,9 +184,9 @@ def _number(budget: float, carried: dict[int, tuple[float, int]]):
                 continue
             if not started:
                 started = True
-                state = carried.get(int(pdf["__pid"].iloc[0]))
-                if state is not None:
-                    key, size, group = pdf["__key"].iloc[0], state[0], state[1] - 1
+                row = pdf.iloc[0]
+                if not pd.isna(row["__groups"]):
+                    key, size, group = row["__key"], row["__open"], int(row["__groups"]) - 1
             out = np.empty(len(pdf), dtype=np.int64)
             for i, (k, s) in enumerate(zip(pdf["__key"].tolist(), pdf["__size"].tolist())):
                 if k != key:
@@ -124,7 +196,7 @@ def _number(budget: float, carried: dict[int, tuple[float, int]]):
                 else:
                     size += s
                 out[i] = group
-            pdf = pdf.drop(columns=["__key", "__size", "__pid"])
+            pdf = pdf.drop(columns=["__key", "__size", "__pid", "__open", "__groups"])
             pdf["group_no"] = out
             yield pdf
 
@@ -143,11 +215,10 @@ def pack(df: DataFrame, keys: Sequence[str], order: Sequence[str], size: Column,
     ranged = narrow.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
     # Both passes must see the same partitions, so their bounds are fixed on disk.
     fixed = materialize(ranged.withColumn("__pid", F.spark_partition_id()))
-    summary = fixed.select("__key", "__size", "__pid").mapInPandas(_summaries(budget), _SUMMARY)
-    chained = summary.repartition(1).sortWithinPartitions("pid").mapInPandas(
-        _chain(budget), "pid int, open_size double, groups long")
-    # At most one row per partition: the state in which it continues the key before it.
-    carried = {r.pid: (r.open_size, r.groups) for r in chained.collect()}
+    summary = materialize(fixed.select("__key", "__size", "__pid").mapInPandas(
+        _summaries(budget), _SUMMARY))
+    # At most one row of three numbers per partition, so it can be sent to all of them.
+    carried = F.broadcast(_carried(summary, budget).toDF("__pid", "__open", "__groups"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}"
                        for f in fixed.schema.fields if not f.name.startswith("__"))
-    return fixed.mapInPandas(_number(budget, carried), f"{schema}, group_no long")
+    return fixed.join(carried, "__pid", "left").mapInPandas(_number(budget), f"{schema}, group_no long")

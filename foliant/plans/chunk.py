@@ -205,12 +205,15 @@ def vocabulary(spark, sf):
     return vocabulary_table(spark, sf)
 
 
-@query("export_single", f"""
-WITH {S.PAGES_MD}
-SELECT bucket_id, page_id, '### ' || page_title || '  _(category: ' || bucket_id || ')_' || chr(10) ||
+_BLOCK = f"""'### ' || page_title || '  _(category: ' || bucket_id || ')_' || chr(10) ||
   '_canon_status: ' || canon_status || '_' || chr(10) || chr(10) ||
   CASE WHEN {strip_sql('content_markdown')} <> '' THEN {strip_sql('content_markdown')} || chr(10)
-       ELSE '' END || chr(10) || '---' || chr(10) AS block
+       ELSE '' END || chr(10) || '---' || chr(10)"""
+
+
+@query("export_single", f"""
+WITH {S.PAGES_MD}
+SELECT bucket_id, page_id, {_BLOCK} AS block
 FROM pages_md WHERE lang <> 'de'""")
 def export_single(spark, sf):
     """Page blocks of the merged document, in bucket and title order."""
@@ -219,12 +222,38 @@ def export_single(spark, sf):
         "bucket_id", "page_id", "block")
 
 
-@query("export_parts")
+# Parts by plain recursion: a page joins the open part unless that would exceed the budget.
+_PARTS = f"""
+WITH RECURSIVE {S.PAGES_MD}, blocks AS (
+  SELECT bucket_id, page_id, {strip_sql(_BLOCK)} AS block FROM pages_md),
+counted AS MATERIALIZED (
+  SELECT bucket_id, page_id, len(regexp_split_to_array(block, '\\s+'))::BIGINT AS words,
+    row_number() OVER (PARTITION BY bucket_id ORDER BY page_id) AS n FROM blocks),
+parts AS (
+  SELECT bucket_id, page_id, words, n, 0::BIGINT AS group_no, words AS filled
+  FROM counted WHERE n = 1
+  UNION ALL SELECT c.bucket_id, c.page_id, c.words, c.n,
+    CASE WHEN filled + c.words > 5000 THEN group_no + 1 ELSE group_no END,
+    CASE WHEN filled + c.words > 5000 THEN c.words ELSE filled + c.words END
+  FROM parts p JOIN counted c ON c.bucket_id = p.bucket_id AND c.n = p.n + 1)"""
+
+
+@query("export_parts", f"{_PARTS} SELECT bucket_id, page_id, words, group_no FROM parts")
 def export_parts(spark, sf):
     return export.export_parts(staging.pages_md(spark, sf), 5000)
 
 
-@query("export_manifest")
+@query("export_manifest", f"""{_PARTS}, sized AS (
+  SELECT bucket_id, group_no, count(*) AS pages, sum(words)::BIGINT AS words,
+    count(*) OVER (PARTITION BY bucket_id) AS many,
+    replace(replace(bucket_id, ' ', '_'), '/', '-') AS slug
+  FROM parts GROUP BY bucket_id, group_no)
+SELECT bucket_id, group_no, pages, words,
+  slug || CASE WHEN many > 1 THEN '_part' || (group_no + 1) ELSE '' END || '.md' AS file_name,
+  bucket_id || CASE WHEN many > 1 THEN ' (part ' || (group_no + 1) || '/' || many || ')' ELSE '' END
+    AS label,
+  CASE WHEN words > 6000 THEN 'OVERSIZE' WHEN words > 5000 THEN 'LARGE' ELSE '' END AS flag
+FROM sized""")
 def export_manifest(spark, sf):
     parts = export.export_parts(staging.pages_md(spark, sf), 5000)
     return export.part_manifest(parts, 5000, 6000)

@@ -2,11 +2,12 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from foliant.operators import dialogue, members, ordered
+from foliant.operators import dialogue, members, ordered, packing
 from foliant.operators.packing import pack
 
 
@@ -69,14 +70,7 @@ def test_sessions_continue_at_the_exact_gap(spark):
     assert [(r.session_start, r.messages) for r in got] == [(0, 3), (31, 2)]
 
 
-@pytest.mark.parametrize("budget", [1, 10, 100, 5000])
-def test_pack_equals_a_plain_loop(spark, budget):
-    rng = random.Random(budget)
-    data = [(0, i, rng.choice([0, 1, 3, 7, 20, 150])) for i in range(2500)]
-    data += [(k, i, rng.randint(0, 40)) for k in range(1, 6) for i in range(rng.randint(1, 60))]
-    rng.shuffle(data)
-    got = {(r.k, r.i): r.group_no for r in pack(
-        spark.createDataFrame(data, "k int, i int, s int"), ["k"], ["i"], F.col("s"), budget).collect()}
+def _plain_groups(data, budget):
     want = {}
     for k in {d[0] for d in data}:
         size = group = None
@@ -88,7 +82,64 @@ def test_pack_equals_a_plain_loop(spark, budget):
             else:
                 size += s
             want[k, i] = group
-    assert got == want
+    return want
+
+
+@pytest.mark.parametrize("fan", [2, 64])
+@pytest.mark.parametrize("budget", [1, 10, 100, 5000])
+def test_pack_equals_a_plain_loop(spark, monkeypatch, budget, fan):
+    monkeypatch.setattr(packing, "FAN", fan)
+    rng = random.Random(budget)
+    data = [(0, i, rng.choice([0, 1, 3, 7, 20, 150])) for i in range(2500)]
+    data += [(k, i, rng.randint(0, 40)) for k in range(1, 6) for i in range(rng.randint(1, 60))]
+    rng.shuffle(data)
+    got = {(r.k, r.i): r.group_no for r in pack(
+        spark.createDataFrame(data, "k int, i int, s int"), ["k"], ["i"], F.col("s"), budget).collect()}
+    assert got == _plain_groups(data, budget)
+
+
+def test_pack_of_nothing(spark):
+    empty = spark.createDataFrame([], "k int, i int, s int")
+    assert pack(empty, ["k"], ["i"], F.col("s"), 10).collect() == []
+
+
+@pytest.mark.parametrize("budget", [0, 1, 10, 100, 5000])
+@pytest.mark.parametrize("hot", [True, False])
+def test_summaries_of_two_thousand_partitions_compose(budget, hot):
+    """Trees of several fans tell every partition the state that a plain loop has there."""
+    rng = random.Random(budget)
+    data = [(0 if hot else rng.choice([0, 0, 0, 1]) + i // 500, i, rng.choice([0, 0, 1, 3, 7, 150]))
+            for i in range(6000)]
+    data.sort()
+    cuts = sorted(rng.sample(range(1, len(data)), 1999))
+    parts = [data[a:b] for a, b in zip([0, *cuts], [*cuts, len(data)])]
+    want, plain = {}, _plain_groups(data, budget)
+    for pid, (before, part) in enumerate(zip(parts, parts[1:]), 1):
+        k, i, _ = before[-1]
+        if part[0][0] == k:
+            open_size = sum(s for k2, i2, s in data if k2 == k and i2 <= i and plain[k2, i2] == plain[k, i]) \
+                if pid % 50 == 0 else None
+            want[pid] = (open_size, plain[k, i] + 1)
+    frames = [pd.DataFrame({"__key": [str(k) for k, _, _ in p], "__size": [s for _, _, s in p],
+                            "__pid": pid}) for pid, p in enumerate(parts)]
+    summary = pd.concat([x for f in frames for x in packing._summaries(budget)(iter([f]))])
+    for fan in (3, 64):
+        levels = [summary]
+        while len(levels[-1]) > fan:
+            levels.append(pd.concat([packing._up(budget)((b,), g) for b, g in levels[-1].groupby(
+                levels[-1]["pid"] // fan)]))
+        state = pd.DataFrame({"pid": [], "open_size": [], "groups": []})
+        for level in reversed(levels):
+            told = level.assign(block=level["pid"] // fan).merge(
+                state.rename(columns={"pid": "block"}), "left", "block")
+            state = pd.concat([packing._down(budget)(g) for _, g in told.groupby("block")])
+        got = {int(r.pid): (r.open_size, r.groups) for r in state.itertuples()}
+        assert set(got) == set(want)
+        for pid, (open_size, groups) in want.items():
+            assert got[pid][1] == groups and open_size in (None, got[pid][0])
+        # A table never holds more rows than fit into one budget, and one more.
+        assert all(r.prefix is None or len(r.prefix) < 2 or r.prefix[-2] <= budget
+                   for lv in levels for r in lv.itertuples())
 
 
 def test_parent_links(spark):

@@ -168,11 +168,22 @@ def template_depth(text: Column) -> Column:
 
 
 def innermost_first(text: Column, rules: Sequence[tuple[str, str]]) -> Column:
-    """Apply rules for flat templates once per level of nesting, so that none is left."""
+    """Apply rules for flat templates once per level of nesting, so that none is left.
+
+    Braces that are never closed count as levels too, but the first pass that changes nothing is
+    the last.
+    """
     passes = F.when(F.contains(text, F.lit("{{")), F.sequence(
         F.lit(0), template_depth(text))).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(passes, text, lambda t, _: F.when(
-        F.contains(t, F.lit("{{")), T.chain(t, rules)).otherwise(t))
+
+    def apply(state):
+        # An array of one element, so that the rules run once for both fields.
+        return F.get(F.transform(F.array(T.chain(state["text"], rules)), lambda new: F.struct(
+            new.alias("text"), (new != state["text"]).alias("open"))), F.lit(0))
+
+    start = F.struct(text.alias("text"), F.lit(True).alias("open"))
+    return F.aggregate(passes, start, lambda state, _: F.when(
+        state["open"], apply(state)).otherwise(state), lambda state: state["text"])
 
 
 def render_narrative(text: Column) -> Column:

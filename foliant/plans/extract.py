@@ -138,11 +138,9 @@ SELECT page_id, {strip_sql("split_part(page_title, ' ', 1)")} AS quest_name,
   CASE page_id % 3 WHEN 0 THEN 'main' WHEN 1 THEN 'side' END AS quest_type,
   'Update ' || page_id % 40 || '.2 (2024-01-02)' AS release_note,
   nullif({strip_sql(chain_sql("split_part(text, chr(10), 1)", (('"+$', ''),)))}, '') AS quest_context
-FROM (SELECT doc_id AS page_id, text, {S.TITLE} AS page_title FROM documents) WHERE page_id % 7 <> 0
-  AND NOT contains(split_part(page_title, ' ', 1), '*')""")
+FROM (SELECT doc_id AS page_id, text, {S.TITLE} AS page_title FROM documents) WHERE page_id % 7 <> 0""")
 def quest_rows(spark, sf):
-    rows = E.quest_rows(quest_pages(spark, sf))
-    return rows.filter(~F.contains("quest_name", F.lit("*")))
+    return E.quest_rows(quest_pages(spark, sf))
 
 
 def update_pages(spark, sf):
@@ -161,17 +159,24 @@ def update_pages(spark, sf):
 _BODY = "list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')"
 
 
+_SKIP = "(regexp_matches(x, '^[#-]') OR x = 'Tweet')"
+
+
 @query("update_rows", f"""
-SELECT doc_id AS page_id, doc_id || '.1.0' AS version, {strip_sql(S.TITLE)} AS update_title,
+WITH l AS (SELECT doc_id, {strip_sql(S.TITLE)} AS title,
+    list_concat({_BODY}, ['## End', 'tail']) AS body FROM documents),
+a AS (SELECT doc_id, title, body[list_position(list_transform(body, lambda x: NOT {_SKIP}), true):]
+    AS body FROM l),
+p AS (SELECT *, list_position(list_transform(body, lambda x: {_SKIP}), true) AS stop FROM a)
+SELECT doc_id AS page_id, doc_id || '.1.0' AS version,
+  CASE WHEN title = '' THEN 'Site:' ELSE title END AS update_title,
   CASE WHEN doc_id % 2 = 0 THEN 'Hotfix' END AS update_type, 'Jan 5, 2024' AS release_date,
-  CASE WHEN doc_id % 2 = 0 THEN array_to_string({_BODY}, chr(10))
+  CASE WHEN doc_id % 2 = 0 THEN array_to_string(
+      body[1:coalesce(nullif(stop, 0) - 1, len(body))], chr(10))
     ELSE 'Jan 5, 2024' || chr(10) || '**Bold head**' END AS summary
-FROM documents WHERE NOT regexp_matches(text, '(?m)^\\s*[-#]') AND {strip_sql(S.TITLE)} <> ''""")
+FROM p""")
 def update_rows(spark, sf):
-    rows = E.update_rows(update_pages(spark, sf), "Site")
-    plain = staging.pages_plain(spark, sf).filter(
-        ~F.rlike("content_markdown", F.lit(r"(?m)^\s*[-#]")) & (T.strip(F.col("page_title")) != ""))
-    return rows.join(plain.select("page_id"), "page_id", "left_semi")
+    return E.update_rows(update_pages(spark, sf), "Site")
 
 
 def announcement_pages(spark, sf):

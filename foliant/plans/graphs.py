@@ -11,6 +11,7 @@ from foliant.operators import graph as G
 from foliant.plans import sql as S
 from foliant.plans.clean import lit_sql
 from foliant.plans.registry import query
+from foliant.session import materialize
 from foliant.sources import files as FS
 
 _LINKS = f"""lk AS (SELECT page_id, trim(unnest(regexp_extract_all(html, {lit_sql(H.HREF)}, 1))) AS href FROM pages),
@@ -256,21 +257,25 @@ def dialogue_files(spark, sf):
         "nodes", lambda n: n["Id"].isNotNull())).cast("long").alias("nodes"))
 
 
-@query("file_changes")
+@query("file_changes", """
+SELECT DISTINCT source AS file, CASE source WHEN 'src1' THEN 'added' WHEN 'src2' THEN 'removed'
+  WHEN 'src3' THEN 'changed' ELSE 'unchanged' END AS change FROM documents""")
 def file_changes(spark, sf):
-    """Fingerprints of bucket files before and after a run: added, changed, removed, unchanged."""
-    pages = staging.pages_plain(spark, sf).select("bucket_id", "content_markdown")
-    before, after = FS.scratch_dir(spark, "before"), FS.scratch_dir(spark, "after")
+    """Bucket folders against the stored fingerprints of the last run.
 
-    pages.filter("bucket_id <> 'src1'").write.partitionBy("bucket_id").text(before)
-    pages.filter("bucket_id <> 'src2'").write.partitionBy("bucket_id").text(after)
+    Between the two runs one bucket lands, one goes, and one is written again as it was.
+    """
+    pages = staging.pages_plain(spark, sf).select("bucket_id", "content_markdown")
+    place = FS.scratch_dir(spark, "buckets")
 
-    def prints(path):
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-        bucket = F.regexp_extract("path", r"bucket_id=([^/]+)/", 1)
-        return files.groupBy(bucket.alias("file")).agg(
-            F.lit(0).cast("long").alias("modified"), F.sum("length").alias("length"))
+    def land(rows):
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+            "bucket_id").text(place)
 
-    return FS.file_changes(prints(before), prints(after))
+    land(pages.filter("bucket_id <> 'src1'"))
+    stored = materialize(FS.folder_fingerprints(spark, place, "bucket_id"))
+    land(pages.filter("bucket_id IN ('src1', 'src3')"))
+    FS.drop_folder(spark, f"{place}/bucket_id=src2")
+    return FS.file_changes(stored, FS.folder_fingerprints(spark, place, "bucket_id"))
 
 

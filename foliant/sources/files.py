@@ -108,6 +108,19 @@ def fingerprints(spark: SparkSession, path: str) -> DataFrame:
         F.unix_micros("modificationTime").alias("modified"), "length")
 
 
+def folder_fingerprints(spark: SparkSession, path: str, column: str) -> DataFrame:
+    """Fingerprint of each ``column=…`` folder: its newest modification time and its size."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.groupBy(F.regexp_extract("path", rf"{column}=([^/]+)/", 1).alias("file")).agg(
+        F.max(F.unix_micros("modificationTime")).alias("modified"),
+        F.sum("length").alias("length"))
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def file_changes(stored: DataFrame, current: DataFrame) -> DataFrame:
     """Files to read again, to drop, and to leave, by fingerprint."""
     s = stored.select("file", F.struct("modified", "length").alias("s"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -19,6 +18,10 @@ from foliant.session import materialize
 POOL, LIMIT = 24, 12
 # Query vectors shipped to every task at once: 2048 × 1024 doubles are 16 MB.
 QUERY_BLOCK = 2048
+# Corpus vectors that meet a block of queries in one task of the grid: 100 MB at 256 floats.
+CORPUS_BLOCK = 100_000
+# Queries on which the number of cells to probe is measured.
+TUNING_QUERIES = 256
 # Scores are ranked at nine decimals so that equal vectors tie whatever the batch layout.
 RANK_DECIMALS = 9
 
@@ -27,6 +30,8 @@ def _scan_block(ids: list[int], matrix: np.ndarray, k: int):
     """Scorer of one block of unit query vectors; keeps k rows per query and task."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if not ids:
+            return
         best: list[tuple[np.ndarray, np.ndarray]] = [
             (np.empty(0), np.empty(0, dtype=np.int64)) for _ in ids]
         for pdf in batches:
@@ -59,37 +64,65 @@ def vector_topk(corpus: DataFrame, queries: DataFrame, k: int = POOL) -> DataFra
     """Exact cosine top-k: (query_id, chunk_id, score, rank).
 
     ``corpus`` has chunk_id and embedding, ``queries`` query_id and embedding; null vectors
-    are skipped.  The corpus is never paired with the queries as rows: each task scores its
-    batches against a block of query vectors and emits at most k rows per query.  Queries
-    come in blocks of a fixed size, one corpus pass each, so any number of them is exact;
-    for very many, :func:`cell_topk` prunes the corpus.
+    are skipped.  Up to ``QUERY_BLOCK`` queries go to every task, which scores its batches of the
+    corpus against them and emits at most k rows per query, without a shuffle of vectors.  More
+    queries stay rows and meet the corpus in a grid of blocks (:func:`_grid_hits`); for very many,
+    :func:`cell_topk` prunes the corpus.
     """
     vectors = corpus.select(F.col("chunk_id").cast("long").alias("chunk_id"), "embedding")
-    parts, ids, rows = [], [], []
+    asked = materialize(queries.select("query_id", "embedding"))
+    few = asked.limit(QUERY_BLOCK + 1).collect()
+    if len(few) > QUERY_BLOCK:
+        one = F.lit(0).alias("cell")
+        hits = _grid_hits(materialize(vectors).select("*", one), asked.select("*", one), k)
+    else:
+        ids, matrix = _unit_rows([r.query_id for r in few], [r.embedding for r in few])
+        hits = vectors.mapInPandas(_scan_block(ids, matrix, k), _HITS)
+    return top_per_query(hits, k)
+
+
+_HITS = "query_id long, chunk_id long, score double"
 
-    def close_block():
-        matrix = np.asarray(rows, dtype=np.float64)
+
+def _unit_rows(ids: Sequence[int], vectors: Sequence) -> tuple[list[int], np.ndarray]:
+    """Ids and unit vectors of those that are neither null nor zero."""
+    kept = [(i, v) for i, v in zip(ids, vectors) if v is not None and len(v) and any(v)]
+    matrix = np.asarray([v for _, v in kept], dtype=np.float64)
+    if kept:
         matrix = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
-        parts.append(vectors.mapInPandas(
-            _scan_block(list(ids), matrix, k), "query_id long, chunk_id long, score double"))
-
-    for row in queries.select("query_id", "embedding").toLocalIterator():
-        if row.embedding and any(row.embedding):
-            ids.append(row.query_id)
-            rows.append(row.embedding)
-        if len(ids) == QUERY_BLOCK:
-            close_block()
-            ids, rows = [], []
-    if ids or not parts:
-        if ids:
-            close_block()
-        else:
-            parts.append(corpus.sparkSession.createDataFrame(
-                [], "query_id long, chunk_id long, score double"))
-    hits = parts[0]
-    for part in parts[1:]:
-        hits = hits.unionByName(part)
-    return top_per_query(hits, k)
+    return [i for i, _ in kept], matrix
+
+
+def _grid_hits(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Best k hits per query and corpus block, where corpus and queries share a cell.
+
+    Rows of a cell are dealt over blocks by their ids, as many as its size asks for; a block of
+    the corpus and one of the queries meet in a task of their own, so neither a full cell nor many
+    queries of one cell stay together.
+    """
+    sizes = corpus.groupBy("cell").agg(
+        F.ceil(F.count("*") / CORPUS_BLOCK).cast("int").alias("down")).join(
+        queries.groupBy("cell").agg(
+            F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("across")), "cell")
+    sizes = materialize(sizes)
+
+    def dealt(rows, name, own, own_count, other, other_count):
+        sized = lookup_join(rows, sizes, ["cell"], F.col(name))
+        return sized.select(
+            name, "embedding", "cell", F.pmod(F.xxhash64(name), own_count).cast("int").alias(own),
+            F.explode(F.sequence(F.lit(0), F.col(other_count) - 1)).alias(other))
+
+    left = dealt(corpus, "chunk_id", "i", "down", "j", "across")
+    right = dealt(queries, "query_id", "j", "across", "i", "down")
+
+    def meet(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        ids, matrix = _unit_rows(asked["query_id"].tolist(), asked["embedding"].tolist())
+        found = list(_scan_block(ids, matrix, k)(iter([rows]))) if ids and len(rows) else []
+        return pd.concat(found) if found else pd.DataFrame(
+            {"query_id": [], "chunk_id": [], "score": []})
+
+    place = ["cell", "i", "j"]
+    return left.groupBy(place).cogroup(right.groupBy(place)).applyInPandas(meet, _HITS)
 
 
 def top_per_query(hits: DataFrame, k: int, name: str = "rank") -> DataFrame:
@@ -140,46 +173,42 @@ def assign_cells(vectors: DataFrame, centres: np.ndarray, n: int = 1) -> DataFra
     return vectors.withColumn("cells", nearest(F.col("embedding")))
 
 
-def _scan_cells(probed: dict[int, tuple[list[int], np.ndarray]], k: int):
-    """Scorer that meets the rows of each cell with the queries probing that cell."""
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for cell, rows in pdf.groupby("cell"):
-                ids, matrix = probed[int(cell)]
-                yield from _scan_block(ids, matrix, k)(iter([rows]))
+def cell_topk(filed: DataFrame, queries: DataFrame, centres: np.ndarray, k: int,
+              probes: int) -> DataFrame:
+    """Approximate top-k: every query meets the rows of the cells that it probes.
 
-    return scan
+    ``filed`` has chunk_id, embedding and cell.  Queries stay rows, one for each cell they probe,
+    and meet the cells in blocks.
+    """
+    given = queries.select("query_id", "embedding").filter("embedding IS NOT NULL")
+    probing = materialize(assign_cells(given, centres, probes).select(
+        "query_id", "embedding", F.explode("cells").alias("cell")))
+    rows = filed.select(F.col("chunk_id").cast("long").alias("chunk_id"), "embedding", "cell")
+    return top_per_query(_grid_hits(rows, probing, k), k)
 
 
-def _probe_block(filed: DataFrame, queries: DataFrame, centres: np.ndarray, k: int,
-                 probes: int) -> DataFrame:
-    """Hits of one block of queries in the cells nearest to each."""
-    probing = assign_cells(queries, centres, probes).select(
-        "query_id", "embedding", F.explode("cells").alias("cell")).collect()
-    probed = {}
-    for cell in sorted({r.cell for r in probing}):
-        rows = [r for r in probing if r.cell == cell]
-        m = np.asarray([r.embedding for r in rows], dtype=np.float64)
-        probed[cell] = ([r.query_id for r in rows], m / np.linalg.norm(m, axis=1, keepdims=True))
-    near = filed.filter(F.col("cell").isin(*probed)).select(
-        F.col("chunk_id").cast("long").alias("chunk_id"), "embedding", "cell")
-    return near.mapInPandas(_scan_cells(probed, k), "query_id long, chunk_id long, score double")
+def cells_for(rows: int) -> int:
+    """Number of cells for a corpus: half the root of its size, so cells hold twice the root."""
+    return max(16, round(rows ** 0.5 / 2))
 
 
-def cell_topk(filed: DataFrame, queries: DataFrame, centres: np.ndarray, k: int,
-              probes: int) -> DataFrame:
-    """Approximate top-k: each block of queries reads the cells that it probes.
+def probes_for(filed: DataFrame, queries: DataFrame, centres: np.ndarray, k: int,
+               recall: float = 0.95, sample: int = TUNING_QUERIES) -> int:
+    """Fewest cells to probe so that ``recall`` of the exact neighbours are found.
 
-    ``filed`` has chunk_id, embedding and cell; stored partitioned by cell it is read only
-    where some query probes.  Queries are dealt over blocks of about ``QUERY_BLOCK``.
+    Measured on at most ``sample`` queries, the first by a hash of their ids, against the exact
+    search: how far down a query's list of cells its neighbours lie.  Vectors without clusters
+    need many cells, clustered ones few.
     """
-    queries = queries.select("query_id", "embedding")
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    of = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    hits = reduce(DataFrame.unionByName, [
-        _probe_block(filed, queries.filter(of == b), centres, k, probes) for b in range(blocks)])
-    return top_per_query(hits, k)
+    some = materialize(queries.select("query_id", "embedding").filter(
+        "embedding IS NOT NULL").orderBy(F.xxhash64("query_id"), "query_id").limit(sample))
+    order = assign_cells(some, centres, len(centres)).select("query_id", "cells")
+    exact = vector_topk(filed, some, k).select("query_id", "chunk_id")
+    # At most sample * k rows on one side.
+    found = filed.select(F.col("chunk_id").cast("long").alias("chunk_id"), "cell").join(
+        F.broadcast(exact), "chunk_id").join(order, "query_id")
+    deep = found.agg(F.percentile(F.array_position("cells", F.col("cell")), F.lit(recall)))
+    return int(np.ceil(deep.first()[0] or 1))
 
 
 # --- lexical channel ---

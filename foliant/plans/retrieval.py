@@ -308,11 +308,13 @@ def headlines(spark, sf):
 
 @query("ann_topk")
 def ann_topk(spark, sf):
-    """Approximate neighbours: vectors filed under k-means cells, three cells probed."""
+    """Approximate neighbours: vectors filed under k-means cells, by the root of their number."""
     corpus = materialize(vectors(spark, sf))
-    centres = R.train_cells(corpus, 16)
-    filed = R.assign_cells(corpus, centres).withColumn("cell", F.get("cells", F.lit(0))).drop("cells")
-    return R.cell_topk(materialize(filed), kind_queries(spark, sf), centres, 12, 3)
+    centres = R.train_cells(corpus, R.cells_for(corpus.count()))
+    filed = materialize(R.assign_cells(corpus, centres).withColumn(
+        "cell", F.get("cells", F.lit(0))).drop("cells"))
+    asked = materialize(kind_queries(spark, sf))
+    return R.cell_topk(filed, asked, centres, 12, R.probes_for(filed, asked, centres, 12))
 
 
 @query("ann_recall")

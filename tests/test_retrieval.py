@@ -36,8 +36,9 @@ def test_vector_topk_is_exact(space, monkeypatch):
     for q, v in queries.items():
         ranked = sorted((-round(cos(x, v), 5), i) for i, x in vecs.items() if any(x))
         want[q] = [round(-s, 4) for s, _ in ranked[:10]]
-    for block in (2048, 4):  # one block, then several
+    for block, rows in ((2048, 100_000), (4, 100_000), (4, 50)):  # one block, then a grid
         monkeypatch.setattr(R, "QUERY_BLOCK", block)
+        monkeypatch.setattr(R, "CORPUS_BLOCK", rows)
         got = {}
         for r in R.vector_topk(corpus, qdf, 10).orderBy("rank").collect():
             got.setdefault(r.query_id, []).append(round(r.score, 4))
@@ -53,8 +54,33 @@ def test_equal_vectors_rank_by_id(space, spark):
     assert top[:3] == sorted(top[:3]) and set(top) >= {7, 8, 9}
 
 
-def test_cells_probe_all_is_exact(space):
+def test_grid_of_nulls_and_of_nothing(space, spark, monkeypatch):
     _, corpus, _, qdf = space
+    odd = qdf.union(spark.createDataFrame([(100, None), (101, [0.0] * 5)], qdf.schema))
+    none = corpus.filter("false")
+    for block in (2048, 2):
+        monkeypatch.setattr(R, "QUERY_BLOCK", block)
+        assert {r.query_id for r in R.vector_topk(corpus, odd, 2).collect()} == set(range(9))
+        assert R.vector_topk(none, odd, 2).count() == 0
+        assert R.vector_topk(corpus, odd.filter("false"), 2).count() == 0
+
+
+def test_twenty_thousand_queries_are_one_plan(space, spark):
+    vecs, corpus, _, _ = space
+    rng = random.Random(6)
+    many = {q: [float(rng.choice([-2, -1, 1, 3])) for _ in range(5)] for q in range(20_000)}
+    got = {r.query_id: r.score for r in R.vector_topk(corpus, spark.createDataFrame(
+        list(many.items()), "query_id long, embedding array<float>"), 1).collect()}
+    assert len(got) == len(many)
+    for q in range(0, 20_000, 997):
+        assert got[q] == pytest.approx(max(cos(x, many[q]) for x in vecs.values() if any(x)))
+
+
+@pytest.mark.parametrize("sizes", [(2048, 100_000), (2, 20)])
+def test_cells_probe_all_is_exact(space, monkeypatch, sizes):
+    _, corpus, _, qdf = space
+    monkeypatch.setattr(R, "QUERY_BLOCK", sizes[0])
+    monkeypatch.setattr(R, "CORPUS_BLOCK", sizes[1])
     real = corpus.filter("embedding IS NOT NULL")
     centres = R.train_cells(real, 6)
     filed = R.assign_cells(real, centres).withColumn("cell", F.get("cells", F.lit(0)))
@@ -66,6 +92,33 @@ def test_cells_probe_all_is_exact(space):
     assert len(some & key(exact)) >= len(key(exact)) // 2
 
 
+def test_probes_follow_the_recall_asked_for(spark):
+    """Clustered vectors need few cells, vectors without clusters many; both reach the recall."""
+    rng = random.Random(11)
+    middles = [[rng.gauss(0, 1) for _ in range(12)] for _ in range(16)]
+    near = lambda m, far: [x + rng.gauss(0, far) for x in m]
+    probed = []
+    for far, base in ((0.1, middles), (1.0, [[0.0] * 12])):
+        corpus = spark.createDataFrame(
+            [(i, near(rng.choice(base), far)) for i in range(800)], "chunk_id long, embedding array<float>")
+        asked = spark.createDataFrame(
+            [(q, near(rng.choice(base), far)) for q in range(60)], "query_id long, embedding array<float>")
+        centres = R.train_cells(corpus, 16)
+        filed = R.assign_cells(corpus, centres).withColumn("cell", F.get("cells", F.lit(0)))
+        probes = R.probes_for(filed, asked, centres, 10, sample=30)
+        probed.append(probes)
+        exact = R.vector_topk(corpus, asked, 10).select("query_id", "chunk_id")
+        hits = R.cell_topk(filed, asked, centres, 10, probes).join(exact, ["query_id", "chunk_id"])
+        assert hits.count() >= 0.9 * exact.count()
+    assert probed[0] < probed[1] <= 16
+
+
+def test_registered_recall(spark):
+    from foliant.plans import QUERIES
+    got = [r.recall for r in QUERIES["ann_recall"](spark, "/root/testdata/sf0.1").collect()]
+    assert sum(got) / len(got) >= 0.9
+
+
 DOCS = [(1, "Les gardiens du temple parlent doucement"), (2, "Le gardien parle"),
         (3, "temple vide et silencieux"), (4, "gardien gardiens temple temple temple")]
 

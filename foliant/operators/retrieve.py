@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -242,54 +243,52 @@ def parse_queries(questions: DataFrame, stopwords: Sequence[str]) -> DataFrame:
         stems(minus, stopwords).alias("excluded")).filter(F.size("required") > 0)
 
 
-QUESTION_BLOCK = 20_000
+def postings(docs: DataFrame, stopwords: Sequence[str], wanted: DataFrame | None = None
+             ) -> DataFrame:
+    """(term, chunk_id, tf, size): how often a stem stands in a passage of ``size`` stems.
+
+    Written once, it serves any number of question tables; with ``wanted`` (a column term) it
+    holds these stems only.  Tokens are counted before they are shuffled.
+    """
+    body = T.once(docs, "stems", stems(F.col("content"), stopwords))
+    tokens = body.select("chunk_id", F.size("stems").alias("size"), F.explode("stems").alias("term"))
+    if wanted is not None:
+        tokens = lookup_join(tokens, wanted, ["term"], F.col("chunk_id"))
+    return tokens.groupBy("term", "chunk_id", "size").agg(F.count("*").alias("tf")).select(
+        "term", "chunk_id", "tf", "size")
 
 
 def lexical_topk(docs: DataFrame, questions: DataFrame, stopwords: Sequence[str],
-                 k: int = POOL) -> DataFrame:
+                 k: int = POOL, index: DataFrame | None = None) -> DataFrame:
     """Passages that hold all terms of a question, ranked by the density of those terms.
 
-    Every match holds the rarest term of its question, so only documents with such a term
-    become candidates; the other terms are verified in place.  The corpus is read twice
-    (term counts, matching) and its text is never shuffled.  Questions come in blocks of a
-    fixed size, one matching pass each.  A question without any term left after the stop
-    words has no lexical hits.
+    Every match holds the rarest term of its question, so only its postings become candidates;
+    the other terms are looked up in the postings by term and passage.  The corpus is read once,
+    or not at all if ``index`` (:func:`postings`) is given, and its text is never shuffled.
+    chunk_id is unique.  A question without any term left after the stop words has no lexical
+    hits.
     """
-    spark = docs.sparkSession
     parsed = materialize(parse_queries(questions, stopwords))
-    body = T.once(docs.select("chunk_id", stems(F.col("content"), stopwords).alias("stems")),
-                  "distinct_stems", F.array_distinct("stems"))
-    wanted = parsed.select(F.explode("required").alias("term")).distinct()
-    tokens = body.select("chunk_id", F.explode("distinct_stems").alias("term"))
-    counts = lookup_join(tokens, wanted, ["term"], F.col("chunk_id")).groupBy("term").agg(
-        F.count("*").alias("df"))
+    wanted = parsed.select(F.explode(F.concat("required", "excluded")).alias("term")).distinct()
+    found = materialize(postings(docs, stopwords, wanted) if index is None else lookup_join(
+        index, wanted, ["term"], F.col("chunk_id")))
+    counts = found.groupBy("term").agg(F.count("*").alias("df"))
     rarest = parsed.select("query_id", "alt", F.size("required").alias("n"),
                            F.explode("required").alias("term")).join(counts, "term").groupBy(
         "query_id", "alt", "n").agg(
         F.min_by("term", F.struct("df", "term")).alias("term"), F.count("*").alias("present")
-    ).filter("present = n").select("query_id", "alt", "term")
-    asked = parsed.join(rarest, ["query_id", "alt"]).select(
-        "query_id", "alt", "required", "excluded", "term")
-
-    def match(block):
-        rare = F.array(*[F.lit(t) for t in sorted({r.term for r in block})]).cast("array<string>")
-        table = F.broadcast(spark.createDataFrame(block, asked.schema))  # ≤ QUESTION_BLOCK rows
-        pairs = body.select("chunk_id", "stems", "distinct_stems", F.explode(
-            F.array_intersect("distinct_stems", rare)).alias("term")).join(table, "term")
-        matched = pairs.filter(
-            (F.size(F.array_except("required", "distinct_stems")) == 0)
-            & ~F.arrays_overlap("excluded", "distinct_stems"))
-        found = F.size(F.filter("stems", lambda s: F.array_contains(F.col("required"), s)))
-        return matched.select("query_id", "chunk_id", (found / F.size("stems")).alias("score"))
-
-    hits, block = None, []
-    for row in asked.toLocalIterator():
-        block.append(row)
-        if len(block) == QUESTION_BLOCK:
-            hits = match(block) if hits is None else hits.unionByName(match(block))
-            block = []
-    if block or hits is None:
-        hits = match(block) if hits is None else hits.unionByName(match(block))
+    ).filter("present = n").select("query_id", "alt", "n", "term")
+    asked = parsed.join(rarest, ["query_id", "alt"])
+    near = lookup_join(found.select("term", "chunk_id"), asked, ["term"], F.col("chunk_id")).drop(
+        "term")
+    place = ["query_id", "alt", "chunk_id"]
+    held = near.select(*place, "n", F.explode("required").alias("term")).join(
+        found, ["chunk_id", "term"]).groupBy(*place, "n", "size").agg(
+        F.sum("tf").alias("tf"), F.count("*").alias("present")).filter("present = n")
+    barred = near.select(*place, F.explode("excluded").alias("term")).join(
+        found, ["chunk_id", "term"], "left_semi")
+    hits = held.join(barred, place, "left_anti").select(
+        "query_id", "chunk_id", (F.col("tf") / F.col("size")).alias("score"))
     # Two alternatives of one question may match the same passage: its best score counts.
     best = hits.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
     return top_per_query(best, k)
@@ -401,49 +400,45 @@ def assemble_context(hits: DataFrame, budget: int, no_data: str = "[NO DATA]") -
 
 # --- substring matches and title suggestions ---
 
-PATTERN_BLOCK = 100_000
+GRAM = 3  # characters of the pieces by which patterns and texts meet
+
+
+def _pieces(text: Column, size: int) -> Column:
+    """Distinct runs of ``size`` characters of a text."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
 
 
 def contained_patterns(rows: DataFrame, text: str, patterns: DataFrame, keep: Sequence[str]
                        ) -> DataFrame:
-    """Rows × the patterns their text contains, found in one pass over each text.
+    """Rows × the patterns their text contains, for any number of patterns.
 
-    Patterns (a string column ``pattern``) are compiled into one automaton per block of
-    bounded size and matched inside the tasks: no theta join and no candidate pairs.
+    A text that contains a pattern (a string column ``pattern``) contains its rarest piece of
+    three characters, or the pattern itself if that is shorter.  Texts and patterns meet by that
+    piece in an equi-join, and each pair is then verified.  Only pieces that some pattern asks for
+    are kept of a text, and equal texts meet the patterns once.
     """
-    def finder(block: list[str]):
-        @F.pandas_udf("array<string>")
-        def find(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            try:
-                import ahocorasick
-                automaton = ahocorasick.Automaton()
-                for p in block:
-                    automaton.add_word(p, p)
-                automaton.make_automaton()
-
-                def search(t):
-                    return sorted({p for _, p in automaton.iter(t)})
-            except ImportError:
-                def search(t):
-                    return sorted(p for p in block if p in t)
-            for s in texts:
-                yield s.map(lambda t: search(t) if t else [])
-
-        return find
-
-    out, block = None, []
-
-    def emit(block):
-        found = rows.select(*keep, F.explode(finder(block)(F.lower(text))).alias("pattern"))
-        return found if out is None else out.unionByName(found)
-
-    for r in patterns.select("pattern").distinct().filter("pattern <> ''").toLocalIterator():
-        block.append(r.pattern)
-        if len(block) == PATTERN_BLOCK:
-            out, block = emit(block), []
-    if block or out is None:
-        out = emit(block)
-    return out
+    asked = patterns.select("pattern").filter("pattern <> ''").distinct().withColumn(
+        "size", F.least(F.length("pattern"), F.lit(GRAM)))
+    asked = materialize(asked.withColumn("piece", F.explode(reduce(
+        lambda other, n: F.when(F.col("size") == n, _pieces(F.col("pattern"), n)).otherwise(other),
+        range(1, GRAM), _pieces(F.col("pattern"), GRAM)))))
+    texts = rows.withColumn("__text", F.lower(text)).filter("__text IS NOT NULL").withColumn(
+        "__key", F.md5(F.encode("__text", "UTF-8")))
+    # At most GRAM values.
+    sizes = sorted(r["size"] for r in asked.select("size").distinct().collect())
+    pieces = F.concat(*[_pieces(F.col("__text"), n) for n in sizes]) if sizes else F.array().cast(
+        "array<string>")
+    standing = texts.select("__key", F.explode(pieces).alias("piece"))
+    standing = materialize(lookup_join(standing, asked.select("piece").distinct(), ["piece"],
+                                       F.col("__key")).distinct())
+    counts = standing.groupBy("piece").agg(F.count("*").alias("df"))
+    needed = asked.groupBy("pattern").agg(F.count("*").alias("n"))
+    rarest = asked.join(counts, "piece").groupBy("pattern").agg(
+        F.min_by("piece", F.struct("df", "piece")).alias("piece"), F.count("*").alias("present")
+    ).join(needed, "pattern").filter("present = n").select("pattern", "piece")
+    pairs = lookup_join(standing, rarest, ["piece"], F.col("__key")).select("__key", "pattern")
+    return texts.join(pairs, "__key").filter(F.contains("__text", F.col("pattern"))).select(
+        *keep, "pattern")
 
 
 # Question words that never name a title, and the similarity that counts.

@@ -136,11 +136,41 @@ def test_lexical_channel(spark, monkeypatch):
     assert hits("silencieux or parle").keys() == {2, 3}
     assert hits("absent gardien") == {}
     assert hits("dans avec pour") == {}
-    monkeypatch.setattr(R, "QUESTION_BLOCK", 1)
+    assert hits("gardien or -temple gardien or gardien -vide") == hits("gardien")
     many = spark.createDataFrame([(i, w) for i, w in enumerate(["gardien", "temple", "vide"])],
                                  "query_id long, question string")
     got = {(r.query_id, r.chunk_id) for r in R.lexical_topk(docs, many, C.STOPWORDS).collect()}
     assert got == {(0, 1), (0, 2), (0, 4), (1, 1), (1, 3), (1, 4), (2, 3)}
+    # The same from an index written before, and with salted lookups.
+    index = R.postings(docs, C.STOPWORDS)
+    assert {(r.term, r.chunk_id, r.tf, r.size) for r in index.filter("chunk_id = 4").collect()} == {
+        ("gardien", 4, 2, 5), ("templ", 4, 3, 5)}  # stems
+    monkeypatch.setattr(skew.lookup_join, "__defaults__", ("inner", 0))
+    assert got == {(r.query_id, r.chunk_id) for r in R.lexical_topk(
+        docs.filter("false"), many, C.STOPWORDS, index=index).collect()}
+
+
+def test_lexical_hits_against_brute_force(spark):
+    rng = random.Random(13)
+    words = ["gardien", "temple", "vide", "ombre", "lune", "pont", "tour", "bois"]
+    docs = [(i, " ".join(rng.choices(words, weights=[9, 5, 3, 2, 1, 1, 1, 1], k=rng.randint(0, 12))))
+            for i in range(120)]
+    asked, want = [], {}
+    for q in range(60):
+        alts = [([*rng.sample(words, rng.randint(1, 3))], rng.sample(words, rng.choice([0, 0, 1])))
+                for _ in range(rng.randint(1, 2))]
+        asked.append((q, " or ".join(" ".join([*yes, *("-" + w for w in no)]) for yes, no in alts)))
+        for i, text in docs:
+            held = text.split()
+            scores = [sum(w in yes for w in held) / len(held) for yes, no in alts
+                      if set(yes) <= set(held) and not set(no) & set(held)]
+            if scores:
+                want[q, i] = max(scores)
+    hits = R.lexical_topk(spark.createDataFrame(docs, "chunk_id long, content string"),
+                          spark.createDataFrame(asked, "query_id long, question string"),
+                          C.STOPWORDS, k=1000)
+    got = {(r.query_id, r.chunk_id): r.score for r in hits.collect()}
+    assert got == pytest.approx(want) and want
 
 
 def test_fusion(spark):
@@ -184,8 +214,8 @@ def test_context_budget_keeps_the_first(spark):
 def test_patterns_and_suggestions(spark, monkeypatch):
     titles = spark.createDataFrame([("Pattie",), ("Patters",), ("Aldwin Entwood",), ("The Fox",)], "page_title string")
     pats = spark.createDataFrame([("pat",), ("fox",), ("zz",)], "pattern string")
-    for block in (100, 1):
-        monkeypatch.setattr(R, "PATTERN_BLOCK", block)
+    for limit in (1_000_000, 0):  # lookups broadcast, then salted
+        monkeypatch.setattr(skew.lookup_join, "__defaults__", ("inner", limit))
         got = {(r.page_title, r.pattern) for r in R.contained_patterns(titles, "page_title", pats, ["page_title"]).collect()}
         assert got == {("Pattie", "pat"), ("Patters", "pat"), ("The Fox", "fox")}
     q = spark.createDataFrame([(1, "qui est pattie ?"), (2, "parle de patt"), (3, "aldwin et fox")],
@@ -194,6 +224,29 @@ def test_patterns_and_suggestions(spark, monkeypatch):
         1: "Pattie", 3: "Aldwin Entwood"}
 
 
+def test_many_patterns_against_brute_force(spark):
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("abcé 😀_%") for _ in range(n))
+    texts = [word(rng.randint(0, 60)) for _ in range(150)] + ["abc" * 40, "", "a", None, "ABC\nabc"]
+    texts += texts[:5]
+    pats = {word(rng.randint(1, 6)) for _ in range(4000)} | {"", "abcabc", "c\na"}
+    got = sorted((r.i, r.pattern) for r in R.contained_patterns(
+        spark.createDataFrame(list(enumerate(texts)), "i int, t string"), "t",
+        spark.createDataFrame([(p,) for p in pats] + [(None,), ("abcabc",)], "pattern string"),
+        ["i"]).collect())
+    assert got == sorted((i, p) for i, t in enumerate(texts) for p in pats if t and p and p in t.lower())
+    none = spark.createDataFrame([], "pattern string")
+    assert R.contained_patterns(spark.createDataFrame([(1, "abc")], "i int, t string"), "t", none,
+                                ["i"]).count() == 0
+
+
+def test_a_hundred_thousand_patterns(spark):
+    titles = spark.range(500).selectExpr("concat('title number ', id, ' of all') AS t")
+    pats = spark.range(100_000).selectExpr("concat('number ', id, ' of') AS pattern")
+    got = R.contained_patterns(titles, "t", pats, ["t"])
+    assert got.count() == 500
+
+
 def test_headline(spark):
     text = " ".join(["a"] * 60 + ["gold", "b", "gold"] + ["c"] * 60)
     df = spark.createDataFrame([(text,)], "t string")

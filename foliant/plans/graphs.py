@@ -207,6 +207,9 @@ def megafile_scan(spark, sf):
         F.length("content_markdown").cast("long").alias("chars"))
 
 
+MANIFEST_KEYS = 200_000  # part keys that the manifests of one range share
+
+
 @query("manifest_entities", """
 SELECT '/Items/' || p_partkey AS entity_id, 'ExportParts' AS entity_type,
   CASE WHEN p_size % 2 = 0 THEN 'en' ELSE 'fr' END AS lang, p_name AS name, p_type AS description
@@ -214,13 +217,14 @@ FROM part WHERE p_size % 5 <> 0""")
 def manifest_entities(spark, sf):
     """Localized manifests written out (some malformed) and scanned into entities.
 
-    Each manifest holds the entries of one part size and brand, so documents stay small.
+    Each manifest holds the entries of one part size and range of keys: about 4,000 of them at the
+    sizes given, half a megabyte, so that files stay few and documents small.
     """
     part = staging.table(spark, sf, "part")
     entry = F.struct(F.when(F.col("p_size") % 5 != 0, F.concat(
         F.lit("/Items/"), F.col("p_partkey").cast("string"))).alias("uniqueName"),
         F.col("p_name").alias("name"), F.col("p_type").alias("description"))
-    per_file = part.withColumn("bin", F.floor(F.col("p_partkey") / 200)).groupBy(
+    per_file = part.withColumn("bin", F.floor(F.col("p_partkey") / MANIFEST_KEYS)).groupBy(
         "p_size", "bin").agg(F.to_json(F.collect_list(entry)).alias("entries"))
     wrapped = F.when(F.col("p_size") % 3 == 0, F.col("entries")).otherwise(
         F.concat(F.lit('{"ExportParts":'), "entries", F.lit("}")))

@@ -1,8 +1,21 @@
 """Work that must not grow faster than the input."""
 
+from pyspark.sql import functions as F
+
+from foliant.functions import messages as M
 from foliant.plans import QUERIES
 
 
 def test_manifests_are_few_files(spark):
     """2,000 parts of 50 sizes: a manifest for each size, not for each size and 200 keys."""
     assert len(QUERIES["manifest_entities"](spark, "/root/testdata/sf0.01").inputFiles()) <= 50
+
+
+def test_infobox_lists_are_computed_once(spark):
+    """A list that its own elements look into is bound before; else the work is cubic in fields."""
+    fields = "".join(f"\n| f{i} = {i}" for i in range(60)) + "\n| f3 = last\n| bare"
+    boxes = spark.range(1).select(M.infobox(F.concat(
+        F.lit("{{Infobox item"), F.lit(fields), F.lit("}}"), F.col("id").cast("string"))).alias("b"))
+    assert boxes._jdf.queryExecution().analyzed().toString().count("split(") == 1
+    box = boxes.first()["b"]
+    assert len(box) == 61 and box["f3"] == "last" and box["1"] == "bare" and box["f59"] == "59"

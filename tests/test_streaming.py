@@ -161,3 +161,44 @@ def test_no_row_is_too_late(spark, tmp_path):
         "conv_id long, seq long, referent string"))
     rows = J.run_to_end(out, ring=ring).groupBy("conv_id").count().collect()
     assert {r.conv_id: r["count"] for r in rows} == dict(enumerate(sizes))
+
+
+def test_a_busy_channel_is_not_swept_for_each_row():
+    """Work of the guard for each row, by the users that it looks at."""
+    looks = 0
+
+    class Seen(list):
+        def __getitem__(self, i):
+            nonlocal looks
+            looks += 1
+            return super().__getitem__(i)
+
+    step, state, n = ST.burst_guard(), {}, 2000
+    for i in range(n):
+        state, _ = step(state, {"us": i * S // 20, "seq": i, "user_id": i})
+        state["users"][str(i)] = Seen(state["users"][str(i)])
+    assert looks <= 10 * n
+
+
+def test_rows_of_a_key_wait_in_chunks(spark, tmp_path, monkeypatch):
+    """Chunks of three rows, merged over files and cut by the watermark, give what a replay gives."""
+    monkeypatch.setattr(ST, "CHUNK", 3)
+    rows = [(u, (1000 + 7 * (i * 5 % 23)) * S, 100 * u + i) for u in (1, 2, 3) for i in range(23)]
+    for part in range(3):
+        spark.createDataFrame(rows[part::3], "user_id long, us long, seq long").coalesce(
+            1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("user_id long, us long, seq long").option(
+        "maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    closed, ring = J.with_closing(stream)
+    fold = ST.fold_stream(closed, "user_id", ST.strike_level(40 * S), StructType.fromDDL(
+        "user_id long, us long, seq long, level long"), "150 seconds", 40 * S)
+    # The groups of the stream are buckets, however many keys there are.
+    assert "bucket" in fold._jdf.queryExecution().analyzed().toString()
+    got = J.run_to_end(fold, ring=ring).collect()
+    want = []
+    for user in (1, 2, 3):
+        mine = sorted(({"user_id": u, "us": t, "seq": q} for u, t, q in rows if u == user),
+                      key=lambda r: (r["us"], r["seq"]))
+        want += [(r["user_id"], r["us"], r["seq"], r["level"])
+                 for r in ST.replay(mine, ST.strike_level(40 * S))]
+    assert sorted(map(tuple, got)) == sorted(want)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -170,6 +171,7 @@ def file_edges(files: DataFrame) -> DataFrame:
         "file", "source", "route", "slot", "target", "label")
 
 
+WALKED = (*NODE_KINDS.values(), "system")  # kinds by number
 WALK = StructType([
     StructField("reached", ArrayType(IntegerType())),
     StructField("listed", ArrayType(IntegerType()))])
@@ -197,16 +199,20 @@ def _walk(start: int, links: dict[int, list[int]], kinds: dict[int, str]):
 
 
 @F.pandas_udf(WALK)
-def _walks(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    for starts, nodes, edges in batches:
-        out = []
-        for start, ns, es in zip(starts, nodes, edges):
-            kinds = {n["node"]: n["kind"] for n in ns}
+def _walks(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series, pd.Series]]
+           ) -> Iterator[pd.DataFrame]:
+    # Graphs come and go as flat numbers: as a struct for each node and edge, a batch of them
+    # would fill gigabytes.
+    for columns in batches:
+        reached, listed = [], []
+        for start, ids, kinds, sources, targets in zip(*columns):
             links: dict[int, list[int]] = {}
-            for e in es:
-                links.setdefault(e["source"], []).append(e["target"])
-            out.append(_walk(start, links, kinds))
-        yield pd.DataFrame(out, columns=["reached", "listed"])
+            for source, target in zip(sources.tolist(), targets.tolist()):
+                links.setdefault(source, []).append(target)
+            walked = _walk(start, links, dict(zip(ids.tolist(), (WALKED[k] for k in kinds.tolist()))))
+            for out, nodes in zip((reached, listed), walked):
+                out.append(np.array(nodes, np.int32))
+        yield pd.DataFrame({"reached": reached, "listed": listed})
 
 
 def conversation_walks(files: DataFrame) -> DataFrame:
@@ -219,16 +225,16 @@ def conversation_walks(files: DataFrame) -> DataFrame:
     df = files.select("file", present.alias("nodes"))
     from foliant.functions.text import once
     df = once(df, "ids", F.transform("nodes", lambda n: n["Id"]))
-    df = once(df, "kinds", F.transform("nodes", lambda n: F.struct(
-        n["Id"].alias("node"), node_kind(n["type"]).alias("kind"))))
+    df = once(df, "kinds", F.transform("nodes", lambda n: F.array_position(
+        F.lit(list(WALKED)), node_kind(n["type"])).cast("int") - 1))
     df = once(df, "links", F.flatten(F.transform("nodes", lambda n: F.transform(
         F.filter(_routes(n), lambda r: F.array_contains("ids", r["target"])),
         lambda r: F.struct(n["Id"].alias("source"), r["target"].alias("target"))))))
-    starts = df.select("file", "kinds", "links", F.explode(F.filter(
-        "kinds", lambda k: k["kind"] == "start")).alias("s"))
-    return starts.select("file", F.col("s.node").alias("start"), _walks(
-        F.col("s.node"), F.col("kinds"), F.col("links")).alias("w")).select(
-        "file", "start", "w.reached", "w.listed")
+    begins = F.filter(F.arrays_zip("ids", "kinds"), lambda n: n["kinds"] == WALKED.index("start"))
+    starts = df.select("file", "ids", "kinds", "links.source", "links.target",
+                       F.explode(begins["ids"]).alias("start"))
+    return starts.select("file", "start", _walks("start", "ids", "kinds", "source", "target").alias(
+        "w")).select("file", "start", "w.reached", "w.listed")
 
 
 def union_graphs(graphs: list[DataFrame], key: str) -> DataFrame:

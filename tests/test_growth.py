@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from foliant.functions import messages as M
+from foliant.operators import graph as G
 from foliant.plans import QUERIES
 
 
@@ -19,3 +20,20 @@ def test_infobox_lists_are_computed_once(spark):
     assert boxes._jdf.queryExecution().analyzed().toString().count("split(") == 1
     box = boxes.first()["b"]
     assert len(box) == 61 and box["f3"] == "last" and box["1"] == "bare" and box["f59"] == "59"
+
+
+def test_walks_take_graphs_as_numbers(spark):
+    """No struct for each node or edge goes to Python; repeated ids, cycles and end nodes stay."""
+    kinds = {0: "StartDialogueNode", 1: "DialogueNode", 2: "EndDialogueNode",
+             3: "PlayerChoiceDialogueNode", 4: "Other"}
+    links = {0: [4, 1], 1: [2, 0], 2: [3], 3: [], 4: [1, 9]}
+    rows = ", ".join(f"named_struct('Id', {i}, 'type', '{G.ENGINE}{k}', 'Outgoing', array({', '.join(map(str, links[i]))}))"
+                     for i, k in kinds.items() if i != 3)
+    rows += f", named_struct('Id', 3, 'type', '{G.ENGINE}{kinds[3]}', 'Outgoing', cast(array() as array<int>))"
+    files = spark.sql(f"SELECT 'a' AS file, from_json(to_json(array({rows})), 'array<{G.NODE}>') AS nodes")
+    walks = G.conversation_walks(files)
+    plan = walks._jdf.queryExecution().executedPlan().toString()
+    handed = plan[plan.index("_walks("):plan.index(")", plan.index("_walks("))]
+    assert handed.count(",") == 4
+    row = walks.first()
+    assert (row.start, row.reached, row.listed) == (0, [0, 4, 1, 2, 3], [1])

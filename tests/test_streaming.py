@@ -184,17 +184,23 @@ def test_rows_of_a_key_wait_in_chunks(spark, tmp_path, monkeypatch):
     """Chunks of three rows, merged over files and cut by the watermark, give what a replay gives."""
     monkeypatch.setattr(ST, "CHUNK", 3)
     rows = [(u, (1000 + 7 * (i * 5 % 23)) * S, 100 * u + i) for u in (1, 2, 3) for i in range(23)]
-    for part in range(3):
-        spark.createDataFrame(rows[part::3], "user_id long, us long, seq long").coalesce(
+    rows.sort(key=lambda r: r[1:])
+    part = [min(2, 3 * i // len(rows) + i % 2) for i in range(len(rows))]
+    for file in range(3):
+        spark.createDataFrame([r for r, at in zip(rows, part) if at == file],
+                              "user_id long, us long, seq long").coalesce(
             1).write.mode("append").parquet(f"{tmp_path}/in")
+        time.sleep(1.1)  # files are taken in order of their time
     stream = spark.readStream.schema("user_id long, us long, seq long").option(
         "maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     closed, ring = J.with_closing(stream)
     fold = ST.fold_stream(closed, "user_id", ST.strike_level(40 * S), StructType.fromDDL(
-        "user_id long, us long, seq long, level long"), "150 seconds", 40 * S)
+        "user_id long, us long, seq long, level long"), "110 seconds", 40 * S)
     # The groups of the stream are buckets, however many keys there are.
     assert "bucket" in fold._jdf.queryExecution().analyzed().toString()
-    got = J.run_to_end(fold, ring=ring).collect()
+    late = []
+    got = J.run_to_end(fold, ring=ring, late=late).collect()
+    assert sum(late) == 0
     want = []
     for user in (1, 2, 3):
         mine = sorted(({"user_id": u, "us": t, "seq": q} for u, t, q in rows if u == user),

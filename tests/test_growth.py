@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from foliant.functions import messages as M
+from foliant.functions import wikitext as X
 from foliant.operators import graph as G
 from foliant.plans import QUERIES
 
@@ -37,3 +38,13 @@ def test_walks_take_graphs_as_numbers(spark):
     assert handed.count(",") == 4
     row = walks.first()
     assert (row.start, row.reached, row.listed) == (0, [0, 4, 1, 2, 3], [1])
+
+
+def test_heading_keys_are_made_once(spark):
+    """Not again for each of the words that a section's title is held against."""
+    pages = spark.createDataFrame(
+        [("== Weapon Stats! ==\ncut\n== Lore ==\nkept\n:: \n> **Ana:** hi a.ogg\n> b.OGG",)], "wikitext string")
+    cut = X.drop_gameplay(pages, "wikitext")
+    assert cut._jdf.queryExecution().analyzed().toString().count("regexp_extract(") <= 4
+    assert cut.select(X.strip_audio(F.col("wikitext"))).first()[0] == (
+        "== Lore ==\nkept\n> **Ana:** hi ")

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -161,6 +162,63 @@ def test_reruns_agree(spark, detector):
     assert again.thresholds == detector.thresholds
 
 
+def test_every_finding_of_every_row_trains_or_calibrates(spark, monkeypatch):
+    """Rows without an id, of one id, and with many findings count in full, also over shards."""
+    rng = random.Random(3)
+
+    def text(n):
+        return " ".join(rng.choice(["token={}", "{}", "{}xyz", "mail.{}@example.com"]).format(
+            "".join(rng.choices(rng.choice(["0123456789abcdef", "0123456789ABCDEF"]), k=20)))
+            for _ in range(n))
+
+    rows = [(7, text(120)), (7, text(90)), (None, text(60)), (None, None)]
+    rows += [(i, text(4)) for i in range(100)]
+    rows += [rows[-1]] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = {}
+    for doc_id, t in rows:
+        aside = zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % m.FOLDS == m.ASIDE
+        base = m.base_spans(t or "")
+        labelled = [(1, a, b) for a, b in {(s[3], s[1]) for s in base}]
+        for label, a, b in labelled + [(0, *c) for c in m.candidates(t or "", base)]:
+            window, before, after = next(m.windows(t, a, b))
+            key = (aside, label, m.shape(t[a:b]), before, after, m.encode([window]).tobytes())
+            want[key] = want.get(key, 0) + 1
+    got = {(r.aside, r.label, r["shape"], r.before, r.after, bytes(r.codes)): r.n
+           for r in m.findings(df).collect()}
+    assert got == want and sum(want.values()) > 500
+
+    monkeypatch.setattr(m, "SHARD", 64)
+    found = m.fit(df)
+    held = [k for k in want if k[0]]
+    codes = np.frombuffer(b"".join(k[5] for k in held), np.uint8).reshape(-1, m.WIDTH)
+    inside = m.insides(*(np.array([k[i] for k in held]) for i in (3, 4)))
+    scores = np.concatenate([found.scores(c, inside) for c in (
+        codes, m.without_surroundings(codes, inside))])
+    times = np.array([want[k] for k in held] * 2)
+    ones = np.array([k[1] == 1 for k in held] * 2)
+    shapes = np.array([k[2] for k in held] * 2)
+    for s, threshold in enumerate(found.thresholds):
+        own = ones & (shapes == s)
+        own = own if times[own].sum() >= m.FEWEST else ones
+        assert threshold == pytest.approx(m.recall_threshold(np.repeat(scores[own], times[own])),
+                                          rel=1e-9)
+
+
+def test_values_by_rank(spark, monkeypatch):
+    monkeypatch.setattr(m, "BINS", 4)
+    rng = np.random.default_rng(4)
+    rows = [(k, float(x), int(n)) for k in range(3) for x, n in zip(
+        rng.normal(0, 10 ** k, 200).round(1), rng.integers(1, 5, 200))]
+    rows += [(3, 1.5, 7), (4, 0.0, 1), (4, 5e-324, 1), (4, 1e300, 1)]
+    df = spark.createDataFrame(rows, "kind int, x double, n long")
+    for share in (0, 0.02, 0.5, 0.999):
+        flat = {k: sorted(x for kind, x, n in rows for _ in range(n) if kind == k)
+                for k in range(5)}
+        ranks = {k: int(share * len(v)) for k, v in flat.items()}
+        assert m.by_rank(df, ranks) == {k: flat[k][ranks[k]] for k in flat}
+
+
 def test_whole_query(spark):
     from foliant.llm.queries import op13_secret_net
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select(

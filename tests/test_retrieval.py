@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -428,3 +429,18 @@ def test_reachable_cap_and_cycle(spark):
     seeds = spark.createDataFrame([("a",)], "node string")
     assert {(r.node, r.depth) for r in G.reachable(edges, seeds).collect()} == {("a", 0), ("b", 1), ("c", 2), ("d", 3)}
     assert {r.node for r in G.reachable(edges, seeds, max_nodes=2).collect()} == {"a", "b"}
+
+
+def test_terms_of_many_texts_are_counted_at_once(monkeypatch):
+    """As word by word; words beyond those remembered are made again."""
+    texts = ["b a b", None, "", "Été a'b-c ß", "a " * 50, "x y z w v"] * 100
+    want = []
+    for text in texts:
+        row = np.zeros(16)
+        for word in EMB._WORD.findall((text or "").lower()):
+            at, sign = EMB._slot(word, 16)
+            row[at] += sign
+        want.append(row)
+    monkeypatch.setattr(EMB, "WORDS", 3)
+    assert (EMB._counts(texts, EMB._Cells(16)) == np.array(want)).all()
+    assert (EMB.hashed_counts("b a b", 16) == want[0]).all() and len(EMB.hashed_counts("")) == 64

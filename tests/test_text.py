@@ -1,5 +1,7 @@
 """Golden cases of the text functions and of the cleaning chain."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -245,3 +247,37 @@ def test_templates_of_any_depth(spark):
     nested = "{{a|" * 12 + "core" + "}}" * 12
     assert one(spark, X.flatten_templates, f"x {nested} y {{{{open") == "x core y {{open"
     assert one(spark, X.template_depth, nested + "{{b}}") == 12
+
+
+def test_rules_run_where_their_marks_stand(spark):
+    """Looking for marks first changes nothing, whatever the text and the rules before."""
+    rng = random.Random(3)
+    bits = ["<", "</", ">", "/>", "<!--", "-->", "{|", "|}", "{{", "}}", "{{#if", "[[", "]]", "[",
+            "]", "|", "#", "###", "==", "======", "'", "''", "'''''", "*", "**", ":", ";", "\n", "\n\n", "\t",
+            " ", "a", "B2", "tD", "LI", "em", "I", "p", "SPAN", "u", "Ref", "br", "Source", "code",
+            "mediaWiki", "http://x.y", "Quote", "spoiler", "In-Game description", "CANON", "theory",
+            "{P3}", "{If ", "same", "ends", "ſ", "İ", "\r", "K"]
+    texts = ["".join(rng.choices(bits, k=rng.randint(1, 40))) for _ in range(3000)]
+    # Whole templates and tags, cut at random places, so that rules match and make new text.
+    whole = ["{{Quote|a|In-Game Description}}", "{{quote|b|c|d}}", "{{Spoiler|e}}", "{{ theory }}",
+             "{{canon|f}}", "<TD x>", "<li>", "<em>", "</P>", "<span a>", "<ref/>", "<REF>g</Ref>",
+             "[[h|i]]", "[[j#k]]", "[[MediaWiki:l]]", "[http://m n]", "=== o ===", "{Continues p}"]
+    for _ in range(3000):
+        parts = rng.choices(whole + bits, k=rng.randint(2, 12))
+        texts.append("".join(x[rng.choice((0, 0, 1)):] + (x if rng.random() < 0.1 else "") for x in parts))
+    df = spark.createDataFrame([(x,) for x in texts] + [(None,)], "t string").repartition(4)
+    t = F.col("t")
+    plain = {
+        X.strip_blocks: (*X.BLOCK_RULES[::2], *X.BLOCK_RULES[1::2]),
+        X.convert_tags: X.TAG_RULES, X.render_narrative: X.NARRATIVE_RULES,
+        X.emphasis: X.EMPHASIS_RULES, X.normalise_links: X.LINK_RULES,
+        X.reflow_headings: X.HEADING_RULES, X.indentation: X.INDENT_RULES,
+        X.strip_instructions: X.INSTRUCTION_RULES,
+        X.collapse_blank_lines: X.BLANK_RULES}
+    known = {rule[0] for rules in plain.values() for rule in rules}
+    assert set(X.MARKS) <= known and len(X.MARKS) > 30
+    out = df.select("t", *(f(t).alias(f"a{i}") for i, f in enumerate(plain)), *(
+        T.chain(t, rules).alias(f"b{i}") for i, rules in enumerate(plain.values()))).collect()
+    for i, f in enumerate(plain):
+        assert [r.t for r in out if r[f"a{i}"] != r[f"b{i}"]] == [], f.__name__
+        assert sum(r[f"a{i}"] != r.t for r in out) > 50, f.__name__
